@@ -31,16 +31,18 @@ SEPARATOR_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only are tokenised chunk by chunk: no normal form, case or class of theirs depends on a Unicode version.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
-CACHE_CHUNKS = 200_000
+#: The file's own pre-tokenizer pattern, for lower-case text of those characters.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+CACHE_ENTRIES = 500_000
 
 
 class ChunkTokenizer:
     """ids of a text as little-endian uint32 bytes, the same as the tokenizer file gives for the whole text.
 
     The file's pre-tokenizer never joins text across white space, so the ids of a
-    text are those of its white-space-free chunks in order; those are kept in a
-    bounded cache. Texts with other characters or with the text of a special
-    token go to the tokenizer as a whole.
+    text are those of its white-space-free chunks in order, and the ids of a chunk
+    are those of its words; both are kept in bounded caches. Texts with other
+    characters or with the text of a special token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -48,24 +50,43 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.last[i] = piece.endswith("</w>")
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Tokenise new words many at a time, and part the ids where a word ends."""
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.nonzero(self.last[ids])[0]
+            if len(ends) == len(part):
+                data, cuts = ids.tobytes(), (4 * (ends + 1)).tolist()
+                self.words.update(zip(part, [data[x:y] for x, y in zip([0, *cuts], cuts)]))
+            else:
+                self.words.update(zip(part, self._whole(part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        chunks = [t.lower().split() if p else None for t, p in zip(texts, plain)]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        missing = list({c for cs in chunks if cs for c in cs if c not in self.cache})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            self.cache.update(zip(part, self._ids(part)))
-        whole = iter(self._ids([t for t, p in zip(texts, plain) if not p]))
-        get = self.cache.__getitem__
-        return [next(whole) if cs is None else b"".join(map(get, cs)) for cs in chunks]
+        split = [t.lower().split() if p else None for t, p in zip(texts, plain)]
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks.clear()
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        known = self.chunks
+        missing = {c for cs in split if cs for c in cs if c not in known}
+        parts = {c: WORDS.findall(c) for c in missing}
+        self._learn_words(list({w for ws in parts.values() for w in ws if w not in self.words}))
+        word = self.words.__getitem__
+        known.update({c: b"".join(map(word, ws)) for c, ws in parts.items()})
+        whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        get = known.__getitem__
+        return [next(whole) if cs is None else b"".join(map(get, cs)) for cs in split]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
