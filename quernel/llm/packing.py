@@ -33,7 +33,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
 #: The file's own pre-tokenizer pattern, for lower-case text of those characters.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 
 
 class ChunkTokenizer:
@@ -72,16 +72,16 @@ class ChunkTokenizer:
                 self.words.update(zip(part, self._whole(part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        plain = [(PLAIN.fullmatch(t) is not None) and "<|" not in t for t in texts]
         split = [t.lower().split() if p else None for t, p in zip(texts, plain)]
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks.clear()
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
         known = self.chunks
-        missing = {c for cs in split if cs for c in cs if c not in known}
+        missing = set().union(*(cs for cs in split if cs)).difference(known)
         parts = {c: WORDS.findall(c) for c in missing}
-        self._learn_words(list({w for ws in parts.values() for w in ws if w not in self.words}))
+        self._learn_words(list({w for ws in parts.values() for w in ws }.difference(self.words)))
         word = self.words.__getitem__
         known.update({c: b"".join(map(word, ws)) for c, ws in parts.items()})
         whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
