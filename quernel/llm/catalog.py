@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from quernel.llm.maxent import op1_maxent_scoring
 from quernel.llm.media import op2_media_columns
+from quernel.llm.merge_dropout import op3_merge_dropout
 from quernel.llm.packing import op10_best_fit_packing
 from quernel.llm.toxicity import op7_toxicity
 from quernel.llm.vectors import op9_exact_top_k
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_maxent_scoring, op2_media_columns, op7_toxicity, op9_exact_top_k, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_maxent_scoring, op2_media_columns, op3_merge_dropout, op7_toxicity, op9_exact_top_k, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
