@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quernel.llm.html_blocks import op6_html_extraction
 from quernel.llm.jaccard import op5_ngram_jaccard
+from quernel.llm.licenses import op8_license_scans
 from quernel.llm.line_dedup import op4_line_dedup
 from quernel.llm.maxent import op1_maxent_scoring
 from quernel.llm.media import op2_media_columns
@@ -14,7 +15,7 @@ from quernel.llm.vectors import op9_exact_top_k
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_maxent_scoring, op2_media_columns, op3_merge_dropout, op4_line_dedup, op5_ngram_jaccard, op6_html_extraction, op7_toxicity, op9_exact_top_k, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_maxent_scoring, op2_media_columns, op3_merge_dropout, op4_line_dedup, op5_ngram_jaccard, op6_html_extraction, op7_toxicity, op8_license_scans, op9_exact_top_k, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
