@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.paths import normal_path
 
 
-def _list(column: str, path: str):
-    """Distinct non-empty parts, by semicolons, of the texts at an XML path; values with variables are left out."""
-    found = F.flatten(F.transform(F.xpath(column, F.lit(path)), lambda x: F.split(x, ";", -1)))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (x != "") & ~x.contains("$(")))
+METADATA = "project string, state string, frameworks array<string>, configurations array<string>, refs array<string>, links array<string>"
+
 
+def _tree(text: str | None):
+    """The root of an XML text without name spaces, or None where it is broken."""
+    try:
+        root = ElementTree.fromstring((text or "").lstrip("\ufeff").strip())
+    except ElementTree.ParseError:
+        return None
+    for e in root.iter():
+        e.tag = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    return root
 
-def _plain(column: str):
-    """XML without its default namespace, so that paths stay short."""
-    return F.regexp_replace(F.regexp_replace(column, r"^﻿", ""), r'\sxmlns="[^"]*"', "")
+
+def _values(root, group: str, name: str, attribute: str | None = None) -> list[str]:
+    """Distinct literal parts, by semicolons; those with variables are left out."""
+    found = [e.get(attribute) if attribute else e.text for g in root.findall(group) for e in g.findall(name)]
+    parts = [x.strip() for v in found if v for x in v.split(";")]
+    return list(dict.fromkeys(x for x in parts if x and "$(" not in x))
 
 
 def _beside(path, part):
@@ -26,15 +41,25 @@ def _beside(path, part):
 
 
 def project_metadata(files: DataFrame) -> DataFrame:
-    """(project, frameworks, configurations, references, linked): literal values of project files (path, text)."""
-    p = files.withColumn("x", _plain("text")).where(F.col("x").startswith("<"))
-    frameworks = F.array_distinct(F.concat(_list("x", "/Project/PropertyGroup/TargetFramework/text()"), _list("x", "/Project/PropertyGroup/TargetFrameworks/text()")))
-    here = F.col("path")
-    return p.select(
-        F.col("path").alias("project"), frameworks.alias("frameworks"), _list("x", "/Project/PropertyGroup/Configurations/text()").alias("configurations"),
-        F.transform(_list("x", "/Project/ItemGroup/ProjectReference/@Include"), lambda r: _beside(here, r)).alias("references"),
-        F.transform(_list("x", "/Project/ItemGroup/Compile/@Include"), lambda r: _beside(here, r)).alias("linked"),
-    )
+    """(project, state, frameworks, configurations, references, linked): literal values of project files (path, text).
+
+    A broken file has the state "broken" and no values.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"], f["text"]):
+                root = _tree(text)
+                if root is None:
+                    rows.append((path, "broken", [], [], [], []))
+                    continue
+                frameworks = dict.fromkeys([*_values(root, "PropertyGroup", "TargetFramework"), *_values(root, "PropertyGroup", "TargetFrameworks")])
+                rows.append((path, "read", list(frameworks), _values(root, "PropertyGroup", "Configurations"), _values(root, "ItemGroup", "ProjectReference", "Include"), _values(root, "ItemGroup", "Compile", "Include")))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in METADATA.split(", ")])
+
+    read = files.select("path", "text").mapInPandas(run, METADATA)
+    here = F.col("project")
+    return read.select("project", "state", "frameworks", "configurations", *[F.transform(old, lambda r: _beside(here, r)).alias(new) for old, new in (("refs", "references"), ("links", "linked"))])
 
 
 def project_edges(metadata: DataFrame) -> DataFrame:
@@ -43,12 +68,20 @@ def project_edges(metadata: DataFrame) -> DataFrame:
 
 
 def solution_members(files: DataFrame) -> DataFrame:
-    """(solution, project): members of solution files, XML or classic (path, text)."""
-    xml = files.where(F.col("path").endswith(".slnx")).withColumn("x", _plain("text"))
-    one = xml.select("path", F.explode(F.xpath("x", F.lit("//Project/@Path"))).alias("member"))
-    classic = files.where(F.col("path").endswith(".sln"))
-    two = classic.select("path", F.explode(F.regexp_extract_all("text", F.lit(r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]*proj)"'), 1)).alias("member"))
-    return one.unionByName(two).select(F.col("path").alias("solution"), _beside(F.col("path"), F.col("member")).alias("project")).where("project IS NOT NULL").distinct()
+    """(solution, project): members of solution files, XML or classic (path, text). Broken ones have none."""
+    classic = re.compile(r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]*proj)"')
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"], f["text"]):
+                root = _tree(text) if path.endswith(".slnx") else None
+                names = classic.findall(text or "") if path.endswith(".sln") else [] if root is None else [e.get("Path") for e in root.iter("Project")]
+                rows += [(path, n) for n in names if n]
+            yield pd.DataFrame(rows, columns=["solution", "member"])
+
+    read = files.select("path", "text").where(F.col("path").rlike(r"\.slnx?$")).mapInPandas(run, "solution string, member string")
+    return read.select("solution", _beside(F.col("solution"), F.col("member")).alias("project")).where("project IS NOT NULL").distinct()
 
 
 def catalogue(files: DataFrame) -> DataFrame:

@@ -93,4 +93,6 @@ def test_projects(spark):
     assert sorted(tuple(e) for e in projects.solution_members(df).collect()) == [("all.slnx", "src/app/app.csproj"), ("old.sln", "src/app/app.csproj")]
     assert {e["kind"]: e["n"] for e in projects.catalogue(df).collect()} == {"project": 1, "solution": 2, "source": 1}
     assert projects.entry_point(df).first()["state"] == "ambiguous" and projects.entry_point(df, "all.slnx").first()["state"] == "selected"
+    broken = spark.createDataFrame([("a.csproj", "<Project><"), ("b.csproj", None)], "path string, text string")
+    assert [(r["state"], r["references"]) for r in projects.project_metadata(broken).collect()] == [("broken", []), ("broken", [])]
     assert projects.entry_point(df.where("path = 'all.slnx'")).first()["path"] == "all.slnx"
