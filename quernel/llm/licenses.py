@@ -4,9 +4,9 @@ Units are the lines of a file (headers) and the file as a whole (licence files).
 A unit has the licence of the template whose sparse TF-IDF vector has the
 highest cosine with its own, if that reaches ``threshold``. Document counts of
 the templates' terms come from all files; a term of no template weighs as one
-that no file has. A vector can reach the threshold only if it holds one of the
-template's heaviest terms that make up more than 1 - threshold**2 of its squared
-length, so other lines are left out before their terms are counted.
+that no file has. A cosine is at most the root of the share of the template's
+squared length that the unit's terms cover, so files and lines whose terms cover
+less than threshold**2 of every template are left out before terms are counted.
 
 A licence file gives its licence to its directory: a file so named, one that is
 a licence text as a whole, or one whose licence lines are half of it. Files
@@ -67,7 +67,7 @@ def document_counts(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[
 
 
 class Weights:
-    """TF-IDF vectors of the templates and the terms without which none is reached."""
+    """TF-IDF vectors of the templates by term, of length 1."""
 
     def __init__(self, templates, n_files: int, counts: dict[str, int], threshold: float):
         self.oov = math.log(n_files + 1) + 1
@@ -79,15 +79,16 @@ class Weights:
             vectors.append({t: x / length for t, x in w.items()})
         self.idf = {t: math.log((n_files + 1) / (counts.get(t, 0) + 1)) + 1 for v in vectors for t in v}
         self.vectors = vectors
-        cues = set()
-        for v in vectors:
-            rest = 1.0
-            for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
-                if rest < threshold * threshold - 1e-9:
-                    break
-                cues.add(t)
-                rest -= x * x
-        self.cues = sorted(cues)
+        self.least = threshold * threshold - 1e-9
+
+    def keep(self, units: DataFrame, column: str) -> DataFrame:
+        """Units whose terms in a text column cover enough of some template. One pass over the terms for all templates."""
+        vocabulary = sorted(self.idf)
+        shares = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.array(*[F.lit(v.get(t, 0.0) ** 2) for v in self.vectors]))])
+        nothing = F.array(*[F.lit(0.0) for _ in self.vectors])
+        held = F.array_intersect(terms_of(column), F.array(*[F.lit(t) for t in vocabulary]))
+        covered = F.aggregate(held, nothing, lambda total, t: F.zip_with(total, F.try_element_at(shares, t), lambda x, y: x + y))
+        return units.where(F.exists(covered, lambda x: x >= self.least))
 
     def table(self, spark) -> DataFrame:
         """(term, idf, parts): one row a term, with its weight in each template that has it."""
@@ -95,14 +96,6 @@ class Weights:
         return spark.createDataFrame(rows, "term string, idf double, parts array<struct<template:int, w:double>>")
 
 
-def has_cue(column: str, cues: list[str]):
-    low = F.lower(column)
-    found = F.lit(False)
-    for c in cues:
-        found = found | low.contains(c)
-    return found
-
-
 def cosines(units: DataFrame, weights: Weights, keys: list[str]) -> DataFrame:
     """(keys, template, score): the best template of each unit (keys, text); ties to the first template."""
     table = weights.table(units.sparkSession)
@@ -132,9 +125,9 @@ def scan_licenses(files: DataFrame, threshold: float = 0.75, templates=None, sal
     n_files, counts = document_counts(slim, sorted({t for _, _, x in templates for t in terms(x)}))
     weights = Weights(templates, n_files, counts, threshold)
     names = F.array(*[F.lit(t[0]) for t in templates])
-    likely = slim.where(has_cue("text", weights.cues)).withColumn("t", F.xxhash64("text"))
+    likely = weights.keep(slim, "text").withColumn("t", F.xxhash64("text"))
     likely = cut(likely.select(F.coalesce("path", F.lit("")).alias("p"), "t", "text").dropDuplicates(["p", "t"]))
-    lines = likely.select("p", "t", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")).where(has_cue("raw", weights.cues))
+    lines = cut(weights.keep(likely.select("p", "t", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")), "raw"))
     scored = cosines(lines.select("p", "t", "line", F.col("raw").alias("text")), weights, ["p", "t", "line"]).where(F.col("score") >= threshold)
     chars = lines.select("p", "t", "line", F.length("raw").alias("chars"))
     of_lines = scored.join(chars, ["p", "t", "line"]).groupBy("p", "t").agg(
