@@ -5,7 +5,7 @@ from __future__ import annotations
 from quernel.llm.html_blocks import op6_html_extraction
 from quernel.llm.jaccard import op5_ngram_jaccard
 from quernel.llm.licenses import op8_license_scans
-from quernel.llm.line_dedup import op4_line_dedup
+from quernel.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quernel.llm.maxent import op1_maxent_scoring
 from quernel.llm.media import op2_media_columns
 from quernel.llm.merge_dropout import op3_merge_dropout
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}

@@ -202,8 +202,7 @@ def top_k(
     known = enough.join(owner, "query_id").groupBy("q_block").agg(F.collect_list("query_id").alias("known_ids"), F.collect_list(F.col("limit").cast("double")).alias("known"))
     limited = asked.join(known, "q_block", "left").select("q_block", "q_ids", "q_xs", "known_ids", "known").mapInPandas(kth, "q_block long, q_ids binary, q_xs binary, limits binary")
     others = candidates.join(longest.select("block"), "block", "left_anti")
-    names = others.agg(F.collect_list("block").alias("names"))  # one number a block of candidates
-    dealt = limited.crossJoin(F.broadcast(names)).withColumn("block", F.explode("names")).drop("names")
+    dealt = limited.crossJoin(others.select("block"))  # the stated queries against all rows, in blocks
     rest = dealt.join(others, "block").select("q_ids", "q_xs", "limits", "ids", "xs").mapInPandas(pairs, HITS)
     hits = first.unionByName(rest)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -212,3 +211,13 @@ def top_k(
 
 def op9_exact_top_k(spark, sf_dir):
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same rows from all products.
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
