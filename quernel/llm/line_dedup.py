@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut
+from quernel.llm.common import cut, discard, stored
 
 MIN_CHARS = 20
 LAST_ID = (1 << 63) - 1
@@ -38,7 +38,8 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(d, t, l, line, h): trimmed lines of at least ``min_chars`` characters, with a 128-bit hash."""
     split = texts_of(docs).select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("l", "raw"))
-    trimmed = split.select("d", "t", "l", F.trim(F.regexp_replace("raw", "[\\t\\r]+", " ")).alias("line"))
+    odd = F.col("raw").contains("\t") | F.col("raw").contains("\r")  # translate is slow and seldom needed
+    trimmed = split.where(F.octet_length("raw") >= min_chars).select("d", "t", "l", F.trim(F.when(odd, F.translate("raw", "\t\r", "  ")).otherwise(F.col("raw"))).alias("line"))
     return trimmed.where(F.length("line") >= min_chars).withColumn("h", F.unhex(F.md5("line")))
 
 
@@ -49,12 +50,28 @@ def sizes(n: Column) -> Column:
     return F.when(n == power, F.array(b - 1, b)).when(n == power * 2 - 1, F.array(b, b + 1)).otherwise(F.array(b))
 
 
-def half_keys(lines: DataFrame) -> DataFrame:
-    """(key, h): a line's first and last K characters, for each size it is filed under."""
-    sized = lines.select("h", "line", F.explode(sizes(F.length("line"))).alias("b"))
-    k = F.pow(F.lit(2.0), F.col("b") - 1).cast("int")
-    key = F.explode(F.array(F.xxhash64(F.lit("head"), "b", F.substring("line", F.lit(1), k)), F.xxhash64(F.lit("tail"), "b", F.expr("right(line, cast(pow(2, b - 1) as int))"))))
-    return sized.select(key.alias("key"), "h")
+#: A line's first and last K characters, for each size it is filed under.
+HALVES = """
+flatten(transform(bs, b -> array(
+  xxhash64('head', b, left(line, cast(pow(2, b - 1) as int))),
+  xxhash64('tail', b, right(line, cast(pow(2, b - 1) as int))))))
+"""
+
+
+def bitmap(hashes: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """One row with the bits that the hashes (h) set, in longs; its size is fixed. With many hashes it only filters less."""
+    at = F.pmod(F.xxhash64("h"), F.lit(bits))
+    words = hashes.select(F.shiftrightunsigned(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(h), {bits}) & 63 as int))").alias("b"))
+    words = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+    rows = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left")
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("bits"))
+
+
+def may_hold(rows: DataFrame, hashes: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose ``h`` is among the hashes, and a few others: keeps a later join's shuffle small."""
+    at = f"pmod(xxhash64(h), {bits})"
+    hit = F.expr(f"(shiftrightunsigned(get(bits, cast(shiftrightunsigned({at}, 6) as int)), cast({at} & 63 as int)) & 1L) = 1L")
+    return rows.join(F.broadcast(cut(bitmap(hashes, bits))), hit, "left_semi")  # one row of bits / 8 bytes
 
 
 def live_keys(rows: DataFrame) -> DataFrame:
@@ -86,13 +103,14 @@ def narrowed(v: Column) -> Column:
     return F.greatest(F.lit(1), (v / 8).cast("int"))
 
 
-def earlier_neighbours(lines: DataFrame, first: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     """(h): lines that have an earlier line within one edit. ``first`` has each line's first place."""
-    keys = half_keys(lines)
+    keys = slim.select(F.explode("halves").alias("key"), "h")
     met = cut(keys.join(live_keys(keys), "key").select("h").distinct())
     # the text of a line comes from its first place only
     wanted = met.join(first, "h").select("h", "place.d", "place.t", "place.l", "place")
-    found = wanted.join(lines.select("d", "t", "l", "line"), ["d", "t", "l"]).select("h", "place", "line")
+    some = may_hold(lines, met)
+    found = wanted.join(some.select("d", "t", "l", "line"), ["d", "t", "l"]).select("h", "place", "line")
     found = cut(found.dropDuplicates(["h"]))
     start = found.select("h", "line", F.explode(sizes(F.length("line"))).alias("b"))
     start = start.withColumn("v", F.greatest(F.lit(1), F.pow(F.lit(2.0), F.col("b") - 2).cast("int")))
@@ -122,16 +140,20 @@ def earlier_neighbours(lines: DataFrame, first: DataFrame, docs: DataFrame, min_
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """(d, t, l): the lines that go."""
     lines = lines_of(docs, min_chars)
-    places = lines.select("h", F.struct("d", "t", "l").alias("place"))
+    halves = lines.withColumn("bs", sizes(F.length("line"))).withColumn("halves", F.expr(HALVES))
+    slim = stored(halves.select("d", "t", "l", "h", "halves"))
+    places = slim.select("h", F.struct("d", "t", "l").alias("place"))
     first = cut(places.groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("n")))
     marks = first.where("n > 1").select("h", "place", F.lit(False).alias("near"))
     if max_edits:
-        near = earlier_neighbours(lines, first.select("h", "place"), docs, min_chars)
+        near = earlier_neighbours(slim, lines, first.select("h", "place"))
         marks = marks.unionByName(near.select("h", F.lit(None).cast(first.schema["place"].dataType).alias("place"), F.lit(True).alias("near")))
         marks = marks.groupBy("h").agg(F.min("place").alias("place"), F.max("near").alias("near"))
     marks = cut(marks.withColumnRenamed("place", "kept"))
     gone = places.join(marks, "h").where(F.col("near") | (F.col("place") != F.col("kept")))
-    return gone.select("place.d", "place.t", "place.l")
+    gone = cut(gone.select("place.d", "place.t", "place.l"))
+    discard(slim)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
@@ -157,3 +179,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
 def op4_line_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_lines(docs).select("doc_id", "text", "lines_removed")
+
+
+#: The same rows by comparing all lines of like length that share half their characters.
+OP4_SQL = """
+WITH docs AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS d FROM documents),
+split AS (SELECT d, doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS l FROM docs),
+lines AS (SELECT *, trim(translate(raw, chr(9) || chr(13), '  '), ' ') AS line FROM split),
+long AS (SELECT d, l, line FROM lines WHERE length(line) >= 20),
+firsts AS (SELECT line, min((d, l)) AS place, length(line) AS n FROM long GROUP BY line),
+pairs AS (
+  SELECT a.line, b.line AS by_line FROM firsts a JOIN firsts b ON left(a.line, 10) = left(b.line, 10) WHERE b.place < a.place AND abs(a.n - b.n) <= 1
+    AND (left(a.line, (least(a.n, b.n) - 1) // 2) = left(b.line, (least(a.n, b.n) - 1) // 2) OR right(a.line, (least(a.n, b.n) - 1) // 2) = right(b.line, (least(a.n, b.n) - 1) // 2))
+  UNION
+  SELECT a.line, b.line FROM firsts a JOIN firsts b ON right(a.line, 10) = right(b.line, 10) WHERE b.place < a.place AND abs(a.n - b.n) <= 1
+    AND right(a.line, (least(a.n, b.n) - 1) // 2) = right(b.line, (least(a.n, b.n) - 1) // 2)),
+near AS (SELECT DISTINCT line FROM pairs WHERE len(list_filter(range(0, length(line) + 1), lambda i: left(line, i) = left(by_line, i) AND (
+  substring(line, i + 2) = substring(by_line, i + 2) OR substring(line, i + 2) = substring(by_line, i + 1) OR substring(line, i + 1) = substring(by_line, i + 2)))) > 0),
+told AS (SELECT s.doc_id, s.text, s.l, s.raw, length(s.line) >= 20 AND (s.line IN (SELECT line FROM near) OR (s.d, s.l) > f.place) AS gone
+  FROM lines s LEFT JOIN firsts f ON f.line = s.line)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY l) FILTER (WHERE NOT coalesce(gone, false)), '') AS text, count(*) FILTER (WHERE gone) AS lines_removed
+FROM told GROUP BY doc_id, text
+UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE text IS NULL
+"""
