@@ -173,3 +173,39 @@ def op8_license_scans(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
     return scan_licenses(files).drop("text")
+
+
+def oracle(threshold: float = 0.75) -> str:
+    """The same rows in SQL: all lines and files against all templates, without the coverage filter."""
+    quote = lambda x: x.replace("'", "''")
+    rows = ", ".join(f"({i}, '{quote(name)}', '{t}', {n})" for i, (name, _, text) in enumerate(TEMPLATES) for t, n in sorted(Counter(terms(text)).items()))
+    split = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"""
+WITH raw(template, license, term, tf) AS (VALUES {rows}),
+files AS (SELECT doc_id, coalesce(source || '/', '') || coalesce(lang || '/', '') || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+n AS (SELECT count(*) AS n FROM files),
+held AS (SELECT unnest(list_distinct({split.format("text")})) AS term FROM files),
+df AS (SELECT term, count(*) AS df FROM held WHERE term IN (SELECT term FROM raw) GROUP BY 1),
+idf AS (SELECT DISTINCT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM raw LEFT JOIN df USING (term), n),
+tw AS (SELECT template, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM raw JOIN idf USING (term)),
+units AS (SELECT doc_id, path, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM files UNION ALL SELECT doc_id, path, -1, text FROM files),
+counted AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest({split.format("text")}) AS term FROM units) GROUP BY ALL),
+weighed AS (SELECT doc_id, line, term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM counted LEFT JOIN idf USING (term), n),
+norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY 1, 2),
+dots AS (SELECT doc_id, line, template, sum(weighed.w * tw.w) AS dot FROM weighed JOIN tw USING (term) GROUP BY 1, 2, 3),
+best AS (SELECT doc_id, line, max({{'score': round(dot / norm, 9), 't': -template}}) AS b FROM dots JOIN norms USING (doc_id, line) GROUP BY 1, 2),
+hits AS (SELECT doc_id, line, b.score AS score, -b.t AS template FROM best WHERE b.score >= {threshold}),
+of_lines AS (SELECT doc_id, count(*) AS license_lines, sum(length(u.text)) AS chars, max({{'score': h.score, 'l': -h.line, 'template': h.template}}) AS b FROM hits h JOIN units u USING (doc_id, line) WHERE line >= 0 GROUP BY 1),
+whole AS (SELECT doc_id, score, template FROM hits WHERE line = -1),
+own AS (SELECT f.doc_id, f.path, CASE WHEN w.score IS NOT NULL AND (b IS NULL OR w.score >= b.score) THEN w.template ELSE b.template END AS template,
+  CASE WHEN w.score IS NOT NULL AND (b IS NULL OR w.score >= b.score) THEN w.score ELSE b.score END AS score, coalesce(license_lines, 0) AS license_lines,
+  w.score IS NOT NULL OR 2 * coalesce(chars, 0) >= length(f.text) AS for_directory
+  FROM files f LEFT JOIN of_lines USING (doc_id) LEFT JOIN whole w USING (doc_id) WHERE b IS NOT NULL OR w.score IS NOT NULL),
+names AS (SELECT DISTINCT template, license FROM raw),
+given AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, min({{'s': -score, 'p': path, 'license': license}}) AS g FROM own JOIN names USING (template) WHERE for_directory GROUP BY 1),
+up AS (SELECT path, unnest(range(0, len(string_split(path, '/')))) AS k FROM files),
+near AS (SELECT path, max_by({{'dir': dir, 'license': g.license, 'score': -g.s}}, length(dir)) AS x FROM up JOIN given ON dir = array_to_string(string_split(path, '/')[:k], '/') GROUP BY 1)
+SELECT f.doc_id, f.path, coalesce(license, x.license) AS license, coalesce(o.score, x.score) AS score, CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN x IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_from,
+  CASE WHEN o.doc_id IS NULL THEN x.dir END AS license_dir, coalesce(license_lines, 0) AS license_lines
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN names USING (template) LEFT JOIN near ON near.path = f.path
+"""
