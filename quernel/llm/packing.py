@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import arrow_map, cut
+from quernel.llm.common import arrow_map, claim, cut
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -93,6 +93,7 @@ _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
+    claim("packing", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)
     return _tokenizers[path]

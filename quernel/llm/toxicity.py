@@ -24,18 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import crc_mod
+from quernel.llm.common import claim, crc_mod
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 DECAY = 0.6
-ORDERS = (3, 5)
+ORDERS = (3, 4)
 SHORTEST = 3  # letters of a unit
 WINDOW = 24
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 CLEAN = -1.0  # the lowest score of a unit; that of texts without units
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SIGNS = re.compile(r"[\W\d_]+")
-SCORES = "doc_id long, score double, predicted int, worst_unit string"
 
 
 def chunks(text: str) -> list[str]:
@@ -99,11 +98,17 @@ def normal_kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     own_t = kernel(t, t, paired=True)
     out = np.zeros((len(strings), len(landmarks)), np.float32)
     order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-    for a in range(0, len(order), 512):
-        rows = order[a : a + 512]
+    # landmarks of like length together: the kernel's work goes with the longest
+    by_length = np.argsort([len(x) for x in landmarks], kind="stable")
+    parts = [p for p in np.array_split(by_length, 2) if len(p)]
+    tight = [t[p][:, : max(len(landmarks[i]) for i in p)] for p in parts]
+    for a in range(0, len(order), 2048):
+        rows = order[a : a + 2048]
         s = codes([strings[i] for i in rows])
         own_s = kernel(s, s, paired=True)
-        out[rows] = (kernel(s, t) / np.sqrt(np.maximum(own_s[:, :, None] * own_t[:, None, :], 1e-20))).mean(0)
+        for p, some in zip(parts, tight):
+            value = kernel(s, some) / np.sqrt(np.maximum(own_s[:, :, None] * own_t[:, None, p], 1e-20))
+            out[np.ix_(rows, p)] = value.mean(0)
     return out
 
 
@@ -178,7 +183,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[set[str], int]], n_landmarks: int = 32, rounds: int = 3) -> Model:
+def train(rows: list[tuple[set[str], int]], n_landmarks: int = 20, rounds: int = 3) -> Model:
     """Fit on (units of a text, label). Without both labels, or without units that tell them apart, every text gets the same score."""
     rows = sorted({(tuple(sorted(u)), y) for u, y in rows})  # a copied text counts once
     toxic, clean = ([list(u) for u, y in rows if y == v] for v in (1, 0))
@@ -196,7 +201,7 @@ def train(rows: list[tuple[set[str], int]], n_landmarks: int = 32, rounds: int =
         for u, x in shares.items():
             weight[u] += x / sum(shares.values())
     usual = [u for u, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if u not in weight]
-    landmarks = list(dict.fromkeys(windows(u)[0] for u in spread(weight, n_landmarks) + usual[:8]))
+    landmarks = list(dict.fromkeys(windows(u)[0] for u in spread(weight, n_landmarks) + usual[:4]))
     values, vectors = np.linalg.eigh(normal_kernel(landmarks, landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T  # Nyström map
     names = sorted({*in_toxic, *in_clean})
@@ -259,11 +264,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, worst_unit) of every row. A text without units, null included, scores as clean units do."""
+    return with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
+
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """Add ``score``, ``predicted`` and ``worst_unit`` to every row, in place of columns so named."""
+    from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+
+    added = {"score": (DoubleType(), pa.float64()), "predicted": (IntegerType(), pa.int32()), "worst_unit": (StringType(), pa.string())}
+    docs = docs.drop(*added).withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*docs.schema.fields])
+    for name, (kind, _) in added.items():
+        schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        unit_of: dict[str, str] = {}
+        claim("toxicity", lambda: None)
+        unit_of: dict[str, str] = {}  # for this task only: the worker stays small for what follows
         value_of: dict[str, float] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
@@ -271,19 +289,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 if len(unit_of) > CACHE_ENTRIES or len(value_of) > CACHE_ENTRIES:
                     unit_of.clear()
                     value_of.clear()
-                split = [set(chunks(t or "")) for t in part.column(1).to_pylist()]
-                unit_of.update({c: SIGNS.sub("", c) for cs in split for c in cs if c not in unit_of})
-                bags = [{u for u in map(unit_of.__getitem__, cs) if len(u) >= SHORTEST} for cs in split]
-                new = sorted({u for b in bags for u in b if u not in value_of})
+                split = [set(chunks(t or "")) for t in part.column("text").to_pylist()]
+                for c in set().union(*split).difference(unit_of):
+                    u = SIGNS.sub("", c)
+                    unit_of[c] = u if len(u) >= SHORTEST else ""
+                bags = [list(set(map(unit_of.__getitem__, cs)) - {""}) for cs in split]
+                new = sorted(set().union(*bags).difference(value_of))
                 value_of.update(zip(new, model.unit_scores(new).tolist()))
-                tops = [sorted(zip(map(value_of.__getitem__, b), b), reverse=True)[:3] for b in bags]
-                p = model.probability(features([[x for x, _ in t] for t in tops], [len(b) for b in bags]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([t[0][1] if t else "" for t in tops])],
-                    ["doc_id", "score", "predicted", "worst_unit"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+                values = [list(map(value_of.__getitem__, b)) for b in bags]
+                tops = [sorted(v)[:-4:-1] for v in values]
+                worst = [min(u for u, x in zip(b, v) if x == t[0]) if t and t[0] > CLEAN else "" for b, v, t in zip(bags, values, tops)]
+                p = model.probability(features(tops, [len(b) for b in bags]))
+                new_columns = [pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(worst, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new_columns], [*part.schema.names, *added])
+
+    return docs.mapInArrow(run, schema)
 
 
 def op7_toxicity(spark, sf_dir):
