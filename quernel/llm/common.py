@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame, rows: int, rows_per_part: int = 100_000) -> DataFrame:
+    """``cut`` of a table of about so many rows into as few partitions as they need, and what earlier rounds shuffled is let go."""
+    spark = df.sparkSession
+    out = cut(df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_part))))
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing can read any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder, read again; ``discard`` deletes it, or whoever clears the folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/quernel-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut
+from quernel.llm.common import cut, cut_small
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -16,18 +16,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     longest path. Rows of a node meet only sums of them, so a node may have any
     number of neighbours. Null ends and loops are left out.
     """
-    edges = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct())
-    state = None
+    edges = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a != b"))
+    n, state = edges.count(), None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         hung = down.join(least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a != b").distinct())
+        edges = cut_small(small.where("a != b").distinct(), n)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        n = new[0]
         if new == state:
             break
         state = new

@@ -6,8 +6,8 @@ tokens (position, least hash), of which two classes share about their Jaccard
 similarity. Each run walks a tree of chosen paths: at a node every set is split
 on the same two sampled positions, sets that share the token go on together;
 buckets of at most ``small`` classes are compared by brute force on the
-embedding, larger ones are split again, and what is still together at the last
-depth is alike enough to be compared as it is. A pair of similarity 0.8 stays
+embedding, larger ones lose what is much like their head and are split again, and
+what is still together at the last depth is compared as it is. A pair of similarity 0.8 stays
 together in a run with probability 0.93 at least at any depth, so ``runs`` of
 5 miss one pair in a million.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut
+from quernel.llm.common import claim, cut, release
 from quernel.llm.components import connected_components
 
 WORDS = 5
@@ -43,7 +43,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 600_000:
+        if len(self) > 400_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -80,6 +80,7 @@ def set_key(s: np.ndarray) -> bytes | None:
 
 def set_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _hashes.clear)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -114,7 +115,8 @@ def positions(run: int, path: int) -> list[int]:
 
 
 def split_further(rows: DataFrame, first_runs: int | None = None) -> DataFrame:
-    """Children (bucket, run, key, sig) of rows; of the roots of ``first_runs`` runs for classes."""
+    """Children (bucket, run, key, sig) of rows; of the roots of ``first_runs`` runs for classes, without sig."""
+    root = first_runs is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +133,15 @@ def split_further(rows: DataFrame, first_runs: int | None = None) -> DataFrame:
                     salt = np.uint64(mixed(r + 1, path & 0xFFFFFFFFFFFFFFFF, 1000 + p))
                     h = (sigs[rows_, p].astype(np.uint64) ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
                     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                    yield pa.RecordBatch.from_arrays([pa.array((h ^ (h >> np.uint64(29))).astype(np.int64)), pa.array(np.full(len(rows_), r, np.int32)), keys.take(pa.array(rows_))], ["bucket", "run", "key"])
+                    at = pa.array(rows_)
+                    out = [pa.array((h ^ (h >> np.uint64(29))).astype(np.int64)), pa.array(np.full(len(rows_), r, np.int32)), keys.take(at)]
+                    names = ["bucket", "run", "key"]
+                    if not root:
+                        out.append(batch.column("sig").take(at))
+                        names.append("sig")
+                    yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.mapInArrow(run, "bucket long, run int, key binary")
+    return rows.mapInArrow(run, "bucket long, run int, key binary" + ("" if root else ", sig binary"))
 
 
 def in_groups(df: DataFrame, by: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
@@ -189,28 +197,63 @@ EDGES = "a binary, b binary"
 def alike(pdf: pd.DataFrame, least: float) -> pd.DataFrame | None:
     """Edges between classes of a small bucket whose embeddings agree in a share of ``least``."""
     sigs = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, WIDTH)
-    same = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2)
-    found = forest(len(pdf), np.argwhere(np.triu(same >= least, 1)))
+    near = np.concatenate([(sigs[a : a + 64, None, :] == sigs[None, :, :]).sum(axis=2) >= least * WIDTH for a in range(0, len(sigs), 64)])
+    found = forest(len(pdf), np.argwhere(np.triu(near, 1)))
     keys = pdf["key"].tolist()
     return pd.DataFrame({"a": [keys[x] for x, _ in found], "b": [keys[y] for _, y in found]}) if found else None
 
 
+NEAR, CORE = 0.45, 0.8
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """Add ``like``: how a row's embedding agrees with that of its bucket's head, 2 in ``CORE``, 1 in ``NEAR``, 0 in less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "run", "key", "sig", "head"]
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, WIDTH) for c in ("sig", "head_sig"))
+            same = (a == b).mean(axis=1) if len(a) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array((same >= NEAR).astype(np.int32) + (same >= CORE))], [*names, "like"])
+
+    return rows.mapInArrow(run, "bucket long, run int, key binary, sig binary, head binary, like int")
+
+
 def candidate_edges(classes: DataFrame, runs: int, small: int, depth: int, least: float) -> DataFrame:
-    """Edges whose components hold every pair that some run kept together."""
+    """Edges whose components hold every pair that some run kept together.
+
+    In a large bucket all that is near the head hangs on it. What is at the
+    head's core then leaves: by the triangle inequality of Jaccard distances its
+    partners are near the head too. So groups of near copies are peeled off and
+    only the rest is split further.
+    """
+    order = F.xxhash64("key", "bucket")  # another head in every bucket of a class
     rows, edges = split_further(classes, runs), None
     for level in range(depth):
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        # a class's embedding comes to those rows only that share their bucket
-        met = cut(rows.join(counts, "bucket").join(classes.select("key", "sig"), "key"))
+        if level:
+            heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "sig"), order).alias("h")).where("n > 1")
+            met = rows.join(heads.select("bucket", "n", F.col("h.key").alias("head"), F.col("h.sig").alias("head_sig")), "bucket")
+        else:
+            heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("key", order).alias("head")).where("n > 1")
+            # a class's embedding comes to those rows only that share their bucket
+            met = rows.join(heads, "bucket").join(classes.select("key", "sig"), "key")
+        met = cut(met)
+        release(met.sparkSession)
         found = in_groups(met.where(F.col("n") <= small).select("bucket", "key", "sig"), ["bucket"], lambda pdf: alike(pdf, least), EDGES)
         edges = found if edges is None else edges.unionByName(found)
         large = met.where(F.col("n") > small)
         if not large.take(1):
             return edges
-        if level == depth - 1:
-            heads = large.groupBy("bucket").agg(F.min("key").alias("a"))
-            return edges.unionByName(large.join(heads, "bucket").select("a", F.col("key").alias("b")).where("a != b").distinct())
-        rows = split_further(large)
+        if not level:
+            first = large.where("key = head").select("bucket", F.col("sig").alias("head_sig")).dropDuplicates(["bucket"])
+            large = large.join(first, "bucket")
+        last = level == depth - 1
+        judged = cut(judge(large.select("bucket", "run", "key", "sig", "head", "head_sig")))
+        hung = judged.where(F.lit(last) | (F.col("like") > 0)).where("key != head")
+        edges = edges.unionByName(hung.select(F.col("head").alias("a"), F.col("key").alias("b")))
+        if last:
+            return edges
+        rows = split_further(judged.where("like < 2").select("bucket", "run", "key", "sig"))
     return edges
 
 
@@ -288,8 +331,29 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.mapInArrow(run, schema)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small: int = 128, depth: int = 6, block: int = 256, margin: float = 0.25) -> DataFrame:
-    """(doc_id, copy_class, class_id, n_links) of every row.
+def jaccard_join(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, copy_class, class_id, n_links) of every row; see ``groups``."""
+    return groups(docs, **params).select("doc_id", "copy_class", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: the least doc_id, null last, then the least text hash.
+
+    Rows whose text has no words are in no group and stay; of rows equal in
+    doc_id and text one stays.
+    """
+    last = F.lit((1 << 63) - 1)
+    told = groups(docs, **params).select(F.coalesce("doc_id", last).alias("__d"), "text_hash", "group")
+    kept = told.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("__d", "text_hash")).alias("k")).select("k.*")
+    kept = kept.unionByName(told.where("group IS NULL").select("__d", "text_hash")).distinct().withColumnRenamed("text_hash", "__t")
+    rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), last), "__t": F.xxhash64(F.col("text").cast("string"))})
+    return rows.join(kept, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).drop("__d", "__t")
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small: int = 512, depth: int = 5, block: int = 256, margin: float = 0.22) -> DataFrame:
+    """(doc_id, text_hash, group, copy_class, class_id, n_links) of every row.
+
+    ``group`` is a key that all rows of a component share, null without words.
 
     ``copy_class``: least doc_id among rows of the same set of five-word runs.
     ``class_id``: least doc_id of the connected component of links; a link is a
@@ -312,25 +376,42 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, s
         .select("key", "text_hash", "copies", "component", "blocks", "block")
     )
     members = cut(fetch_sets(docs, placed))
+    release(docs.sparkSession)
     # a block meets every other block of its component; small components are one block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = members.withColumn("other", other).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "shingles"
     )
     found = cut(in_groups(tasks, ["component", "i", "j"], lambda pdf: verify(pdf, threshold), LINKS))
+    release(docs.sparkSession)
     links = found.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     linked = connected_components(found.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
     named = linked.join(classes.select("key", "copy_class"), "key")
     least = named.groupBy("component").agg(F.min("copy_class").alias("class_id"))
-    by_key = named.join(least, "component").select("key", "class_id")
+    by_key = named.join(least, "component").select("key", "class_id", F.col("component").alias("group"))
     about = classes.select("key", "copies", "copy_class").join(by_key, "key", "left").join(links, "key", "left")
-    about = about.select("key", "copy_class", F.coalesce("class_id", "copy_class").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    about = about.select("key", F.coalesce("group", "key").alias("group"), "copy_class", F.coalesce("class_id", "copy_class").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     # rows without words have a key of their own here, so that they don't meet in one task
-    keyed = rows.select("doc_id", F.coalesce("key", F.concat(F.lit("-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("key"))
+    keyed = rows.select("doc_id", "text_hash", F.coalesce("key", F.concat(F.lit("-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("key"))
     return keyed.join(about, "key", "left").select(
-        "doc_id", F.coalesce("copy_class", "doc_id").alias("copy_class"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "text_hash", "group", F.coalesce("copy_class", "doc_id").alias("copy_class"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows by counting the common runs of all pairs that have one.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+lists AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+keys AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), '|')) ELSE 'none' || doc_id END AS k FROM lists),
+s AS (SELECT doc_id, unnest(g) AS g FROM lists),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN keys p ON p.doc_id = x JOIN keys q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM keys UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+labels AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS copy_class, class_id, (SELECT count(*) FROM links WHERE x = keys.doc_id) AS n_links FROM keys JOIN labels USING (doc_id)
+"""
