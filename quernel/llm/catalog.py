@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from quernel.llm.html_blocks import op6_html_extraction
-from quernel.llm.jaccard import op5_ngram_jaccard
-from quernel.llm.licenses import op8_license_scans
+from quernel.llm.jaccard import OP5_SQL, op5_ngram_jaccard
+from quernel.llm.licenses import op8_license_scans, oracle
 from quernel.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quernel.llm.maxent import op1_maxent_scoring
 from quernel.llm.media import op2_media_columns
 from quernel.llm.merge_dropout import op3_merge_dropout
 from quernel.llm.packing import op10_best_fit_packing
 from quernel.llm.toxicity import op7_toxicity
-from quernel.llm.vectors import op9_exact_top_k
+from quernel.llm.vectors import OP9_SQL, op9_exact_top_k
 
 
 def queries() -> dict:
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_license_scans": oracle(), "op9_exact_top_k": OP9_SQL}
