@@ -203,7 +203,10 @@ def alike(pdf: pd.DataFrame, least: float) -> pd.DataFrame | None:
     return pd.DataFrame({"a": [keys[x] for x, _ in found], "b": [keys[y] for _, y in found]}) if found else None
 
 
-NEAR, CORE = 0.45, 0.8
+NEAR = 0.45  # of embeddings; by it a row hangs on its bucket's head
+#: A partner of similarity THRESHOLD that isn't near the head keeps a row at least 1 - NEAR - (1 - THRESHOLD) from it;
+#: the rest allows for the errors of two estimates.
+CORE = NEAR + (1 - THRESHOLD) + 0.1
 
 
 def judge(rows: DataFrame) -> DataFrame:
@@ -253,7 +256,7 @@ def candidate_edges(classes: DataFrame, runs: int, small: int, depth: int, least
         edges = edges.unionByName(hung.select(F.col("head").alias("a"), F.col("key").alias("b")))
         if last:
             return edges
-        rows = split_further(judged.where("like < 2").select("bucket", "run", "key", "sig"))
+        rows = cut(split_further(judged.where("like < 2").select("bucket", "run", "key", "sig")))  # read twice
     return edges
 
 
