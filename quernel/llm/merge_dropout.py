@@ -2,15 +2,17 @@
 
 The vocabulary file of a SentencePiece BPE model gives pieces and merge ranks.
 Of a unit's adjacent pairs that form a piece, an agenda takes the best ranked
-first, the leftmost on ties; a keyed hash of (seed, variant, unit, place, size)
-may skip the candidate, which then comes back only if a neighbour changes.
-Characters without a piece become byte pieces, so every text decodes to itself.
+first, the leftmost on ties; each candidate may be skipped, and then comes back
+only if a neighbour changes. Characters without a piece become byte pieces, so
+every text decodes to itself.
 
 No piece has a space after another character, so a text's units (spaces and the
-word that follows, or a tab or newline) never merge; the segmentation of a unit
-depends on its variant alone and is kept in a bounded cache. Which of the
-``variants`` an occurrence gets (a quarter of them for units of over 5 characters,
-an eighth for over 8, which are mostly rare) is a hash of the seed, the key of its row and its place. Without dropout the ids are those of the SentencePiece library.
+word that follows, or a tab or newline) never merge, and a unit is cut further
+where no piece joins the neighbours. Every occurrence of a part has its own draw,
+a hash of the seed, the key of its row and its place, which says after how many
+candidates each skip comes. What a part becomes after given skips is kept in a
+bounded tree: the root has none, a child has one more. Most occurrences end at
+the root or a child of it. Without dropout the ids are those of the SentencePiece library.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ import gc
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +33,22 @@ from pyspark.sql import functions as F
 from quernel.llm.common import claim
 
 UNITS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
-CACHE_ENTRIES = 900_000
-MASK = 0xFFFFFFFF
+CACHE_ENTRIES = 600_000
+SHORT = 32  # letters of a part that is kept
+NEVER = 1 << 20  # more candidates than a short part has
+MASK = 0xFFFFFFFFFFFFFFFF
 ENCODED = "doc_id long, n_units long, n_ids long, ids array<int>, ids_crc32 long, lossless boolean"
 
 
-def mixed(x: int) -> int:
-    """A 32-bit hash of a 32-bit number."""
-    x = ((x ^ (x >> 16)) * 0x7FEB352D) & MASK
-    x = ((x ^ (x >> 15)) * 0x846CA68B) & MASK
-    return x ^ (x >> 16)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class MergeCodec:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 8):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -79,17 +85,39 @@ class MergeCodec:
         self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.order_of = np.full(size, len(self.order), np.int64)
         self.order_of[list(self.order)] = list(self.order.values())
-        self.letters = np.array([len(b.decode("utf-8", "replace")) for b in self.bytes_of], np.int64)
-        self.limit = int(dropout * (1 << 20))
+        self.dropout = dropout
         self.seed = seed
-        self.variants = variants if self.limit else 1
-        self.salts = [mixed((self.seed * self.variants + v + 1) & MASK) for v in range(self.variants)]
         self.first_ids = np.arange(0x110000, dtype=np.int64) + size  # of each character; size and more where it has no piece
         for text, i in self.rank.items():
             if len(text) == 1:
                 self.first_ids[ord(text)] = i
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.parts: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches. A node is a short part with its skips; ``forks`` has its children by node and the place of the next skip."""
+        self.cuts: dict[str, list[str]] = {}
+        self.roots: dict[str, int] = {}
+        self.forks: dict[int, int] = {}
+        self.node_part: list[str] = []
+        self.node_skips: list[tuple[int, ...]] = []
+        self.node_ids: list[bytes] = []
+        self.node_candidates = array("q")
+
+    def gaps(self, draws: np.ndarray, r: int) -> np.ndarray:
+        """How many candidates of each draw pass between its skips ``r`` - 1 and ``r``; each is skipped with the same chance."""
+        if not self.dropout:
+            return np.full(len(draws), NEVER)
+        u = (mixed(draws + np.uint64(r * 0x9E3779B97F4A7C15 & MASK)) >> np.uint64(11)) * 2.0**-53
+        with np.errstate(divide="ignore"):
+            return np.minimum(np.log1p(-u) / np.log1p(-self.dropout), NEVER).astype(np.int64)
+
+    def skips_of(self, draw: int) -> Iterator[int]:
+        """Places of the skips among the candidates, without end."""
+        at, r, draws = -1, 0, np.array([draw & MASK], np.uint64)
+        while True:
+            at += 1 + int(self.gaps(draws, r)[0])
+            yield at
+            r += 1
 
     def ids_of(self, symbols: list[str]) -> list[int]:
         """ids of merged symbols; a character without a piece gives its bytes."""
@@ -106,31 +134,35 @@ class MergeCodec:
             return [unit]
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
 
-    def learn(self, wanted: set[tuple[str, int]]) -> None:
-        """Segment (unit, variant) pairs that the cache lacks; parts of like length are merged in lockstep."""
-        whole = [x for x in wanted if x[0].lstrip(" ").isalpha()]
-        mixed_units = [(x, self.cut_up(x[0])) for x in wanted.difference(whole)]
-        new = list({(part, v) for (_, v), parts in mixed_units for part in parts if part not in self.parts[v]})
-        todo = whole + new
-        order = np.argsort(np.fromiter((len(x[0]) for x in todo), np.int64, len(todo)), kind="stable").tolist()
-        n_short = sum(len(x[0]) <= 32 for x in todo)
-        out: list[bytes] = [b""] * len(todo)
-        for a in range(0, n_short, 4096):
-            rows = order[a : min(a + 4096, n_short)]
-            for i, ids in zip(rows, self.merge_lockstep([todo[i] for i in rows])):
-                out[i] = ids
-        for i in order[n_short:]:
-            out[i] = np.asarray(self.ids_of(self.merge_many(*todo[i])), "<u4").tobytes()
-        for (unit, v), ids in zip(whole, out):
-            self.caches[v][unit] = ids
-        for (part, v), ids in zip(new, out[len(whole) :]):
-            self.parts[v][part] = ids
-        for (unit, v), parts in mixed_units:
-            known = self.parts[v]
-            self.caches[v][unit] = known[unit] if len(parts) == 1 else b"".join([known[x] for x in parts])
+    def learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> range:
+        """New nodes of (short part, skips), merged in lockstep with parts of like length."""
+        first = len(self.node_part)
+        order = sorted(range(len(wanted)), key=lambda i: len(wanted[i][0]))
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(wanted)
+        for a in range(0, len(order), 4096):
+            rows = order[a : a + 4096]
+            for i, got in zip(rows, zip(*self.lockstep([wanted[i] for i in rows]))):
+                out[i] = got
+        self.node_part.extend(part for part, _ in wanted)
+        self.node_skips.extend(skips for _, skips in wanted)
+        self.node_ids.extend(ids for ids, _ in out)
+        self.node_candidates.extend(n for _, n in out)
+        return range(first, first + len(wanted))
 
     def merge_lockstep(self, group: list[tuple[str, int]]) -> list[bytes]:
-        """ids of each part as bytes; all parts do one step of their agendas at a time."""
+        """ids of each (part, draw) as bytes."""
+        skips = []
+        for part, draw in group:
+            places = []
+            for at in self.skips_of(draw):
+                if at >= 4 * len(part):  # a part has fewer candidates
+                    break
+                places.append(at)
+            skips.append(tuple(places))
+        return self.lockstep([(part, x) for (part, _), x in zip(group, skips)])[0]
+
+    def lockstep(self, group: list[tuple[str, tuple[int, ...]]]) -> tuple[list[bytes], list[int]]:
+        """ids of each (part, places of skips) as bytes, and its number of candidates; all parts do one step of their agendas at a time."""
         n = len(group)
         lengths = np.fromiter((len(p) for p, _ in group), np.int64, n)
         width = int(lengths.max())
@@ -139,13 +171,10 @@ class MergeCodec:
         filled = np.arange(width + 1) < lengths[:, None]
         symbols = np.full((n, width + 1), -1, np.int64)
         symbols[filled] = self.first_ids[points]
-        starts = np.tile(np.arange(width + 1), (n, 1))
-        if self.limit:
-            letters = np.zeros((n, width + 1), np.int64)
-            letters[filled] = points
-            keys = np.fromiter((self.salts[v] for _, v in group), np.int64, n)
-            for k in range(width):
-                keys = np.where(filled[:, k], self.fold(keys, letters[:, k]), keys)
+        ends = np.full((n, max(len(x) for _, x in group) + 1), -1, np.int64)
+        for row, (_, x) in zip(ends, group):
+            row[: len(x)] = x
+        done, candidates = np.zeros(n, np.int64), np.zeros(n, np.int64)  # skips and candidates so far
 
         def ranks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             q = np.where((x < 0) | (y < 0) | (x >= size) | (y >= size), -1, x * size + y)
@@ -163,18 +192,15 @@ class MergeCodec:
             if not len(live):
                 break
             merged = by_order[best]
-            if self.limit:
-                h = ((keys[live] ^ (starts[live, k] * 0x9E3779B1 + self.letters[merged] * 0x85EBCA77)) * 0xC2B2AE35 >> 12) & 0xFFFFF
-                skip = h < self.limit
-                agenda[live[skip], k[skip]] = never
-                go, k, merged = live[~skip], k[~skip], merged[~skip]
-            else:
-                go = live
+            skip = candidates[live] == ends[live, done[live]]
+            candidates[live] += 1
+            done[live] += skip
+            agenda[live[skip], k[skip]] = never
+            go, k, merged = live[~skip], k[~skip], merged[~skip]
             index = np.minimum(span + (span > k[:, None]), width)
             symbols[go, k] = merged
             symbols[go] = np.take_along_axis(symbols[go], index, axis=1)
             symbols[go, -1] = -1
-            starts[go] = np.take_along_axis(starts[go], index, axis=1)
             moved = np.take_along_axis(agenda[go], np.minimum(index[:, :-1], width - 1), axis=1)
             moved[:, -1] = never
             rows = np.arange(len(go))
@@ -185,58 +211,44 @@ class MergeCodec:
             agenda[go] = moved
         counts = (symbols >= 0).sum(1)
         flat = symbols[symbols >= 0]
-        data, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * counts).tolist()
-        out = [data[x:y] for x, y in zip([0, *ends], ends)]
+        data, stops = flat.astype("<u4").tobytes(), np.cumsum(4 * counts).tolist()
+        out = [data[x:y] for x, y in zip([0, *stops], stops)]
         for r in np.nonzero((symbols >= size).any(1))[0].tolist():
             row = symbols[r][symbols[r] >= 0].tolist()
             out[r] = np.asarray([y for i in row for y in ([i] if i < size else [self.byte_ids[x] for x in chr(i - size).encode()])], "<u4").tobytes()
-        return out
-
-    @staticmethod
-    def fold(key, point):
-        """The key of a text from that of all but its last letter; for numbers and arrays alike."""
-        key = ((key ^ point) * 0x01000193) & MASK
-        return key ^ (key >> 13)
-
-    def key(self, part: str, variant: int) -> int:
-        key = self.salts[variant]
-        for c in part:
-            key = self.fold(key, ord(c))
-        return key
-
-    def skips(self, key: int, start: int, size: int) -> bool:
-        """Whether the hash skips the candidate of so many letters at this place."""
-        h = ((key ^ (start * 0x9E3779B1 + size * 0x85EBCA77)) * 0xC2B2AE35) & 0xFFFFFFFFFFFFFFFF
-        return (h >> 12) & 0xFFFFF < self.limit
+        return out, candidates.tolist()
 
-    def merge_few(self, part: str, variant: int) -> list[str]:
+    def merge_few(self, part: str, draw: int) -> list[str]:
         """Merge with the agenda as a short list, one rank for each pair of neighbours."""
-        merge, limit, never = self.merge, self.limit, len(self.order)
+        merge, never = self.merge, len(self.order)
+        skips, n_seen = self.skips_of(draw), 0
+        skip = next(skips)
         symbols = list(part)
         agenda = [merge.get(x + y, never) for x, y in zip(symbols, symbols[1:])]
-        starts = list(range(len(symbols)))
-        key = self.key(part, variant) if limit else 0
         while agenda:
             best = min(agenda)
             if best == never:
                 break
             k = agenda.index(best)
             piece = symbols[k] + symbols[k + 1]
-            if limit and self.skips(key, starts[k], len(piece)):
+            n_seen += 1
+            if n_seen > skip:
+                skip = next(skips)
                 agenda[k] = never
                 continue
             symbols[k : k + 2] = [piece]
-            del agenda[k], starts[k + 1]
+            del agenda[k]
             if k:
                 agenda[k - 1] = merge.get(symbols[k - 1] + piece, never)
             if k < len(agenda):
                 agenda[k] = merge.get(piece + symbols[k + 1], never)
         return symbols
 
-    def merge_many(self, part: str, variant: int) -> list[str]:
+    def merge_many(self, part: str, draw: int) -> list[str]:
         """The same with the agenda as a heap, for long parts."""
-        merge, limit = self.merge, self.limit
-        key = self.key(part, variant) if limit else 0
+        merge = self.merge
+        skips, n_seen = self.skips_of(draw), 0
+        skip = next(skips)
         symbols = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -247,7 +259,9 @@ class MergeCodec:
             a, b = symbols[left], symbols[right] if right < n else ""
             if not a or not b or len(a) + len(b) != size or after[left] != right:
                 continue
-            if limit and self.skips(key, left, size):
+            n_seen += 1
+            if n_seen > skip:
+                skip = next(skips)
                 continue
             symbols[left], symbols[right] = a + b, ""
             far = after[left] = after[right]
@@ -260,41 +274,59 @@ class MergeCodec:
                 heapq.heappush(agenda, (merge[p], near, len(p), left))
         return [s for s in symbols if s]
 
-    def variants_of(self, units: list[str], key: int) -> list[int]:
-        """The variant of each unit of the row with this key; long units have fewer."""
-        n = len(units)
-        if self.variants == 1:
-            return [0] * n
-        x = np.arange(n, dtype=np.uint64) + np.uint64(((key & MASK) * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        lengths = np.fromiter(map(len, units), np.int64, n)
-        kinds = np.where(lengths > 8, self.variants // 8 or 1, np.where(lengths > 5, self.variants // 4 or 1, self.variants))
-        return ((x >> np.uint64(33)).astype(np.int64) % kinds).tolist()
-
     def encode_many(self, texts: list[str], keys: list[int]) -> list[tuple[bytes, int]]:
         """Of each text: ids as little-endian uint32 bytes, and the number of units. The empty text has none."""
-        caches = self.caches
-        if sum(map(len, caches)) + sum(map(len, self.parts)) > CACHE_ENTRIES:
-            for c in (*caches, *self.parts):
-                c.clear()
+        if len(self.cuts) + len(self.node_part) > CACHE_ENTRIES:
+            self.forget()
         paused = gc.isenabled()
         gc.disable()  # the many short-lived tuples form no cycles
         try:
             units = [UNITS.findall(" " + t) if t else [] for t in texts]
-            picks = [self.variants_of(u, key) for u, key in zip(units, keys)]
-            look = [c.get for c in caches]
-            found = [[look[v](u) for u, v in zip(us, vs)] for us, vs in zip(units, picks)]
-            gaps = [(us, vs, f, [k for k, x in enumerate(f) if x is None]) for us, vs, f in zip(units, picks, found) if None in f]
-            self.learn({(us[k], vs[k]) for us, vs, _, holes in gaps for k in holes})
-            for us, vs, f, holes in gaps:
-                for k in holes:
-                    f[k] = caches[vs[k]][us[k]]
-            return [(b"".join(f), len(f)) for f in found]
+            cuts = self.cuts
+            for u in set(chain.from_iterable(units)).difference(cuts):
+                cuts[u] = self.cut_up(u)
+            parts = [list(chain.from_iterable(map(cuts.__getitem__, us))) for us in units]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            stops = np.cumsum(sizes)
+            places = np.arange(sizes.sum()) - np.repeat(stops - sizes, sizes)
+            starts = [(key * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03) & MASK for key in keys]
+            draws = mixed(places.astype(np.uint64) + np.repeat(np.array(starts, np.uint64), sizes))
+            found = self.ids_by_draw(list(chain.from_iterable(parts)), draws)
+            return [(b"".join(found[a:b]), len(us)) for a, b, us in zip([0, *stops.tolist()], stops.tolist(), units)]
         finally:
             if paused:
                 gc.enable()
 
+    def ids_by_draw(self, parts: list[str], draws: np.ndarray) -> list[bytes]:
+        """ids of each occurrence of a part by its own draw."""
+        roots, forks = self.roots, self.forks
+        fresh = set(parts).difference(roots)
+        new = sorted(p for p in fresh if len(p) <= SHORT)
+        roots.update(zip(new, self.learn([(p, ()) for p in new])))
+        roots.update((p, -1) for p in fresh if len(p) > SHORT)
+        node = np.fromiter(map(roots.__getitem__, parts), np.int64, len(parts))
+        long = np.nonzero(node < 0)[0].tolist()
+        for i in long:
+            roots.pop(parts[i], None)
+        on = np.nonzero(node >= 0)[0]
+        at = self.gaps(draws[on], 0)
+        r = 0
+        while len(on):
+            deeper = at < np.array(self.node_candidates)[node[on]]
+            on, at = on[deeper], at[deeper]
+            if not len(on):
+                break
+            forked = (node[on] * NEVER + at).tolist()
+            new = sorted(set(forked).difference(forks))
+            forks.update(zip(new, self.learn([(self.node_part[k // NEVER], (*self.node_skips[k // NEVER], k % NEVER)) for k in new])))
+            node[on] = np.fromiter(map(forks.__getitem__, forked), np.int64, len(on))
+            r += 1
+            at = at + 1 + self.gaps(draws[on], r)
+        out = list(map(self.node_ids.__getitem__, node.tolist()))
+        for i in long:
+            out[i] = np.asarray(self.ids_of(self.merge_many(parts[i], int(draws[i]))), "<u4").tobytes()
+        return out
+
     def encode(self, text: str, key: int = 0) -> tuple[bytes, int]:
         return self.encode_many([text], [key])[0]
 
@@ -314,7 +346,7 @@ def codec(*key) -> MergeCodec:
     return _codecs[key]
 
 
-def encode_column(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def encode_column(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """(doc_id, n_units, n_ids, ids, ids_crc32, lossless) of every row.
 
     The key of a row is its doc_id, so a text segments alike wherever the row
@@ -323,7 +355,7 @@ def encode_column(docs: DataFrame, path: str, dropout: float = 0.1, seed: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, dropout, seed, variants)
+        c = codec(path, dropout, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)

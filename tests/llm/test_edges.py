@@ -254,6 +254,20 @@ def test_merge_dropout_varies_by_seed_and_decodes():
     assert len(seen) > 3
 
 
+def test_merge_dropout_varies_at_every_occurrence():
+    c = merge_dropout.MergeCodec(public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1)
+    for word in ["international", "reading"]:
+        n = 4000
+        alone = [c.encode(word, key)[0] for key in range(n)]
+        (joined, units), = c.encode_many([" ".join([word] * n)], [7])
+        assert units == n and c.decode(np.frombuffer(joined, "<u4").tolist()) == " ".join([word] * n)
+        brute = [tuple(c.ids_of(c.merge_few(" " + word, draw))) for draw in range(n)]
+        plain = Counter(brute).most_common(1)[0][0]
+        share = [sum(tuple(x) == plain for x in xs) / n for xs in (brute, [np.frombuffer(d, "<u4").tolist() for d in alone])]
+        assert abs(share[0] - share[1]) < 0.05 and len(set(alone)) > 8
+        assert len({c.encode_many([word + " " + word], [k])[0][0] for k in range(200)}) > 20
+
+
 # -- language model
 
 
