@@ -2,8 +2,9 @@
 
 log P(word | history) = log P(class | features) + log P(word | class, features).
 Features are hashed: the word before, the pair of words before (n-grams), and
-the word before the last (skip). The most frequent words are in
-classes of ``CLASS_SIZE`` with a softmax inside. All other words belong to
+the words second and third before (skips). The most frequent words are in
+classes of ``CLASS_SIZE`` with a softmax inside; classes and weight rows grow
+with the square roots of the vocabulary and of the tokens. All other words belong to
 open classes by their last bytes; inside an open class a word has its share of
 the class's corpus count, add-one smoothed with one place for unseen words, so
 the model sums to one with no bound on the vocabulary.
@@ -15,6 +16,7 @@ averaged by how often each partition touched them, through a tree of sums.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import crc_mod, cut
+from quernel.llm.common import crc_mod, cut, release
 
 END = b"\n"  # no word holds it
 HOT_WORDS = 131_072  # known to every task at most; any other word has about 1/131072 of all tokens or less
-CLASS_SIZE, CLASSES, OPEN = 32, 16, 16
+CLASS_SIZE, CLASSES, OPEN = 64, 16, 16  # CLASSES and ROWS at least
 IN_MODEL = CLASS_SIZE * CLASSES
 START = HOT_WORDS + OPEN
 ROWS = 1 << 15
@@ -72,25 +74,32 @@ class Lexicon:
     distinct: int
     open_tokens: np.ndarray
     open_distinct: np.ndarray
+    n_classes: int = CLASSES
+    n_rows: int = ROWS
+
+    @property
+    def in_model(self) -> int:
+        return CLASS_SIZE * self.n_classes
 
     def prepare(self) -> None:
+        in_model = self.in_model
         self.ids = Ids(zip(self.hot, range(len(self.hot))))
         self.classes = np.zeros(START + 1, np.int32)
         n = len(self.hot)
-        self.classes[: min(n, IN_MODEL)] = np.arange(min(n, IN_MODEL)) // CLASS_SIZE
-        self.classes[IN_MODEL:n] = [CLASSES + open_class(w) for w in self.hot[IN_MODEL:]]
-        self.classes[HOT_WORDS : HOT_WORDS + OPEN] = CLASSES + np.arange(OPEN)
-        inside = np.full(CLASSES * CLASS_SIZE, -1e9)
-        inside[: min(n, IN_MODEL)] = np.log(self.counts[:IN_MODEL])
-        self.word_bias = inside.reshape(CLASSES, CLASS_SIZE).astype(np.float32)
+        self.classes[: min(n, in_model)] = np.arange(min(n, in_model)) // CLASS_SIZE
+        self.classes[in_model:n] = [self.n_classes + open_class(w) for w in self.hot[in_model:]]
+        self.classes[HOT_WORDS : HOT_WORDS + OPEN] = self.n_classes + np.arange(OPEN)
+        inside = np.full(in_model, -1e9)
+        inside[: min(n, in_model)] = np.log(self.counts[:in_model])
+        self.word_bias = inside.reshape(self.n_classes, CLASS_SIZE).astype(np.float32)
         mass = np.exp(self.word_bias.astype(np.float64)).sum(1)
         whole = np.concatenate([mass, self.open_tokens + 1.0])
         self.class_bias = np.where(whole > 0, np.log(np.maximum(whole, 1e-300)), -1e9).astype(np.float32)
         self.base = np.log10((self.counts + 1) / (self.tokens + self.distinct + 1))
         share = np.zeros(START + 1)
-        if n > IN_MODEL:
-            j = self.classes[IN_MODEL:n] - CLASSES
-            share[IN_MODEL:n] = np.log10((self.counts[IN_MODEL:] + 1) / (self.open_tokens + self.open_distinct + 1)[j])
+        if n > in_model:
+            j = self.classes[in_model:n] - self.n_classes
+            share[in_model:n] = np.log10((self.counts[in_model:] + 1) / (self.open_tokens + self.open_distinct + 1)[j])
         self.share = share
 
 
@@ -114,6 +123,12 @@ def word_counts(docs: DataFrame, keep: int = 200_000) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def sizes(tokens: int, distinct: int) -> tuple[int, int]:
+    """Classes and weight rows (a power of two) for a corpus of so many tokens and distinct words."""
+    classes = min(HOT_WORDS // CLASS_SIZE, max(CLASSES, math.isqrt(distinct) // 32))
+    return classes, max(ROWS, 1 << (math.isqrt(tokens) * 8 - 1).bit_length() if tokens else 0)
+
+
 def gather_lexicon(counts: DataFrame) -> Lexicon:
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     # the least step of a fine scale of counts above which there are no more than HOT_WORDS words
@@ -131,36 +146,39 @@ def gather_lexicon(counts: DataFrame) -> Lexicon:
     tokens, distinct = np.zeros(OPEN), np.zeros(OPEN)
     for r in counts.groupBy(open_class_of("word").alias("j")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tokens[r["j"]], distinct[r["j"]] = r["n"], r["v"]
-    for w, c in zip(names[:IN_MODEL], n[:IN_MODEL]):
+    n_classes, n_rows = sizes(int(totals["n"] or 0), int(totals["v"] or 0))
+    in_model = n_classes * CLASS_SIZE
+    for w, c in zip(names[:in_model], n[:in_model]):
         tokens[open_class(w)] -= c
         distinct[open_class(w)] -= 1
-    return Lexicon(names, n, int(totals["n"] or 0), int(totals["v"] or 0), tokens, distinct)
+    return Lexicon(names, n, int(totals["n"] or 0), int(totals["v"] or 0), tokens, distinct, n_classes, n_rows)
 
 
 def positions(ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Target and the two words before it, for every place of the texts."""
-    pad = np.full(2, START, np.int64)
+    """Target and the three words before it, for every place of the texts."""
+    pad = np.full(3, START, np.int64)
     flat = np.concatenate([x for a in ids for x in (pad, a)])
     lengths = np.array([len(a) for a in ids])
-    ends = np.cumsum(lengths + 2)
+    ends = np.cumsum(lengths + 3)
     at = np.arange(lengths.sum()) + np.repeat(ends - np.cumsum(lengths), lengths)
-    return flat[at], [flat[at - 1], flat[at - 2]]
+    return flat[at], [flat[at - 1], flat[at - 2], flat[at - 3]]
 
 
 def hashed(before: list[np.ndarray]) -> list[np.ndarray]:
-    """64-bit hashes of the features of each place."""
-    a, b = (x.astype(np.uint64) for x in before)
+    """64-bit hashes of the features of each place; a third word before that isn't given is before the start."""
+    a, b, c = (x.astype(np.uint64) for x in [*before, np.full(len(before[0]), START)][:3])
     m1, m2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    raw = [a * m1, (b + np.uint64(1 << 21)) * m1, (a * m2 + b + np.uint64(1 << 40)) * m1]
+    raw = [a * m1, (b + np.uint64(1 << 21)) * m1, (a * m2 + b + np.uint64(1 << 40)) * m1, (c + np.uint64(1 << 22)) * m1]
     return [(x ^ (x >> np.uint64(29))) * m2 for x in raw]
 
 
-def rows_of(hashes: list[np.ndarray], salt: np.ndarray | None = None) -> list[np.ndarray]:
-    """Weight rows; ``salt`` parts the rows of one class from those of another."""
+def rows_of(hashes: list[np.ndarray], salt: np.ndarray | None = None, n_rows: int = ROWS) -> list[np.ndarray]:
+    """Weight rows of ``n_rows``, a power of two; ``salt`` parts the rows of one class from those of another."""
     if salt is not None:
         s = (salt.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         hashes = [(h ^ s) * np.uint64(0x9E3779B97F4A7C15) for h in hashes]
-    return [(h >> np.uint64(49)).astype(np.uint16) for h in hashes]  # 15 bits: ROWS
+    shift = np.uint64(65 - n_rows.bit_length())
+    return [(h >> shift).astype(np.uint16 if n_rows <= 1 << 16 else np.uint32) for h in hashes]
 
 
 def probabilities(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -175,7 +193,11 @@ def probabilities(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray)
 
 
 def descend(weights, squares, touched, rows, p, target, rate) -> None:
-    """One AdaGrad step on the mean loss of a minibatch; ``p`` is used up."""
+    """One AdaGrad step on the mean loss of a minibatch; ``p`` is used up.
+
+    ``rate`` is for three features and 32 columns: features add up, and the mean square of a gradient falls with unused columns.
+    """
+    rate = rate * 3 / len(rows) * (32 / p.shape[1]) ** 0.5
     p[np.arange(len(p)), target] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")
@@ -201,12 +223,12 @@ def learn(texts: Iterator[list[str | None]], lexicon: Lexicon, start: list[np.nd
         for a in range(0, len(target), batch):
             t, hashes = target[a : a + batch], hashed([x[a : a + batch] for x in before])
             cls = lexicon.classes[t]
-            rows = rows_of(hashes)
+            rows = rows_of(hashes, n_rows=lexicon.n_rows)
             descend(tables[0], squares[0], touched[0], rows, probabilities(tables[0], rows, lexicon.class_bias), cls, rate)
-            inside = np.nonzero(t < min(len(lexicon.hot), IN_MODEL))[0]
+            inside = np.nonzero(t < min(len(lexicon.hot), lexicon.in_model))[0]
             if len(inside):
                 c = cls[inside]
-                rows = rows_of([h[inside] for h in hashes], c)
+                rows = rows_of([h[inside] for h in hashes], c, lexicon.n_rows)
                 descend(tables[1], squares[1], touched[1], rows, probabilities(tables[1], rows, lexicon.word_bias[c]), t[inside] % CLASS_SIZE, rate)
 
     size = 0
@@ -223,15 +245,15 @@ def learn(texts: Iterator[list[str | None]], lexicon: Lexicon, start: list[np.nd
     return tables, touched
 
 
-def fresh() -> list[np.ndarray]:
-    return [np.zeros((ROWS, CLASSES + OPEN), np.float32), np.zeros((ROWS, CLASS_SIZE), np.float32)]
+def fresh(n_classes: int = CLASSES, n_rows: int = ROWS) -> list[np.ndarray]:
+    return [np.zeros((n_rows, n_classes + OPEN), np.float32), np.zeros((n_rows, CLASS_SIZE), np.float32)]
 
 
 def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16, tokens_per_part: int = 5_000_000) -> list[np.ndarray]:
     """Weight tables after ``rounds`` passes of distributed updates over all texts."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)
-    tables = fresh()
+    tables = fresh(lexicon.n_classes, lexicon.n_rows)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(tables)
 
@@ -241,10 +263,10 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16,
             got = learn((b["text"].tolist() for b in batches), known, start.value)
             part = TaskContext.get().partitionId()
             for k, (w, n) in enumerate(zip(*got)):
-                for b in range(0, ROWS, BLOCK):
+                for b in range(0, len(w), BLOCK):
                     if n[b : b + BLOCK].any():
                         moved = w[b : b + BLOCK] - start.value[k][b : b + BLOCK]
-                        yield pd.DataFrame({"part": [part], "tab": [k], "block": [b // BLOCK], "w": [moved.astype("<f2").tobytes()], "n": [n[b : b + BLOCK].astype("<f4").tobytes()]})
+                        yield pd.DataFrame({"part": [part], "tab": [k], "block": [b // BLOCK], "w": [moved.astype("<f4").tobytes()], "n": [n[b : b + BLOCK].astype("<f4").tobytes()]})
 
         schema = "part int, tab int, block int, w binary, n binary"
         texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -257,15 +279,18 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16,
             first = pdf.iloc[0]
             ns = [np.frombuffer(x, "<f4").astype(np.float64) for x in pdf["n"]]
             n = sum(ns)
-            w = sum(np.frombuffer(x, "<f2").reshape(BLOCK, -1) * m[:, None] for x, m in zip(pdf["w"], ns)) / np.maximum(n, 1)[:, None]
-            return pd.DataFrame({"part": [first.part // fan_in], "tab": [first.tab], "block": [first.block], "w": [w.astype("<f2").tobytes()], "n": [n.astype("<f4").tobytes()]})
+            w = sum(np.frombuffer(x, "<f4").reshape(BLOCK, -1) * m[:, None] for x, m in zip(pdf["w"], ns)) / np.maximum(n, 1)[:, None]
+            return pd.DataFrame({"part": [first.part // fan_in], "tab": [first.tab], "block": [first.block], "w": [w.astype("<f4").tobytes()], "n": [n.astype("<f4").tobytes()]})
 
         while parts > 1:  # fan_in blocks meet in a task, however many partitions there are
             sums = cut(sums.groupBy("tab", "block", F.floor(F.col("part") / fan_in)).applyInPandas(add, schema))
             parts = -(-parts // fan_in)
-        for r in sums.collect():  # the bounded tables: 2 * ROWS rows
-            w = np.frombuffer(r["w"], "<f2").reshape(BLOCK, -1)
+            release(spark)
+        for r in sums.collect():  # the tables: 2 * n_rows rows
+            w = np.frombuffer(r["w"], "<f4").reshape(BLOCK, -1)
             tables[r["tab"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += w
+        del sums
+        release(spark)  # the parts' weights, before the words of the texts are shuffled
     return tables
 
 
@@ -276,12 +301,12 @@ def log10_model(ids: list[np.ndarray], lexicon: Lexicon, tables: list[np.ndarray
     for a in range(0, len(target), batch):
         t, hashes = target[a : a + batch], hashed([x[a : a + batch] for x in before])
         cls = lexicon.classes[t]
-        p = probabilities(tables[0], rows_of(hashes), lexicon.class_bias)
+        p = probabilities(tables[0], rows_of(hashes, n_rows=lexicon.n_rows), lexicon.class_bias)
         value = np.log10(np.maximum(p[np.arange(len(t)), cls], 1e-30)) + lexicon.share[t]
-        inside = np.nonzero(t < min(len(lexicon.hot), IN_MODEL))[0]
+        inside = np.nonzero(t < min(len(lexicon.hot), lexicon.in_model))[0]
         if len(inside):
             c = cls[inside]
-            p = probabilities(tables[1], rows_of([h[inside] for h in hashes], c), lexicon.word_bias[c])
+            p = probabilities(tables[1], rows_of([h[inside] for h in hashes], c, lexicon.n_rows), lexicon.word_bias[c])
             value[inside] += np.log10(np.maximum(p[np.arange(len(inside)), t[inside] % CLASS_SIZE], 1e-30))
         out[a : a + batch] = value
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])[:-1]

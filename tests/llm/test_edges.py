@@ -312,6 +312,21 @@ def test_maxent_learns_context(spark):
     assert all(r["score"] > r["base_score"] + 20 for r in got)
 
 
+def test_maxent_grows_and_sees_the_third_word_before(spark):
+    classes, rows = maxent.sizes(5_000_000_000, 50_000_000)
+    assert maxent.sizes(1000, 100) == (16, 1 << 15) and classes > 200 and rows >= 1 << 19 and maxent.IN_MODEL == 1024
+    _, before = maxent.positions([np.array([5, 6, 7, 8])])
+    assert [x[-1] for x in before] == [7, 6, 5]
+    one, other = (maxent.hashed([np.array([1]), np.array([2]), np.array([c])]) for c in (3, 4))
+    assert any(x != y for x, y in zip(one, other))
+    # a larger model trains and scores too
+    lex = maxent.Lexicon([f"w{i}".encode() for i in range(1500)], np.arange(1500, 0, -1.0), 10_000, 1500, np.zeros(16), np.zeros(16), 20, 1 << 17)
+    lex.prepare()
+    ids = [np.array([3, 1100, 1279, 4])]
+    tables, _ = maxent.learn(iter([["w3 w1100 w1279 w4"] * 50]), lex, maxent.fresh(20, 1 << 17))
+    assert maxent.log10_model(ids, lex, tables)[0] > maxent.log10_model(ids, lex, maxent.fresh(20, 1 << 17))[0] + 0.5
+
+
 # -- html
 
 
