@@ -28,7 +28,7 @@ from quernel.llm.common import claim, crc_mod
 
 SAMPLE_ROWS = 4000
 DECAY = 0.6
-ORDERS = (3, 4)
+ORDERS = (3, 5)
 SHORTEST = 3  # letters of a unit
 WINDOW = 24
 CACHE_ENTRIES = 400_000
@@ -100,7 +100,7 @@ def normal_kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
     # landmarks of like length together: the kernel's work goes with the longest
     by_length = np.argsort([len(x) for x in landmarks], kind="stable")
-    parts = [p for p in np.array_split(by_length, 2) if len(p)]
+    parts = [p for p in np.array_split(by_length, max(2, -(-len(landmarks) // 20))) if len(p)]  # memory is for 20 landmarks
     tight = [t[p][:, : max(len(landmarks[i]) for i in p)] for p in parts]
     for a in range(0, len(order), 2048):
         rows = order[a : a + 2048]
@@ -157,16 +157,16 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30)
     return w[:-1], float(w[-1])
 
 
-def spread(weight: dict[str, float], most: int, apart: float = 0.5) -> list[str]:
-    """The heaviest units that are unlike each other, then the heaviest of the rest; ties to the lesser string."""
-    ranked = sorted(weight, key=lambda u: (-weight[u], u))[: 20 * most]
-    like = normal_kernel([windows(u)[0] for u in ranked], [windows(u)[0] for u in ranked])
-    chosen: list[int] = []
-    for i in range(len(ranked)):
-        if len(chosen) < most and (not chosen or like[i, chosen].max() < apart):
-            chosen.append(i)
-    rest = [i for i in range(len(ranked)) if i not in set(chosen)]
-    return [ranked[i] for i in (chosen + rest)[:most]]
+def spread(weight: dict[str, float], least: int, apart: float = 0.5) -> list[str]:
+    """The heaviest units that are unlike each other, until every unit is like one of them; then the heaviest of the rest, up to ``least``. Ties to the lesser string."""
+    ranked = sorted(weight, key=lambda u: (-weight[u], u))
+    chosen, left = [], ranked
+    while left:
+        chosen.append(left[0])
+        like = normal_kernel([windows(u)[0] for u in left[1:]], [windows(left[0])[0]])[:, 0]
+        left = [u for u, x in zip(left[1:], like) if x < apart]
+    known = set(chosen)
+    return chosen + [u for u in ranked if u not in known][: max(0, least - len(chosen))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -183,7 +183,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[set[str], int]], n_landmarks: int = 20, rounds: int = 3) -> Model:
+def train(rows: list[tuple[set[str], int]], n_landmarks: int = 32, rounds: int = 3) -> Model:
     """Fit on (units of a text, label). Without both labels, or without units that tell them apart, every text gets the same score."""
     rows = sorted({(tuple(sorted(u)), y) for u, y in rows})  # a copied text counts once
     toxic, clean = ([list(u) for u, y in rows if y == v] for v in (1, 0))
@@ -201,7 +201,7 @@ def train(rows: list[tuple[set[str], int]], n_landmarks: int = 20, rounds: int =
         for u, x in shares.items():
             weight[u] += x / sum(shares.values())
     usual = [u for u, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if u not in weight]
-    landmarks = list(dict.fromkeys(windows(u)[0] for u in spread(weight, n_landmarks) + usual[:4]))
+    landmarks = list(dict.fromkeys(windows(u)[0] for u in spread(weight, n_landmarks) + usual[:8]))
     values, vectors = np.linalg.eigh(normal_kernel(landmarks, landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T  # Nyström map
     names = sorted({*in_toxic, *in_clean})

@@ -384,6 +384,15 @@ def test_toxicity_learns_and_stands_gaps(spark):
     assert toxicity.units("v i l l a i n of") == {"villain"} and "villain" in toxicity.units("vil.la-in")
 
 
+def test_toxicity_landmarks_cover_every_family():
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñ"
+    r = np.random.default_rng(3)
+    insults = ["".join(r.choice(list(letters), 7)) for _ in range(60)]
+    got = toxicity.spread({u: 1.0 + i for i, u in enumerate(insults)}, 20)
+    assert toxicity.normal_kernel(insults, got).max(1).min() >= 0.5 and len(got) > 40
+    assert len(toxicity.spread({u: 1.0 for u in ["abcdef", "abcdeg", "abcdeh"]}, 3)) == 3
+
+
 def test_toxicity_edges(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, None), (None, 1), (1, 0)], "doc_id long, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
