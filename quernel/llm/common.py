@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``. Unset, a temporary one in local mode only, where all tasks share this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernel-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -71,6 +74,43 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def meet(rows: DataFrame, groups: DataFrame, by: list[str], count: str = "n", most: int = 100_000, least: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join of rows with a table of one row a key that has the number of the key's rows in ``count``; hot keys are salted.
+
+    Hot is a key with over ``least`` rows and over 1/``most`` of all, so there are
+    fewer than ``most`` of them: they are broadcast to mark their rows, which are
+    dealt over ``salts`` parts, and their groups come to every part. ``groups``
+    is read several times.
+    """
+    total, largest = groups.agg(F.sum(count), F.max(count)).first()
+    limit = max(least, (total or 0) // most)
+    if (largest or 0) <= limit:
+        return rows.join(groups, by)
+    hot = F.col(count) > limit
+    hot_keys = groups.where(hot).select(*by, F.lit(True).alias("__hot"))  # fewer than ``most`` rows
+    names = rows.columns
+    place = F.pmod(F.xxhash64(*[c for c in names if c not in by]), F.lit(salts)).cast("int")
+    salted = rows.join(F.broadcast(hot_keys), by, "left").withColumn("__salt", F.when(F.col("__hot"), place).otherwise(0)).drop("__hot")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(groups.withColumn("__salt", F.explode(copies)), [*by, "__salt"]).drop("__salt")
+
+
+def bitmap(hashes: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """One row with the bits that the hashes (h) set, in longs; its size is fixed. With many hashes it only filters less."""
+    at = F.pmod(F.xxhash64("h"), F.lit(bits))
+    words = hashes.select(F.shiftrightunsigned(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(h), {bits}) & 63 as int))").alias("b"))
+    words = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+    rows = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left")
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("bits"))
+
+
+def may_hold(rows: DataFrame, hashes: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose ``h`` is among the hashes, and a few others: keeps a later join's shuffle small."""
+    at = f"pmod(xxhash64(h), {bits})"
+    hit = F.expr(f"(shiftrightunsigned(get(bits, cast(shiftrightunsigned({at}, 6) as int)), cast({at} & 63 as int)) & 1L) = 1L")
+    return rows.join(F.broadcast(cut(bitmap(hashes, bits))), hit, "left_semi")  # one row of bits / 8 bytes
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a value as text, modulo ``n``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line goes if an equal line, or one within one edit (a character put in, left
-out or changed), comes earlier; the earliest stays. Two lines within one edit
+out or changed), comes earlier; the earliest stays. Equal lines go at any length,
+near ones from ``min_chars`` characters on. Two lines within one edit
 share all before the edit and all after it. So the variants of a line are what
 is left when a window around each place is deleted, as hashed keys, and lines
 that share a variant are joined. Deleting single characters at once would make
@@ -15,7 +16,8 @@ as many variants as the corpus has characters, so the windows narrow by steps:
    edit, so the earliest line of a key is enough; its edit distance is verified.
 
 A key's lines are only ever summed (least and greatest hash, earliest place),
-so no pairs are made and a key may be shared by any number of lines.
+so no pairs are made. Lines then meet their key's sum; a key that many lines
+share is salted there (``meet``).
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, discard, stored
+from quernel.llm.common import cut, discard, may_hold, meet, stored
 
-MIN_CHARS = 20
+MIN_CHARS = 20  # of lines that are compared by edits; one edit in a shorter line is a large part of it
 LAST_ID = (1 << 63) - 1
 
 
@@ -35,12 +37,12 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(d, t, l, line, h): trimmed lines of at least ``min_chars`` characters, with a 128-bit hash."""
+def lines_of(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(d, t, l, line, h): trimmed lines of at least ``min_chars`` characters, none of them blank, with a 128-bit hash."""
     split = texts_of(docs).select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("l", "raw"))
     odd = F.col("raw").contains("\t") | F.col("raw").contains("\r")  # translate is slow and seldom needed
     trimmed = split.where(F.octet_length("raw") >= min_chars).select("d", "t", "l", F.trim(F.when(odd, F.translate("raw", "\t\r", "  ")).otherwise(F.col("raw"))).alias("line"))
-    return trimmed.where(F.length("line") >= min_chars).withColumn("h", F.unhex(F.md5("line")))
+    return trimmed.where(F.length("line") >= max(1, min_chars)).withColumn("h", F.unhex(F.md5("line")))
 
 
 def sizes(n: Column) -> Column:
@@ -58,25 +60,9 @@ flatten(transform(bs, b -> array(
 """
 
 
-def bitmap(hashes: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """One row with the bits that the hashes (h) set, in longs; its size is fixed. With many hashes it only filters less."""
-    at = F.pmod(F.xxhash64("h"), F.lit(bits))
-    words = hashes.select(F.shiftrightunsigned(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(h), {bits}) & 63 as int))").alias("b"))
-    words = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
-    rows = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left")
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("bits"))
-
-
-def may_hold(rows: DataFrame, hashes: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows whose ``h`` is among the hashes, and a few others: keeps a later join's shuffle small."""
-    at = f"pmod(xxhash64(h), {bits})"
-    hit = F.expr(f"(shiftrightunsigned(get(bits, cast(shiftrightunsigned({at}, 6) as int)), cast({at} & 63 as int)) & 1L) = 1L")
-    return rows.join(F.broadcast(cut(bitmap(hashes, bits))), hit, "left_semi")  # one row of bits / 8 bytes
-
-
 def live_keys(rows: DataFrame) -> DataFrame:
-    """Keys that two or more different lines share."""
-    return rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("key")
+    """(key, n): keys that two or more different lines share, and their rows."""
+    return cut(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n"))
 
 
 #: Deleted windows (i, j) of width v inside a window of width w: i * v characters before and j * v after them stay.
@@ -106,7 +92,7 @@ def narrowed(v: Column) -> Column:
 def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     """(h): lines that have an earlier line within one edit. ``first`` has each line's first place."""
     keys = slim.select(F.explode("halves").alias("key"), "h")
-    met = cut(keys.join(live_keys(keys), "key").select("h").distinct())
+    met = cut(meet(keys, live_keys(keys), ["key"]).select("h").distinct())
     # the text of a line comes from its first place only
     wanted = met.join(first, "h").select("h", "place.d", "place.t", "place.l", "place")
     some = may_hold(lines, met)
@@ -117,7 +103,7 @@ def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> D
     start = start.select("*", F.lit(0).alias("p_lo"), F.length("line").alias("p_hi"), F.lit(0).alias("s_lo"), F.length("line").alias("s_hi"))
     rows, done = cut(variants(start)), None
     while True:
-        live = cut(rows.join(live_keys(rows), "key"))
+        live = cut(meet(rows, live_keys(rows).withColumnRenamed("n", "rows"), ["key"], "rows").drop("rows"))
         last = live.where("v = 1").select("key", "h")
         done = last if done is None else done.unionByName(last)
         more = live.where("v > 1")
@@ -129,9 +115,9 @@ def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> D
             (F.col("j") * F.col("v")).alias("s_lo"), F.least(F.col("j") * F.col("v") + F.col("v") - 1, F.col("n")).alias("s_hi"),
         )
         rows = cut(variants(parent).distinct())
-    placed = done.join(found.select("h", "place"), "h")
-    lead = placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("lead"))
-    pairs = placed.join(cut(lead), "key").where(F.col("lead.place") < F.col("place")).select("h", F.col("lead.h").alias("by")).distinct()
+    placed = cut(done.join(found.select("h", "place"), "h"))
+    lead = cut(placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("lead"), F.count("*").alias("n")))
+    pairs = meet(placed, lead, ["key"]).where(F.col("lead.place") < F.col("place")).select("h", F.col("lead.h").alias("by")).distinct()
     text = found.select("h", "line")
     checked = pairs.join(text, "h").join(text.select(F.col("h").alias("by"), F.col("line").alias("by_line")), "by")
     return checked.where(F.levenshtein("line", "by_line", 1) >= 0).select("h").distinct()
@@ -139,18 +125,19 @@ def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> D
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """(d, t, l): the lines that go."""
-    lines = lines_of(docs, min_chars)
-    halves = lines.withColumn("bs", sizes(F.length("line"))).withColumn("halves", F.expr(HALVES))
-    slim = stored(halves.select("d", "t", "l", "h", "halves"))
+    lines = lines_of(docs)
+    b = F.when(F.length("line") >= min_chars, sizes(F.length("line"))).otherwise(F.array().cast("array<int>"))
+    slim = stored(lines.withColumn("bs", b).select("d", "t", "l", "h", F.expr(HALVES).alias("halves")))
     places = slim.select("h", F.struct("d", "t", "l").alias("place"))
     first = cut(places.groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("n")))
-    marks = first.where("n > 1").select("h", "place", F.lit(False).alias("near"))
+    marks = first.where("n > 1").select("h", "place", "n", F.lit(False).alias("near"))
     if max_edits:
-        near = earlier_neighbours(slim, lines, first.select("h", "place"))
-        marks = marks.unionByName(near.select("h", F.lit(None).cast(first.schema["place"].dataType).alias("place"), F.lit(True).alias("near")))
-        marks = marks.groupBy("h").agg(F.min("place").alias("place"), F.max("near").alias("near"))
+        near = earlier_neighbours(slim, lines_of(docs, min_chars), first.select("h", "place"))
+        no_place = F.lit(None).cast(first.schema["place"].dataType)
+        marks = marks.unionByName(near.select("h", no_place.alias("place"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("near")))
+        marks = marks.groupBy("h").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.max("near").alias("near"))
     marks = cut(marks.withColumnRenamed("place", "kept"))
-    gone = places.join(marks, "h").where(F.col("near") | (F.col("place") != F.col("kept")))
+    gone = meet(places, marks, ["h"]).where(F.col("near") | (F.col("place") != F.col("kept")))
     gone = cut(gone.select("place.d", "place.t", "place.l"))
     discard(slim)
     return gone
@@ -160,8 +147,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
     """``docs`` with repeated and nearly repeated lines taken out of ``text``, and ``lines_removed``.
 
     Order is by doc_id, null ids last, then by line. Lines are compared trimmed,
-    with tabs as spaces; those of under ``min_chars`` characters always stay.
-    ``max_edits`` is 0 or 1. Rows equal in doc_id and text count as one document
+    with tabs as spaces; blank lines stay, and those of under ``min_chars``
+    characters go for equal ones only. ``max_edits`` is 0 or 1. Rows equal in doc_id and text count as one document
     and all keep the same lines. A null text stays null; other columns stay as
     they are. An empty table gives an empty table.
     """
@@ -186,8 +173,8 @@ OP4_SQL = """
 WITH docs AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS d FROM documents),
 split AS (SELECT d, doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS l FROM docs),
 lines AS (SELECT *, trim(translate(raw, chr(9) || chr(13), '  '), ' ') AS line FROM split),
-long AS (SELECT d, l, line FROM lines WHERE length(line) >= 20),
-firsts AS (SELECT line, min((d, l)) AS place, length(line) AS n FROM long GROUP BY line),
+first_lines AS (SELECT line, min((d, l)) AS place, length(line) AS n FROM lines WHERE length(line) >= 1 GROUP BY line),
+firsts AS (SELECT * FROM first_lines WHERE n >= 20),
 pairs AS (
   SELECT a.line, b.line AS by_line FROM firsts a JOIN firsts b ON left(a.line, 10) = left(b.line, 10) WHERE b.place < a.place AND abs(a.n - b.n) <= 1
     AND (left(a.line, (least(a.n, b.n) - 1) // 2) = left(b.line, (least(a.n, b.n) - 1) // 2) OR right(a.line, (least(a.n, b.n) - 1) // 2) = right(b.line, (least(a.n, b.n) - 1) // 2))
@@ -196,8 +183,8 @@ pairs AS (
     AND right(a.line, (least(a.n, b.n) - 1) // 2) = right(b.line, (least(a.n, b.n) - 1) // 2)),
 near AS (SELECT DISTINCT line FROM pairs WHERE len(list_filter(range(0, length(line) + 1), lambda i: left(line, i) = left(by_line, i) AND (
   substring(line, i + 2) = substring(by_line, i + 2) OR substring(line, i + 2) = substring(by_line, i + 1) OR substring(line, i + 1) = substring(by_line, i + 2)))) > 0),
-told AS (SELECT s.doc_id, s.text, s.l, s.raw, length(s.line) >= 20 AND (s.line IN (SELECT line FROM near) OR (s.d, s.l) > f.place) AS gone
-  FROM lines s LEFT JOIN firsts f ON f.line = s.line)
+told AS (SELECT s.doc_id, s.text, s.l, s.raw, length(s.line) >= 1 AND (s.line IN (SELECT line FROM near) OR (s.d, s.l) > f.place) AS gone
+  FROM lines s LEFT JOIN first_lines f ON f.line = s.line)
 SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY l) FILTER (WHERE NOT coalesce(gone, false)), '') AS text, count(*) FILTER (WHERE gone) AS lines_removed
 FROM told GROUP BY doc_id, text
 UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE text IS NULL

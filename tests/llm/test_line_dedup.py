@@ -25,11 +25,12 @@ def brute(rows, least=20):
         kept, gone = [], 0
         for line in text.split("\n"):
             t = line.replace("\t", " ").strip(" ")
-            if len(t) >= least and any(abs(len(t) - len(s)) < 2 and edits(t, s) <= 1 for s in seen):
+            # equal lines go at any length, near ones from ``least`` on
+            if t in seen or (len(t) >= least and any(len(s) >= least and abs(len(t) - len(s)) < 2 and edits(t, s) <= 1 for s in seen)):
                 gone += 1
             else:
                 kept.append(line)
-            if len(t) >= least:
+            if t:
                 seen.append(t)
         out[d, text] = ("\n".join(kept), gone)
     return out
@@ -80,3 +81,23 @@ def test_empty_table_and_no_edits(spark):
     df = spark.createDataFrame([(1, "x" * 30, "", ""), (2, "x" * 31, "", ""), (3, "x" * 30, "", "")], SCHEMA)
     got = line_dedup.dedup_lines(df, max_edits=0).where(F.col("lines_removed") > 0).collect()
     assert [r["doc_id"] for r in got] == [3]
+
+
+def test_short_lines_go_when_equal(spark):
+    rows = [(1, "menu\n\nRead more\nbody one"), (2, "menu\n\nread more\nbody two"), (3, "  menu\t\nRead more"), (4, "menus")]
+    check(spark, rows)
+
+
+def test_hot_keys_meet_salted(spark):
+    """A line in most documents, and a head that many different lines share."""
+    from quernel.llm.common import meet
+
+    rows = spark.range(5000).select((F.col("id") % 7 == 0).cast("long").alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = meet(rows, groups, ["k"], least=1000)
+    assert got.columns == ["k", "id", "n", "top"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(groups, "k").collect()))
+    common = "this line stands at the foot of every one of these pages"
+    docs = spark.createDataFrame([(i, f"{common}\nthe same long beginning for all of these lines {i:08d}{i:08d}", "", "") for i in range(1500)], SCHEMA)
+    got = line_dedup.dedup_lines(docs)
+    assert sorted((r["doc_id"], r["lines_removed"]) for r in got.collect()) == [(i, int(i > 0)) for i in range(1500)]
