@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,35 @@ def limited(df: DataFrame, order: list[Column], limit: int | None = 100) -> Data
 
 
 def early_stop(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows of ``limit + 1`` looked at; the total is known only if that was all."""
-    probe = df.orderBy(*order).limit(limit + 1)
-    seen = probe.agg(F.count("*").alias("seen"))
-    known = F.col("seen") <= limit
-    return probe.orderBy(*order).limit(limit).crossJoin(F.broadcast(seen)).withColumns({"total_known": known, "total": F.when(known, F.col("seen"))}).drop("seen")
+    """The first ``limit`` rows of ``limit + 1`` looked at; the total is known only if that was all.
+
+    The probe is of a fixed size, so it is taken to the driver once and read from there.
+    """
+    rows = df.orderBy(*order).limit(limit + 1).collect()
+    known = len(rows) <= limit
+    kept = df.sparkSession.createDataFrame(rows[:limit], df.schema)
+    return kept.withColumns({"total_known": F.lit(known), "total": F.lit(len(rows) if known else None).cast("long")})
+
+
+def enveloped(df: DataFrame, order: list[Column], limit: int | None, retrieval: str | None = None) -> DataFrame:
+    """``limited`` with ``omitted`` and ``retrieval``, how to get what is left out; without one nothing may be left out."""
+    out = limited(df, order, limit)
+    omitted = F.lit(0).cast("long") if limit is None else F.greatest(F.col("total") - limit, F.lit(0).cast("long"))
+    told = F.lit(retrieval) if retrieval is not None else F.raise_error(F.lit("rows are left out, but no way to get them is given"))
+    return out.withColumn("omitted", omitted).withColumn("retrieval", F.when(F.col("omitted") > 0, told.cast("string")))
+
+
+def capped(df: DataFrame, by: list[str], order: list[str], most: int = 20) -> DataFrame:
+    """The first ``most`` rows of each group, with the group's ``total`` and how many are ``omitted``."""
+    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.asc_nulls_last(c) for c in order])))
+    totals = df.groupBy(*by).agg(F.count("*").alias("total"))
+    kept = ranked.where(F.col("place") <= most)  # the limit is taken before rows of a group meet
+    return kept.join(totals, by).withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0).cast("long")))
+
+
+def utf16_order(column: str) -> Column:
+    """The order of a text by UTF-16 units, nulls last; Spark's own is by UTF-8 bytes, which differs above U+FFFF."""
+    return F.asc_nulls_last(F.encode(F.col(column), "UTF-16BE"))
 
 
 def bounded_text(text: Column, most: int) -> tuple[Column, Column, Column]:

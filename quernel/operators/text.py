@@ -1,12 +1,23 @@
-"""Search in texts: literal and regular expressions with exact places, line spans, skip counts."""
+"""Search in texts: literal and regular expressions with exact places, line spans, skip counts.
+
+A literal that is part of one line, and a pattern that never matches nothing, are
+located on the JVM: the pieces between matches and the matches themselves come
+from one regular expression, so their lengths give the places in the original
+text. All else goes to one matcher with a deadline for each file.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from re import _parser as patterns
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators.bounded import early_stop
+
 TERMINATOR = "\r\n|\n|\r"
 PREVIEW = 160
 
@@ -35,41 +46,129 @@ def _located(found: DataFrame) -> DataFrame:
     return found.select("path", "line", column.alias("column"), "match", preview(F.col("content"), F.col("start")).alias("preview"))
 
 
+def quoted(query: str, case_sensitive: bool) -> str:
+    """A literal as a Java pattern. Letter case is folded character by character, so a match is as long as the query."""
+    return ("" if case_sensitive else "(?iu)") + "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in query)
+
+
+def holding(files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+    """Files whose text holds ``query``: the filter that runs before lines are split and places worked out."""
+    return files.where(F.col("text").contains(query) if case_sensitive else F.col("text").rlike(quoted(query, False)))
+
+
+def _by_pattern(hit: DataFrame, pattern: str) -> DataFrame:
+    """(path, line, content, start, match) of lines (path, line, content) for a pattern that never matches nothing."""
+    matches = F.regexp_extract_all("content", F.lit(pattern), 0)
+    both = hit.select("path", "line", "content", matches.alias("m"), F.transform(F.split("content", pattern, -1), F.length).alias("p"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    # one pass: a match starts after the pieces and matches before it
+    told = F.aggregate(
+        F.arrays_zip(F.slice("p", F.lit(1), F.size("m")).alias("p"), F.transform("m", F.length).alias("m")), begin,
+        lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["p"])).alias("starts")),
+    )
+    placed = both.where(F.size("m") > 0).withColumn("x", F.explode(F.arrays_zip(told["starts"].alias("start"), F.col("m").alias("match"))))
+    return placed.select("path", "line", "content", "x.start", "x.match")
+
+
 def search_literal(files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
-    """Every non-overlapping occurrence of ``query``, which is in one line: (path, line, column, match, preview).
+    """Every non-overlapping occurrence of ``query``: (path, line, column, match, preview).
 
-    The line filter runs before places are worked out; letter case is folded by
-    ``lower``. Columns count UTF-16 units from 1. Null texts have no matches.
+    A query may hold line ends; its match then begins in the line that is told.
+    Columns count UTF-16 units from 1. Null texts have no matches.
     """
-    if not query or re.search("[\r\n]", query):
-        raise ValueError("the query must be a part of one line")
-    wanted = query if case_sensitive else query.lower()
-    folded = F.col("content") if case_sensitive else F.lower("content")
-    hit = lines(files).where(folded.contains(wanted))
-    sizes = F.transform(F.split(folded, re.escape(wanted), -1), F.length)
-    # where each match starts: the pieces before it and the matches between them
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(sizes) - 1),
-        lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, b: a + b) + (k - 1) * len(wanted),
-    )
-    found = hit.select("path", "line", "content", F.explode(starts).alias("start"))
-    return _located(found.withColumn("match", F.col("content").substr(F.col("start") + 1, F.lit(len(wanted)))))
+    if not query:
+        raise ValueError("the query is empty")
+    if re.search("[\r\n]", query):
+        flags = 0 if case_sensitive else re.I
+        return search_pattern(files, re.escape(query), flags=flags).where("status = 'matched'").drop("status")
+    pattern = quoted(query, case_sensitive)
+    content = F.col("content")
+    hit = lines(holding(files, query, case_sensitive)).where(content.contains(query) if case_sensitive else content.rlike(pattern))
+    return _located(_by_pattern(hit, pattern))
+
+
+def may_match_nothing(pattern: str) -> bool:
+    """Whether a pattern can match without taking a character; what can't be told counts so."""
+    try:
+        return patterns.parse(pattern).getwidth()[0] == 0
+    except (re.error, OverflowError):
+        return True
 
 
 def search_regex(files: DataFrame, pattern: str) -> DataFrame:
-    """Every non-empty match of a Java pattern inside lines: (path, line, column, match, preview)."""
-    hit = lines(files).where(F.col("content").rlike(pattern))
-    matches = F.filter(F.regexp_extract_all("content", F.lit(pattern), 0), lambda m: F.length(m) > 0)
-    pieces = F.split("content", pattern, -1)
-    both = hit.select("path", "line", "content", matches.alias("m"), F.transform(pieces, F.length).alias("p"))
-    start = F.transform(
-        F.sequence(F.lit(1), F.size("m")),
-        lambda k: F.struct(
-            (F.aggregate(F.slice("p", F.lit(1), k), F.lit(0), lambda a, b: a + b) + F.aggregate(F.slice("m", F.lit(1), k - 1), F.lit(0), lambda a, b: a + F.length(b))).alias("start"),
-            F.element_at("m", k).alias("match"),
-        ),
-    )
-    return _located(both.where(F.size("m") > 0).select("path", "line", "content", F.explode(start).alias("s")).select("path", "line", "content", "s.start", "s.match"))
+    """Every match of a pattern inside lines: (path, line, column, match, preview); a match of nothing has the empty ``match``.
+
+    Java's dialect; a pattern that may match nothing is Python's, as in ``search_pattern``.
+    """
+    if may_match_nothing(pattern):
+        return search_pattern(files, pattern, by_line=True).where("status = 'matched'").drop("status")
+    content = F.col("content")
+    return _located(_by_pattern(lines(files.where(F.col("text").rlike(f"(?m){pattern}"))).where(content.rlike(pattern)), pattern))
+
+
+FOUND = "path string, status string, line int, column int, match string, preview string"
+
+
+def search_pattern(files: DataFrame, pattern: str, flags: int = 0, deadline: float = 1.0, by_line: bool = False) -> DataFrame:
+    """Matches of a pattern (dialect of the ``regex`` module) in whole texts, or line by line: (path, status, line, column, match, preview).
+
+    Matches of nothing count. A file that takes over ``deadline`` seconds gives
+    one row of the status "timeout" and none of its matches; the others go on. A
+    broken pattern is an error at once.
+    """
+    import regex
+
+    regex.compile(pattern, flags=flags)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder, names = regex.compile(pattern, flags=flags), [c.split()[0] for c in FOUND.split(", ")]
+        ends = re.compile(TERMINATOR)
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"], f["text"]):
+                if text is None:
+                    continue
+                try:
+                    rows += _found(finder, ends, path, text, deadline, by_line)
+                except TimeoutError:
+                    rows.append((path, "timeout", None, None, None, None))
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({"line": "Int32", "column": "Int32"})
+
+    return files.select("path", "text").mapInPandas(run, FOUND)
+
+
+def _found(finder, ends, path: str, text: str, deadline: float, by_line: bool) -> list[tuple]:
+    edges = [0, *[m.end() for m in ends.finditer(text)]]
+    stops = [*[m.start() for m in ends.finditer(text)], len(text)]
+    spans = [(m.start(), m.end()) for a, b in zip(edges, stops) for m in finder.finditer(text, a, b, timeout=deadline)] if by_line else [m.span() for m in finder.finditer(text, timeout=deadline)]
+    rows, k = [], 0
+    for a, b in spans:
+        while k + 1 < len(edges) and edges[k + 1] <= a:
+            k += 1
+        content, start = text[edges[k] : stops[k]], a - edges[k]
+        first = max(0, min(start - PREVIEW // 2, len(content) - PREVIEW))
+        shown = "…" if not content.strip(" ") else "…" * (first > 0) + content[first : first + PREVIEW] + "…" * (first + PREVIEW < len(content))
+        rows.append((path, "matched", k + 1, len(content[:start].encode("utf-16-le", "surrogatepass")) // 2 + 1, text[a:b], shown))
+    return rows
+
+
+def match_counts(files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+    """(path, matches) of files that hold ``query``, a part of one line; no place is worked out."""
+    pattern = quoted(query, case_sensitive)
+    return holding(files, query, case_sensitive).select("path", F.size(F.regexp_extract_all("text", F.lit(pattern), 0)).cast("long").alias("matches"))
+
+
+def first_matches(files: DataFrame, query: str, limit: int, case_sensitive: bool = False) -> DataFrame:
+    """The first ``limit`` matches by path, line and column, with ``total`` and ``total_known``.
+
+    The search stops early: of the files that hold the query the first ``limit`` + 1
+    are kept, each has a match at least, and places are worked out in those only.
+    So the total is known only if no match is left out.
+    """
+    some = holding(files, query, case_sensitive).select("path", "text").orderBy("path").limit(limit + 1)
+    found = search_literal(some, query, case_sensitive)
+    return early_stop(found, [F.col("path"), F.col("line"), F.col("column")], limit)
 
 
 def line_span(files: DataFrame, first: int, last: int, budget: int = 4000) -> DataFrame:
@@ -98,3 +197,10 @@ def documents_read(files: DataFrame) -> DataFrame:
 def status_counts(observed: DataFrame) -> DataFrame:
     """(status, n) of a column ``status``."""
     return observed.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def skip_details(observed: DataFrame, most: int = 50) -> DataFrame:
+    """(status, n, path): the counts of all statuses but "searched", and the first ``most`` of those paths in order."""
+    skipped = observed.where("status != 'searched'")
+    first = skipped.select("status", "path").orderBy("path").limit(most)
+    return status_counts(skipped).join(first, "status", "left").select("status", "n", "path")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.identity import framed, identity
+from quernel.functions import identity as identities
+from quernel.functions.identity import identity
 from quernel.functions.paths import normal_path
 from quernel.operators import bounded, changed, files, graph, markup, relations, symbols, text
 from quernel.sources.tables import document_files, page_files, table
@@ -158,8 +159,7 @@ def text_regex(spark, sf_dir):
 
 @query(_literal("the", False) + """SELECT path, line, "column", false AS total_known, CAST(NULL AS BIGINT) AS total FROM found ORDER BY path, line, "column" LIMIT 10""")
 def text_limit_total_unknown(spark, sf_dir):
-    found = text.search_literal(document_files(spark, sf_dir), "the").select("path", "line", "column")
-    return bounded.early_stop(found, [F.col("path"), F.col("line"), F.col("column")], 10)
+    return text.first_matches(document_files(spark, sf_dir), "the", 10).select("path", "line", "column", "total_known", "total")
 
 
 STATUS = "CASE WHEN quality IS NULL THEN 'unobserved' WHEN quality = 0 THEN 'undecodable' ELSE 'searched' END"
@@ -301,12 +301,7 @@ SELECT 'ws/q1:' || sha256(string_agg(b || h, '' ORDER BY b)) AS snapshot, (SELEC
 
 @query(SNAPSHOT)
 def snapshot(spark, sf_dir):
-    """A tree of hashes: no group holds more than a share of the files, the last at most 256 rows."""
-    leaf = document_files(spark, sf_dir).select(F.sha2(F.concat(framed(F.col("path")), framed(F.sha2("text", 256))), 256).alias("h"))
-    bucket = leaf.groupBy(F.left("h", F.lit(4)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    both = F.concat("b", "h")
-    top = bucket.groupBy(F.left("b", F.lit(2)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(both)), ""), 256).alias("h"), F.sum("n").alias("n"))
-    return top.agg(F.concat(F.lit("ws/q1:"), F.sha2(F.array_join(F.array_sort(F.collect_list(both)), ""), 256)).alias("snapshot"), F.sum("n").alias("files"))
+    return identities.snapshot(document_files(spark, sf_dir), F.col("path"), F.sha2("text", 256))
 
 
 # -- markup -----------------------------------------------------------------------------------

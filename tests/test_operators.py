@@ -16,7 +16,62 @@ def test_literal_places_count_utf16(spark):
     assert got == [("a", 1, 4, "ab"), ("a", 2, 1, "AB"), ("a", 2, 4, "ab")]
     assert [r["column"] for r in text.search_literal(df, "ab", True).where("line = 2").collect()] == [4]
     with pytest.raises(ValueError):
-        text.search_literal(df, "a\nb")
+        text.search_literal(df, "")
+
+
+def test_literal_in_texts_that_change_length_in_other_case(spark):
+    df = spark.createDataFrame([("a", "İİ needle here"), ("b", "ß NEEDLE\n😀needle")], "path string, text string")
+    got = sorted((r["path"], r["line"], r["column"], r["match"]) for r in text.search_literal(df, "Needle").collect())
+    assert got == [("a", 1, 4, "needle"), ("b", 1, 3, "NEEDLE"), ("b", 2, 3, "needle")]
+
+
+def test_literal_over_line_ends(spark):
+    df = spark.createDataFrame([("a", "one\ntwo\nONE\nTwo"), ("b", "one two")], "path string, text string")
+    assert sorted((r["path"], r["line"], r["column"], r["match"]) for r in text.search_literal(df, "e\nt").collect()) == [("a", 1, 3, "e\nt"), ("a", 3, 3, "E\nT")]
+    assert sorted((r["line"], r["match"]) for r in text.search_literal(df, "e\nt", True).collect()) == [(1, "e\nt")]
+
+
+def test_signs_in_a_literal_are_not_a_pattern(spark):
+    df = spark.createDataFrame([("a", "a.b(c) [x] \\d $1 ^ a|b"), ("b", "aXb")], "path string, text string")
+    for q in ("a.b", "(c)", "[x]", "\\d", "$1", "^", "a|B"):
+        assert [(r["path"], r["match"].lower()) for r in text.search_literal(df, q).collect()] == [("a", q.lower())]
+
+
+def test_patterns_that_match_nothing(spark):
+    df = spark.createDataFrame([("a", "foo1 foo2\n7"), ("b", None)], "path string, text string")
+    got = sorted((r["line"], r["column"], r["match"]) for r in text.search_regex(df, "[0-9]*").collect())
+    assert [g for g in got if g[2]] == [(1, 4, "1"), (1, 9, "2"), (2, 1, "7")]
+    assert (1, 1, "") in got and (1, 5, "") in got
+    assert sorted((r["line"], r["column"], r["match"]) for r in text.search_regex(df, "(?<=foo)[0-9]").collect()) == [(1, 4, "1"), (1, 9, "2")]
+
+
+def test_a_slow_file_gives_its_matches_up(spark):
+    df = spark.createDataFrame([("slow", "aaa " + "a" * 40 + "b"), ("quick", "aac")], "path string, text string")
+    got = {(r["path"], r["status"]) for r in text.search_pattern(df, "(a|a)+c|aaa", deadline=0.2).collect()}
+    assert got == {("slow", "timeout"), ("quick", "matched")}
+    with pytest.raises(Exception):
+        text.search_pattern(df, "(")
+
+
+def test_early_stop_knows_its_total_only_if_nothing_is_left(spark):
+    df = spark.createDataFrame([(f"f{i}", "x x" if i % 2 else "y") for i in range(10)], "path string, text string")
+    rows = text.first_matches(df, "x", 3).collect()
+    assert [(r["path"], r["column"], r["total_known"], r["total"]) for r in rows] == [("f1", 1, False, None), ("f1", 3, False, None), ("f3", 1, False, None)]
+    assert {(r["total_known"], r["total"]) for r in text.first_matches(df, "x", 10).collect()} == {(True, 10)}
+    assert text.first_matches(df, "z", 3).collect() == []
+
+
+def test_envelopes(spark):
+    df = spark.range(7).withColumnRenamed("id", "k")
+    rows = bounded.enveloped(df, [F.col("k")], 3, "again --full").collect()
+    assert [(r["k"], r["total"], r["omitted"], r["retrieval"]) for r in rows] == [(i, 7, 4, "again --full") for i in range(3)]
+    with pytest.raises(Exception):
+        bounded.enveloped(df, [F.col("k")], 3).collect()
+    assert {r["omitted"] for r in bounded.enveloped(df, [F.col("k")], None).collect()} == {0}
+    groups = df.withColumn("g", F.col("k") % 2)
+    assert sorted((r["g"], r["k"], r["total"], r["omitted"]) for r in bounded.capped(groups, ["g"], ["k"], 2).collect()) == [(0, 0, 4, 2), (0, 2, 4, 2), (1, 1, 3, 1), (1, 3, 3, 1)]
+    words = spark.createDataFrame([("\uffee",), ("\U0001F600",), (None,), ("a",)], "w string")
+    assert [r["w"] for r in words.orderBy(bounded.utf16_order("w")).collect()] == ["a", "\U0001F600", "\uffee", None]
 
 
 def test_overlaps_are_not_matched(spark):
