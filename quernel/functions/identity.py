@@ -27,7 +27,7 @@ PARTS = {
 }
 
 
-def entity_id(kind: str, **parts: Column) -> Column:
+def entity_id(kind: str, /, **parts: Column) -> Column:
     """The identity of a file, text match, syntax fact, reference or implementation from its named parts, all of them."""
     wanted = PARTS[kind]
     if set(parts) != set(wanted):
@@ -36,7 +36,7 @@ def entity_id(kind: str, **parts: Column) -> Column:
 
 
 def base64url(text: Column) -> Column:
-    return F.rtrim(F.lit("="), F.translate(F.base64(text.cast("binary")), "+/", "-_"))
+    return F.rtrim(F.translate(F.base64(text.cast("binary")), "+/", "-_"), F.lit("="))
 
 
 def symbol_id(name: Column, stable: Column, location: Column) -> Column:

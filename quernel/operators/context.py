@@ -6,23 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.bounded import whole_sections
-from quernel.operators.text import TERMINATOR
+from quernel.operators.text import TERMINATOR, line_span
 
 
 def show_symbol(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """Declarations with their text and local counts: (path, kind, name, container, body, lines, overloads, attributes, modifiers).
+    """Declarations with their text, documentation and counts of what is around them.
 
-    ``facts`` as ``csharp.syntax_facts`` gives them; overloads share file, container and name.
+    (path, kind, name, container, body, documentation, lines, overloads, attributes,
+    modifiers, parameters, type_parameters, members, bases). ``facts`` as
+    ``csharp.syntax_facts`` gives them; overloads share file, container, kind and
+    name, members are one level below.
     """
     declared = facts.where(~F.col("kind").isin("invocation", "object_creation", "catch"))
-    overloads = declared.groupBy("path", "container", "name").agg(F.count("*").alias("overloads"))
+    overloads = declared.groupBy("path", "container", "kind", "name").agg(F.count("*").alias("overloads"))
+    members = declared.groupBy("path", F.col("container").alias("qualified")).agg(F.count("*").alias("members"))
+    qualified = F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name")
     body = F.col("text").substr(F.col("start") + 1, F.col("length"))
-    return declared.join(overloads, ["path", "container", "name"]).join(files.select("path", "text"), "path").select(
-        "path", "kind", "name", "container", body.alias("body"), F.size(F.split(body, TERMINATOR, -1)).alias("lines"), "overloads",
-        F.size("attributes").alias("attributes"), F.size("modifiers").alias("modifiers"),
+    # commas that part parameters, not those of type arguments
+    flat = F.regexp_replace(F.regexp_replace("signature", "<[^<>]*>", ""), "<[^<>]*>", "")
+    parameters = F.when(F.length("signature") <= 2, 0).otherwise(F.size(F.split(flat, ",", -1)))
+    met = declared.join(overloads, ["path", "container", "kind", "name"]).withColumn("qualified", qualified).join(members, ["path", "qualified"], "left").join(files.select("path", "text"), "path")
+    return met.select(
+        "path", "kind", "name", "container", body.alias("body"), "documentation", F.size(F.split(body, TERMINATOR, -1)).alias("lines"), "overloads",
+        F.size("attributes").alias("attributes"), F.size("modifiers").alias("modifiers"), parameters.alias("parameters"), "type_parameters",
+        F.coalesce("members", F.lit(0).cast("long")).alias("members"), F.size("bases").alias("bases"),
     )
 
 
+def show_document(files: DataFrame, path: str, first: int | None = None, last: int | None = None, budget: int = 1000, expected: str | None = None) -> DataFrame:
+    """(path, status, first_line, last_line, text, omitted, content_hash): a document's span.
+
+    With ``expected``, the hash that an earlier answer told, a text that changed since has the status "changed" and no text.
+    """
+    one = files.where(F.col("path") == path)
+    span = line_span(one, first or 1, last or (1 << 30), budget).join(one.select("path", F.sha2("text", 256).alias("content_hash")), "path")
+    if expected is None:
+        return span
+    same = F.col("content_hash") == expected
+    kept = [F.when(same, F.col(c)).alias(c) for c in ("first_line", "last_line", "text", "omitted")]
+    return span.select("path", F.when(same, F.col("status")).otherwise("changed").alias("status"), *kept, "content_hash")
+
+
+def missing_sections(requested: list[str], available: list[str]) -> list[str]:
+    """Asked-for section names that there are none of, in the order asked."""
+    return [s for s in dict.fromkeys(requested) if s not in set(available)]
+
+
 def sections(shown: DataFrame, owners: DataFrame, outline: DataFrame) -> DataFrame:
     """(path, name, priority, section, text): declaration, owner, document and outline of each shown declaration."""
     one = shown.select("path", "name", "kind", "body", "lines")

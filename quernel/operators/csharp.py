@@ -7,12 +7,15 @@ diagnostic. Facts are candidates; names are not bound.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.identity import entity_id
+
 LEXER = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|^[ \t]*\#[^\n]*)
     |(?P<text>\$*(?P<raw>\"{3,}).*?(?:(?P=raw)|\Z)|(?:\$@|@\$|@)\"(?:[^\"]|\"\")*(?:\"|\Z)|\$?\"(?:[^\"\\\n]|\\.)*(?:\"|$)|'(?:[^'\\\n]|\\.)*(?:'|$))
@@ -22,10 +25,10 @@ LEXER = re.compile(
     re.S | re.M | re.X,
 )
 TYPES = {"class", "struct", "interface", "enum", "record"}
-MODIFIERS = set("public private protected internal static abstract sealed partial readonly virtual override async extern unsafe new ref const required volatile file".split())
+MODIFIERS = set("public private protected internal static abstract sealed partial readonly virtual override async extern unsafe new ref const required volatile file implicit explicit".split())
 # Words of the language that begin statements or expressions and so are no callee or declared type.
 WORDS = set("if for foreach while switch return throw using lock catch fixed when nameof typeof sizeof default checked unchecked await base this new var in is as out ref else do try finally yield goto break continue case".split())
-FACTS = "path string, kind string, name string, container string, attributes array<string>, modifiers array<string>, signature string, detail string, depth int, start int, length int, line int, column int, diagnostics int"
+FACTS = "path string, kind string, name string, container string, attributes array<string>, modifiers array<string>, signature string, detail string, depth int, start int, length int, type_parameters int, bases array<string>, documentation string, line int, column int, diagnostics int"
 
 
 def lex(text: str) -> list[tuple[str, str, int]]:
@@ -66,10 +69,48 @@ class _Scanner:
     def kind(self, i: int) -> str:
         return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
 
-    def add(self, kind, name, i, end, container=(), attributes=(), modifiers=(), signature="", detail="", depth=0):
+    def add(self, kind, name, i, end, container=(), attributes=(), modifiers=(), signature="", detail="", depth=0, type_parameters=0, bases=(), begin=None):
         start = self.tokens[i][2]
         last = self.tokens[min(end, len(self.tokens) - 1)]
-        self.facts.append((kind, name, ".".join(container), list(attributes), sorted(modifiers), signature, detail, depth, start, last[2] + len(last[1]) - start))
+        docs = "" if begin is None else self.documentation(self.tokens[begin][2])
+        self.facts.append((kind, name, ".".join(container), list(attributes), sorted(modifiers), signature, detail, depth, start, last[2] + len(last[1]) - start, type_parameters, list(bases), docs))
+
+    def documentation(self, at: int) -> str:
+        """The documentation comment that ends right before a place, without its signs."""
+        out, end = [], self.text.rfind("\n", 0, at)
+        while end >= 0:
+            begin = self.text.rfind("\n", 0, end) + 1
+            line = self.text[begin:end].strip()
+            if not line.startswith("///"):
+                break
+            out.append(line[3:].strip())
+            end = begin - 1
+        return "\n".join(reversed(out))
+
+    def parts_between(self, a: int, b: int) -> int:
+        """How many parts commas make between two brackets, not counting those inside others."""
+        if b - a < 2:
+            return 0
+        n, depth = 1, 0
+        for i in range(a + 1, b):
+            t = self.at(i)
+            depth += (t in ("<", "(", "[")) - (t in (">", ")", "]"))
+            n += t == "," and not depth
+        return n
+
+    def base_list(self, j: int, b: int) -> list[str]:
+        """Names after the colon of a type, up to its constraints or body."""
+        out = []
+        while j < b and self.at(j) not in ("{", ";", "where"):
+            name, after = self.dotted(j)
+            if name:
+                out.append(name)
+                j = after
+                if self.at(j) == "(":
+                    j = self.close.get(j, j) + 1
+            else:
+                j += 1
+        return out
 
     def generic_end(self, i: int) -> int:
         """The place after type arguments that begin at ``i``, or ``i`` where there are none."""
@@ -167,10 +208,13 @@ class _Scanner:
                 if t == "record" and self.at(i + 1) in ("class", "struct"):
                     i += 1
                 name, j = self.at(i + 1).lstrip("@"), self.generic_end(i + 2)
+                n_types, signature, bases = self.parts_between(i + 2, j - 1), self.signature(j) if self.at(j) == "(" else "", []
                 while j < b and self.at(j) not in ("{", ";"):
+                    if self.at(j) == ":" and not bases:
+                        bases = self.base_list(j + 1, b)
                     j = (self.close.get(j, j) if self.at(j) in "([" else j) + 1
                 end = self.close.get(j, j) if self.at(j) == "{" else j
-                self.add(t, name, word, end, container, attributes, modifiers, depth=depth)
+                self.add(t, name, word, end, container, attributes, modifiers, signature, depth=depth, type_parameters=n_types, bases=bases, begin=begin)
                 if self.at(j) == "{":
                     if t == "enum":
                         self.enum_members(j + 1, end, (*container, name), depth + 1)
@@ -235,7 +279,9 @@ class _Scanner:
                 kind = "destructor" if self.at(last - 1) == "~" else "constructor" if name == (container[-1] if container else "") and last == i else "method"
             else:
                 kind = "property" if t in ("{", "=>") else "field"
-            self.add(kind, name, begin, end, container, attributes, modifiers, self.signature(open_at), depth=depth)
+            g = self.generic_end(last + 1)
+            n_types = self.parts_between(last + 1, g - 1) if kind in ("method", "delegate") and g > last + 1 else 0
+            self.add(kind, name, begin, end, container, attributes, modifiers, self.signature(open_at), depth=depth, type_parameters=n_types, begin=begin)
         elif not is_type_body and open_at < 0 and t == "":
             self.bad += 1
         self.expressions(max(stop, i) if is_type_body else i, min(end + 1, b))
@@ -288,7 +334,7 @@ def syntax_facts(files: DataFrame) -> DataFrame:
                 facts, bad = parse(text or "")
                 ends = [m.end() for m in re.finditer("\r\n|\n|\r", text or "")]
                 for fact in facts:
-                    at = sum(e <= fact[8] for e in ends)
+                    at = bisect_right(ends, fact[8])
                     before = text[ends[at - 1] if at else 0 : fact[8]]
                     rows.append((path, *fact, at + 1, len(before.encode("utf-16-le")) // 2 + 1, bad))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
@@ -296,6 +342,15 @@ def syntax_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, FACTS)
 
 
+def identified(facts: DataFrame, files: DataFrame, query: str) -> DataFrame:
+    """Facts that a query found, with ``id``, once each: the identity changes with the file's text, the place and the query."""
+    known = files.select("path", "text", F.sha2("text", 256).alias("content_hash"))
+    body = F.col("text").substr(F.col("start") + 1, F.col("length"))
+    place = {"path": F.col("path"), "external": F.lit("false"), "content_hash": F.col("content_hash"), "start": F.col("start"), "length": F.col("length"), "text": body}
+    met = facts.join(known, "path").withColumn("id", entity_id("syntax", kind=F.col("kind"), query=F.lit(query), **place))
+    return met.drop("text", "content_hash").dropDuplicates(["id"])
+
+
 def invocations(facts: DataFrame, name: str) -> DataFrame:
     return facts.where((F.col("kind") == "invocation") & (F.col("name") == name))
 
@@ -325,7 +380,7 @@ TYPE_KINDS = tuple(TYPES)
 
 
 def declarations(facts: DataFrame) -> DataFrame:
-    """(path, kind, name, qualified, accessibility, signature, line, column) of declared facts.
+    """(path, kind, name, qualified, namespace, accessibility, signature, line, column) of declared facts; the kinds and accessibilities are those that a symbol search knows.
 
     Without an access word a type at the top is internal, a member of an interface or an enum public, all else private.
     """
@@ -333,13 +388,21 @@ def declarations(facts: DataFrame) -> DataFrame:
     m = F.col("modifiers")
     has = lambda x: F.array_contains(m, x)
     given = (
-        F.when(has("protected") & has("internal"), "protected_internal").when(has("private") & has("protected"), "private_protected")
+        F.when(has("protected") & has("internal"), "protected-internal").when(has("private") & has("protected"), "private-protected")
         .when(has("public"), "public").when(has("protected"), "protected").when(has("internal"), "internal").when(has("private"), "private").when(has("file"), "file")
     )
     owner = d.where(F.col("kind").isin(*TYPE_KINDS)).select("path", F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name").alias("container"), F.col("kind").alias("owner_kind")).distinct()
     joined = d.join(owner, ["path", "container"], "left")
     default = F.when(F.col("kind") == "enum_member", "public").when(F.col("owner_kind") == "interface", "public").when(F.col("depth") == 0, "internal").otherwise("private")
-    return joined.select("path", "kind", "name", F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name").alias("qualified"), F.coalesce(given, default).alias("accessibility"), "signature", "line", "column")
+    # a type's container is its namespace, unless a type is around it; that of a member ends before the outermost type
+    types = d.where(F.col("kind").isin(*TYPE_KINDS) & (F.col("depth") == 0)).select("path", F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name").alias("outer"), F.col("container").alias("namespace"))
+    inside = (F.col("container") == F.col("outer")) | F.col("container").startswith(F.concat("outer", F.lit(".")))
+    around = joined.join(types.withColumnRenamed("path", "o_path"), (F.col("path") == F.col("o_path")) & inside, "left").drop("o_path")
+    kind = F.when((F.col("kind") == "operator") & F.array_contains("modifiers", "implicit"), "conversion-operator").otherwise(F.replace("kind", F.lit("_"), F.lit("-")))
+    return around.select(
+        "path", kind.alias("kind"), "name", F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name").alias("qualified"), F.coalesce("namespace", "container").alias("namespace"),
+        F.coalesce(given, default).alias("accessibility"), "signature", "line", "column",
+    )
 
 
 def outline(facts: DataFrame, most: int = 100) -> DataFrame:

@@ -24,12 +24,14 @@ def kind(path: Column) -> Column:
     return out
 
 
-def matching(files: DataFrame, extensions: list[str] = (), globs: list[str] = (), scopes: list[str] = ()) -> DataFrame:
-    """Files of any of the extensions, any of the globs and below any of the scopes; an empty list filters nothing."""
+def matching(files: DataFrame, extensions: list[str] = (), globs: list[str] = (), scopes: list[str] = (), case_sensitive: bool = False) -> DataFrame:
+    """Files of any of the extensions, any of the globs and below any of the scopes; an empty list filters nothing. The letter case of an extension counts if that of the query does."""
     path = F.col("path")
     out = files
     if extensions:
-        out = out.where(extension(path).isin([e.lower().lstrip(".") for e in extensions]))
+        given = F.substring_index(name_of(path), ".", -1)
+        asked = [e.lstrip(".") for e in extensions]
+        out = out.where(extension(path).isNotNull() & (given.isin(asked) if case_sensitive else F.lower(given).isin([e.lower() for e in asked])))
     if globs:
         able = F.lit(False)
         for g in globs:
@@ -86,10 +88,24 @@ def generated(path: Column, text: Column, marker: str = "<auto-generated") -> Co
     return path.rlike(GENERATED_NAMES) | (F.locate(marker, F.lower(F.substring(text, 1, 4096))) > 0)
 
 
-def owners(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """(path, project): every project directory above a file. An equi-join on the file's ancestors."""
+def owners(files: DataFrame, projects: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(path, project): every project directory above a file, by an equi-join on the file's ancestors, and every project that links the file (project, path)."""
     up = files.select("path", F.explode(ancestors(F.col("path"))).alias("project"))
-    return up.join(projects.select(F.col("directory").alias("project")).distinct(), "project").select("path", "project").distinct()
+    out = up.join(projects.select(F.col("directory").alias("project")).distinct(), "project").select("path", "project")
+    if linked is not None:
+        out = out.unionByName(linked.select("path", "project").join(files.select("path").distinct(), "path", "left_semi"))
+    return out.distinct()
+
+
+def in_changed(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files among changed paths (path)."""
+    return files.join(changed.select("path").distinct(), "path", "left_semi")
+
+
+def in_ownership(files: DataFrame, owned_by: DataFrame) -> DataFrame:
+    """Files that some project owns, and external ones (``external``)."""
+    inside = files.where(~F.col("external")).join(owned_by.select("path").distinct(), "path", "left_semi")
+    return inside.unionByName(files.where("external").select(*inside.columns))
 
 
 def owned(files: DataFrame, owned_by: DataFrame) -> DataFrame:
@@ -100,10 +116,15 @@ def owned(files: DataFrame, owned_by: DataFrame) -> DataFrame:
     return out.withColumn("owner_count", F.size("owning_projects"))
 
 
-def is_test(owned_files: DataFrame, words: list[str]) -> DataFrame:
-    """Add ``is_test``: all deepest owners are named as tests; a file without owners goes by its own path."""
-    def named(p: Column) -> Column:
-        return F.exists(F.split(p, r"[/\\.\-_]", -1), lambda s: F.lower(s).isin(words))
+TEST_WORDS = ("test", "tests")
 
+
+def test_named(path: Column, words: list[str] = TEST_WORDS) -> Column:
+    """Whether some part of a path, between slashes, dots, hyphens and underscores, is one of the words or ends in "tests"."""
+    return F.exists(F.split(path, r"[/\\.\-_]", -1), lambda s: F.lower(s).isin(list(words)) | F.lower(s).endswith("tests"))
+
+
+def is_test(owned_files: DataFrame, words: list[str] = TEST_WORDS) -> DataFrame:
+    """Add ``is_test``: all deepest owners are named as tests; a file without owners goes by its own path."""
     deep = F.filter("owning_projects", lambda o: F.size(F.split(o, "/", -1)) == F.array_max(F.transform("owning_projects", lambda x: F.size(F.split(x, "/", -1)))))
-    return owned_files.withColumn("is_test", F.when(F.size("owning_projects") == 0, named(F.col("path"))).otherwise(F.forall(deep, named)))
+    return owned_files.withColumn("is_test", F.when(F.size("owning_projects") == 0, test_named(F.col("path"), words)).otherwise(F.forall(deep, lambda o: test_named(o, words))))

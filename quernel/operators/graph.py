@@ -16,9 +16,15 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, depth): all that the seeds (node) reach, seeds at depth 0, within ``most`` steps if given."""
-    edges = cut(edges.select("src", "dst").distinct())
+def closure(edges: DataFrame, seeds: DataFrame, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(node, depth): all that the seeds (node) reach, seeds at depth 0, within ``most`` steps and over ``allowed`` nodes if given.
+
+    What a round adds is written once; what is known is read from the rounds.
+    """
+    edges = edges.select("src", "dst").distinct()
+    if allowed is not None:
+        edges = edges.join(allowed.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    edges = cut(edges)
     known = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while most is None or depth < most:
@@ -27,7 +33,9 @@ def closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
         frontier = cut(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
             break
-        known = cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)
+        if depth % 16 == 0:  # a plan of few parts
+            known = cut(known)
     return known
 
 
@@ -118,3 +126,43 @@ def impact(edges: DataFrame, seeds: DataFrame, tests: DataFrame) -> DataFrame:
     """One row: how many nodes depend on the seeds, directly or not, and how many of them are tests (node)."""
     hit = closure(reverse(edges), seeds).where("depth > 0").join(tests.select("node").distinct().withColumn("t", F.lit(1)), "node", "left")
     return hit.agg(F.count("*").alias("affected"), F.count_if(F.col("depth") == 1).alias("direct"), F.count("t").alias("tests"), F.max("depth").alias("farthest"))
+
+
+def cycle_paths(edges: DataFrame, most: int = 8) -> DataFrame:
+    """(cycle): every simple cycle of up to ``most`` nodes once, as its nodes from the least on.
+
+    Only edges inside cyclic components are followed, and a path only goes on over
+    nodes above the one that it began with.
+    """
+    edges = edges.select("src", "dst").distinct()
+    member = components(edges).where("cyclic").select("node", "component")
+    inside = edges.join(member.withColumnsRenamed({"node": "src", "component": "a"}), "src").join(member.withColumnsRenamed({"node": "dst", "component": "b"}), "dst").where("a = b")
+    inside = cut(inside.select("src", "dst"))
+    paths = cut(inside.where("dst >= src").select(F.array("src").alias("cycle"), F.col("dst").alias("next")))
+    found = None
+    for _ in range(most):
+        closed = paths.where(F.col("next") == F.get("cycle", F.lit(0))).select("cycle")
+        found = closed if found is None else found.unionByName(closed)
+        open_ = paths.where((F.col("next") > F.get("cycle", F.lit(0))) & ~F.array_contains("cycle", F.col("next")))
+        paths = cut(open_.join(inside, F.col("next") == F.col("src")).select(F.array_append("cycle", F.col("next")).alias("cycle"), F.col("dst").alias("next")))
+        if not paths.take(1):
+            break
+    return found
+
+
+def build_edges(instances: DataFrame, references: DataFrame) -> DataFrame:
+    """(src, dst): edges between project instances (id, path, outer) with references (src, path) to projects.
+
+    An outer build leads to the inner builds of its project; a reference leads to
+    a project's outer build and its inner ones, or to the only build of a project
+    that has no outer one. References of outer builds lead nowhere.
+    """
+    outer = instances.where("outer").select(F.col("id").alias("o"), "path")
+    inner = instances.where("NOT outer").select(F.col("id").alias("i"), "path")
+    children = outer.join(inner, "path").select(F.col("o").alias("src"), F.col("i").alias("dst"))
+    single = inner.join(outer, "path", "left_anti")
+    one = single.groupBy("path").agg(F.min("i").alias("dst"), F.count("*").alias("n")).where("n = 1").select("path", "dst")
+    targets = outer.select("path", F.col("o").alias("dst")).unionByName(outer.join(inner, "path").select("path", F.col("i").alias("dst"))).unionByName(one)
+    sources = instances.where("NOT outer").select(F.col("id").alias("src"))
+    met = references.join(sources, "src", "left_semi").join(targets, "path").select("src", "dst")
+    return children.unionByName(met).distinct()

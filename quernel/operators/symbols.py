@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators.bounded import capped
+
 TOKEN = "[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+|[A-Z]"
 KIND_ORDER = ["rank", "path", "name", "id"]
 
@@ -54,18 +56,67 @@ def best_tier(ranked: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(least), F.col("rank") == F.col("least")).drop("least")  # one row
 
 
+# The kinds and accessibilities that can be asked for.
+KINDS = ("namespace", "class", "struct", "interface", "record", "enum", "delegate", "method", "constructor", "destructor", "property", "indexer", "event", "field", "enum-member", "operator", "conversion-operator")
+ACCESSIBILITIES = ("public", "internal", "protected", "private", "protected-internal", "private-protected", "file", "not-applicable")
+
+
+def _closed(name: str, values: list[str], allowed: tuple[str, ...]) -> list[str]:
+    unknown = sorted(set(values) - set(allowed))
+    if unknown:
+        raise ValueError(f"unknown {name} {unknown}; there are {list(allowed)}")
+    return list(dict.fromkeys(values))
+
+
+def in_namespace(namespace: Column, wanted: str) -> Column:
+    """The namespace itself and those below it."""
+    return (namespace == wanted) | namespace.startswith(wanted + ".")
+
+
+def filtered(
+    declarations: DataFrame, kinds: list[str] = (), accessibilities: list[str] = (), namespace: str | None = None, projects: list[str] = (),
+    include_tests: bool = True, include_generated: bool = True,
+) -> DataFrame:
+    """Declarations of any of the kinds and accessibilities, in a namespace, of any of the projects (``owning_projects``), without tests or generated code if unwanted."""
+    out = declarations
+    if kinds:
+        out = out.where(F.col("kind").isin(_closed("kinds", kinds, KINDS)))
+    if accessibilities:
+        out = out.where(F.col("accessibility").isin(_closed("accessibilities", accessibilities, ACCESSIBILITIES)))
+    if namespace is not None:
+        out = out.where(in_namespace(F.col("namespace"), namespace))
+    if projects:
+        out = out.where(F.arrays_overlap("owning_projects", F.array(*[F.lit(p) for p in projects])))
+    if not include_tests:
+        out = out.where(~F.col("is_test"))
+    return out if include_generated else out.where(~F.col("is_generated"))
+
+
 def resolve(requests: DataFrame, declarations: DataFrame) -> DataFrame:
     """(request, state, matches) of ids (request, name, stable, exact) among declarations (name, stable, exact).
 
     An exact id wins, else the only one with the same stable part; several are
-    ambiguous, none but the name is stale, nothing is not found.
+    ambiguous, none but the name is stale, nothing is not found. Declarations are
+    counted by name, stable part and id before they meet the requests.
     """
-    named = requests.join(declarations.select("name", F.col("stable").alias("d_stable"), F.col("exact").alias("d_exact")), "name", "left")
-    counts = named.groupBy("request").agg(
-        F.count_if(F.col("d_exact") == F.col("exact")).alias("exact"), F.count_if(F.col("d_stable") == F.col("stable")).alias("same"), F.count("d_exact").alias("named")
-    )
-    state = F.when(F.col("exact") == 1, "resolved").when(F.col("same") == 1, "resolved").when(F.col("same") > 1, "ambiguous").when(F.col("named") > 0, "stale").otherwise("not_found")
-    return counts.select("request", state.alias("state"), F.when(F.col("exact") == 1, 1).when(F.col("same") > 0, F.col("same")).otherwise(F.col("named")).cast("long").alias("matches"))
+    def counted(*keys: str, name: str) -> DataFrame:
+        return declarations.groupBy(*keys).agg(F.count("*").alias(name))
+
+    met = requests.join(counted("name", name="n_named"), "name", "left").join(counted("name", "stable", name="n_same"), ["name", "stable"], "left").join(counted("name", "exact", name="n_exact"), ["name", "exact"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    exact, same, named = n("n_exact"), n("n_same"), n("n_named")
+    state = F.when((exact == 1) | (same == 1), "resolved").when(same > 1, "ambiguous").when(named > 0, "stale").otherwise("not_found")
+    return met.select("request", state.alias("state"), F.when(exact == 1, 1).when(same > 0, same).otherwise(named).cast("long").alias("matches"))
+
+
+def replacements(resolved: DataFrame, requests: DataFrame, declarations: DataFrame, most: int = 20) -> DataFrame:
+    """(request, id, place, total, omitted): for stale and ambiguous requests the first declarations of the same name, by id.
+
+    A name's first declarations are taken once, before requests meet them.
+    """
+    wanted = resolved.where(F.col("state").isin("stale", "ambiguous")).join(requests.select("request", "name"), "request")
+    few = capped(declarations.select("name", "id"), ["name"], ["id"], most)
+    return wanted.select("request", "name").join(few, "name").select("request", "id", "place", "total", "omitted")
 
 
 def siblings(declarations: DataFrame, parent: str, name: str) -> DataFrame:

@@ -117,7 +117,7 @@ def ownership(spark, sf_dir):
 
 
 @query(f"""WITH {OWNERS}, deep AS (SELECT path, project, len(string_split(project, '/')) AS d, max(len(string_split(project, '/'))) OVER (PARTITION BY path) AS most FROM owners)
-SELECT path, bool_and(len(list_filter(string_split_regex(project, '[/\\\\.\\-_]'), lambda s: lower(s) IN ('fr', 'src2'))) > 0) AS is_test FROM deep WHERE d = most GROUP BY path""")
+SELECT path, bool_and(len(list_filter(string_split_regex(project, '[/\\\\.\\-_]'), lambda s: lower(s) IN ('fr', 'src2') OR ends_with(lower(s), 'tests'))) > 0) AS is_test FROM deep WHERE d = most GROUP BY path""")
 def test_classification(spark, sf_dir):
     docs = document_files(spark, sf_dir)
     return files.is_test(files.owned(docs, files.owners(docs, _projects(docs))), ["fr", "src2"]).select("path", "is_test")
@@ -573,3 +573,6 @@ def home_view(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").agg(F.count("*").alias("pages"))
     counts = docs.agg(F.countDistinct("source").alias("projects"), F.count("*").alias("files"), F.count_if(F.col("toxic") == 1).alias("changed"))
     return counts.crossJoin(F.broadcast(pages)).select("projects", "files", "pages", "changed")  # one row each
+
+
+from quernel.plans import code, semantic  # noqa: E402, F401 - they register their queries here
