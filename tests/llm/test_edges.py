@@ -87,18 +87,31 @@ def test_chunk_tokenizer_on_odd_texts():
 # -- vectors
 
 
+def brute_top_k(rows, k, mod=20):
+    """(query_id, rank, vec_id, score) of every row's exact products with all others."""
+    from fractions import Fraction
+    from math import floor, isfinite
+
+    able = [(i, [floor(Fraction(x) * 64) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and isfinite(x) for x in v)]
+    out = []
+    for a, (q, x) in enumerate(able):
+        if q % mod == 0:
+            scores = [(-min(max(sum(s * t for s, t in zip(x, y)), vectors.LEAST), vectors.MOST), c) for b, (c, y) in enumerate(able) if a != b]
+            out += [(q, n, c, -s) for n, (s, c) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=repr)
+
+
 def test_top_k_edges(spark):
-    rows = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (-40, [3.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (60, [1e30, 1.0]), (1, [1.0, 2.0])]
+    rows = [
+        (0, [1.0, 2.0]), (20, [0.5, -1.0]), (-40, [3.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []),
+        (60, [1e30, 1.0]), (1, [1.0, 2.0]), (0, [-7.0, 0.25]), (20, [0.5, -1.0]), (7, [1e9, -1e9]), (80, [1e9, 1e9 + 0.3]), (8, [-1e308, 1.0]), (9, [float("inf")]), (100, []),
+    ]
     df = spark.createDataFrame([(i, v, "c") for i, v in rows], "vec_id long, embedding array<double>, query_id string")
-    got = by(vectors.top_k(df, k=2).collect(), "query_id", "rank", "vec_id", "score")
-    x = {0: (64, 128), 20: (32, -64), -40: (192, 0), 1: (64, 128), 2: (64, 128)}
-    want = []
-    for q in (0, 20, -40):
-        best = sorted(((-sum(a * b for a, b in zip(x[q], x[c])), c) for c in x if c != q))[:2]
-        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
-    assert got == sorted(want, key=repr)
+    for sizes in ({}, {"block_rows": 2, "query_rows": 2, "candidate_tile": 1, "query_tile": 1}):
+        got = by(vectors.top_k(df, k=3, **sizes).collect(), "query_id", "rank", "vec_id", "score")
+        assert got == brute_top_k(rows, 3)
     assert vectors.top_k(df.where("vec_id IS NULL")).collect() == []
-    assert vectors.top_k(df.where("vec_id = 0")).collect() == []
+    assert vectors.top_k(df.where("vec_id = -40")).collect() == []
 
 
 @pytest.mark.parametrize("dim", [3, 24])
