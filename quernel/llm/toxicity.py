@@ -14,24 +14,29 @@ are in many toxic and few clean texts, then to those that the last model suspect
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.common import claim, crc_mod
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 4000  # labelled documents that the model is fitted on, about
+SAMPLE_LETTERS = 32_000_000  # letters of their units, at most
 DECAY = 0.6
-ORDERS = (3, 5)
-SHORTEST = 3  # letters of a unit
+ORDERS = (3, 5)  # each over 1
+SHORTEST = 3  # letters of a unit; fewer have no subsequence of the least order
 WINDOW = 24
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CLEAN = -1.0  # the lowest score of a unit; that of texts without units
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SIGNS = re.compile(r"[\W\d_]+")
@@ -66,29 +71,42 @@ def codes(strings: list[str]) -> np.ndarray:
 
 
 def kernel(s: np.ndarray, t: np.ndarray, paired: bool = False) -> np.ndarray:
-    """Subsequence kernels of ``ORDERS``, (order, row of s, row of t); with ``paired`` rows meet one to one."""
-    top, width = max(ORDERS), t.shape[1]
+    """Subsequence kernels of ``ORDERS``, (order, row of s, row of t); with ``paired`` rows meet one to one.
+
+    ``ends[n][j]`` sums common subsequences of n letters whose last is t's letter j
+    and one of s so far, without their decay: that is a power of the last places
+    alone, once the first letter is divided by its own. Places too near the
+    beginning to end n letters, or the end to go on to an order, are left out.
+    """
+    top, width, length = max(ORDERS), t.shape[1], s.shape[1]
+    more = {n: min(m - n for m in ORDERS if m > n) for n in range(1, top)}  # letters that must follow
     shape = (len(s),) if paired else (len(s), len(t))
     t = np.where(t == 0, -1, t)
-    inner = np.zeros((top, width + 1, *shape), np.float32)  # K' of each order by the place in t
-    inner[0] = 1
+    ends = np.zeros((top, width, *shape), np.float32)
     total = np.zeros((top + 1, *shape), np.float32)
-    decay, square = np.float32(DECAY), np.float32(DECAY**2)
+    match, before, met, part = np.zeros((width, *shape), np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+    power = [np.float32(DECAY**k) for k in range(s.shape[1] + width)]
     for i in range(s.shape[1]):
         here = s[:, i] if paired else s[:, i, None]
-        match = [(here == (t[:, j] if paired else t[None, :, j])).astype(np.float32) * square for j in range(width)]
-        for order in range(top, 0, -1):
-            running = np.zeros(shape, np.float32)
-            below = inner[order - 1]
-            for j in range(width):
-                met = match[j] * below[j]
+        for j in range(width):
+            match[j] = here == (t[:, j] if paired else t[None, :, j])
+        for order in range(min(top, i + 1), 1, -1):
+            goes_on = order < top and i + more[order] < length
+            if not goes_on and order not in ORDERS:
+                continue
+            before[...] = 0
+            for j in range(order - 1, width if order in ORDERS else width - more[order]):
+                before += ends[order - 1, j - 1]
+                np.multiply(match[j], before, out=met)
+                if goes_on and j + more[order] < width:
+                    ends[order, j] += met
                 if order in ORDERS:
-                    total[order] += met
-                if order < top:
-                    running *= decay
-                    running += met
-                    inner[order, j + 1] *= decay
-                    inner[order, j + 1] += running
+                    np.multiply(met, power[i + j], out=part)
+                    total[order] += part
+        if i + more[1] < length:
+            for j in range(width - more[1]):
+                np.multiply(match[j], np.float32(DECAY ** (2 - i - j)), out=met)
+                ends[1, j] += met
     return total[list(ORDERS)]
 
 
@@ -132,6 +150,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve, -30, 30)))
 
 
+@dataclass
+class Shared:
+    """A broadcast model, and a name that tells it from other models."""
+
+    id: str
+    model: Broadcast
+
+    @property
+    def value(self) -> Model:
+        return self.model.value
+
+
+#: Of a worker: parts' units and units' scores under one model, over all its tasks until another operator claims the memory.
+_cache: dict = {}
+
+
 def features(tops: list[list[float]], sizes: list[int]) -> np.ndarray:
     """The three highest unit scores of a text, its size, and 1."""
     out = np.full((len(tops), 5), CLEAN)
@@ -141,27 +175,43 @@ def features(tops: list[list[float]], sizes: list[int]) -> np.ndarray:
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge losses, weighted by ``c``, by Newton steps."""
-    z = np.column_stack([x, np.ones(len(x))])
-    ridge = np.eye(z.shape[1])
+def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30, rows: int = 8192) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge losses, weighted by ``c``, by Newton steps; sums are taken ``rows`` rows at a time."""
+    width = x.shape[1] + 1
+    ridge = np.eye(width)
     ridge[-1, -1] = 1e-3
-    w = np.zeros(z.shape[1])
+    w = np.zeros(width)
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        a, b = z[active], (c * y)[active]
-        new = np.linalg.solve(ridge + a.T @ (a * c[active, None]), a.T @ b)
+        left, right = ridge.copy(), np.zeros(width)
+        for i in range(0, len(x), rows):
+            z = np.column_stack([x[i : i + rows].astype(np.float64), np.ones(len(x[i : i + rows]))])
+            part = slice(i, i + rows)
+            active = y[part] * (z @ w) < 1
+            z, weight = z[active], c[part][active]
+            left += z.T @ (z * weight[:, None])
+            right += z.T @ (weight * y[part][active])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
     return w[:-1], float(w[-1])
 
 
-def spread(weight: dict[str, float], least: int, apart: float = 0.5) -> list[str]:
-    """The heaviest units that are unlike each other, until every unit is like one of them; then the heaviest of the rest, up to ``least``. Ties to the lesser string."""
+def surely(toxic: int, clean: int, share: float, tried: int) -> bool:
+    """Whether so many toxic and clean texts are too many toxic ones for chance, at 5 % over all ``tried`` units (Chernoff's bound)."""
+    n, q = toxic + clean, toxic / (toxic + clean)
+    divergence = q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0)
+    return q > share and n * divergence > math.log(20 * tried)
+
+
+def spread(weight: dict[str, float], least: int, apart: float = 0.5, sure: set[str] | None = None) -> list[str]:
+    """Units that are unlike each other, heaviest first, until every sure one (all, if not given) is like one of them and there are ``least``; then the heaviest of the rest, up to ``least``. Ties to the lesser string."""
+    sure = set(weight) if sure is None else sure
     ranked = sorted(weight, key=lambda u: (-weight[u], u))
     chosen, left = [], ranked
-    while left:
+    while left and (len(chosen) < least or any(u in sure for u in left)):
+        if len(chosen) >= least:
+            left = [u for u in left if u in sure]
         chosen.append(left[0])
         like = normal_kernel([windows(u)[0] for u in left[1:]], [windows(left[0])[0]])[:, 0]
         left = [u for u, x in zip(left[1:], like) if x < apart]
@@ -200,31 +250,41 @@ def train(rows: list[tuple[set[str], int]], n_landmarks: int = 32, rounds: int =
         shares = {u: float(able[u]) ** 2 for u in t if u in able}
         for u, x in shares.items():
             weight[u] += x / sum(shares.values())
+    share, tried = len(toxic) / len(rows), len(in_toxic.keys() | in_clean.keys())
+    # those that chance doesn't explain, nor heavier units of the same texts: they carry half of a text at least
+    sure = {u for u, x in weight.items() if x >= 0.5 and surely(in_toxic[u], in_clean[u], share, tried)}
     usual = [u for u, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if u not in weight]
-    landmarks = list(dict.fromkeys(windows(u)[0] for u in spread(weight, n_landmarks) + usual[:8]))
+    landmarks = list(dict.fromkeys(windows(u)[0] for u in spread(weight, n_landmarks, sure=sure) + usual[:8]))
     values, vectors = np.linalg.eigh(normal_kernel(landmarks, landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T  # Nyström map
     names = sorted({*in_toxic, *in_clean})
     parts = [windows(n) for n in names]
-    phi = normal_kernel([w for p in parts for w in p], landmarks) @ root.astype(np.float32)
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]
+    near = normal_kernel([w for p in parts for w in p], landmarks)
+    phi = near @ root.astype(np.float32)
+    sizes = np.array([len(p) for p in parts])
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     at = {n: i for i, n in enumerate(names)}
     bags = [np.array([at[u] for u in t], np.int64) for t in toxic + clean]
     marks = np.array([1] * len(toxic) + [0] * len(clean))
     good = np.zeros(len(names))
     good[[at[u] for u in weight]] = list(weight.values())
     bad = np.array([in_clean[n] for n in names], float)
-    usual_rows = np.array([at[u] for u in usual[:4000]], np.int64)
+    usual_rows = np.array([at[u] for u in usual], np.int64)
     hard = np.zeros(0, np.int64)
+    value = near.max(axis=1)
     for step in range(rounds):
         p = np.nonzero(good)[0]
         n = np.unique(np.concatenate([usual_rows, hard, p[bad[p] > 0]]))
         n = n[bad[n] > 0]
-        x = phi[np.concatenate([starts[p], starts[n]])].astype(np.float64)  # a long unit trains by its first window
-        y = np.array([1.0] * len(p) + [-1.0] * len(n))
-        c = 400 * np.concatenate([good[p] / len(toxic), bad[n] / len(clean) / max(1.0, (bad[n] / len(clean)).sum() / 4)])
+        # a long suspect trains by its worst window, a usual unit by all of its windows
+        worst = np.array([starts[i] + int(np.argmax(value[starts[i] : starts[i] + sizes[i]])) for i in p], np.int64)
+        every = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in n]) if len(n) else n
+        x = phi[np.concatenate([worst, every])]
+        y = np.array([1.0] * len(worst) + [-1.0] * len(every))
+        c = 400 * np.concatenate([good[p] / len(toxic), np.repeat(bad[n] / sizes[n], sizes[n]) / len(clean) / max(1.0, (bad[n] / len(clean)).sum() / 4)])
         w, bias = squared_hinge(x, y, c)
-        scores = np.maximum(np.maximum.reduceat(phi @ w + bias, starts), CLEAN)
+        value = phi @ w + bias
+        scores = np.maximum(np.maximum.reduceat(value, starts), CLEAN)
         if step == rounds - 1:
             break
         good[:] = 0
@@ -241,25 +301,47 @@ def train(rows: list[tuple[set[str], int]], n_landmarks: int = 32, rounds: int =
     return Model(landmarks, root @ w, bias, logistic(features(tops, [len(b) for b in bags]), marks))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows, chosen by hash, outside the held-out fold (crc32 of doc_id mod 5 is 0).
-
-    Null labels and labels other than 0 and 1 don't count; a doc_id with both labels counts as toxic.
-    """
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(h, toxic, text): one text of each of about ``sample_rows`` labelled ids, chosen by a limit on their hash."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
-    chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, sample_rows / max(1, marked.count()))
+    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # sample_rows rows of two numbers
+    found = texts.join(F.broadcast(chosen), "doc_id")  # about sample_rows rows of two numbers
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.xxhash64("doc_id").alias("h"), "toxic", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_letters: int = SAMPLE_LETTERS) -> Model:
+    """Fit, in a task, on about ``sample_rows`` labelled ids, chosen by hash, outside the held-out fold (crc32 of doc_id mod 5 is 0).
+
+    Null labels and labels other than 0 and 1 don't count; a doc_id with both
+    labels counts as toxic, and of the texts of a repeated doc_id one is taken. In
+    the order of the hash, texts beyond ``sample_letters`` letters of units are left out.
+    """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [sorted(units(t or "")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(texts, pa.list_(pa.string()))], ["toxic", "units"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), pa.array(texts, pa.list_(pa.string()))], ["h", "toxic", "units"])
 
-    rows = found.mapInArrow(reduce, "toxic int, units array<string>").toArrow()
-    known: dict[str, str] = {}
-    return train([({known.setdefault(u, u) for u in us}, y) for y, us in zip(rows.column("toxic").to_pylist(), rows.column("units").to_pylist())])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
+        known: dict[str, str] = {}
+        rows, letters = [], 0
+        for b in batches:
+            for y, us in zip(b.column("toxic").to_pylist(), b.column("units").to_pylist()):
+                letters += sum(map(len, us))
+                if letters > sample_letters:
+                    break
+                rows.append(({known.setdefault(u, u) for u in us}, y))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
+
+    rows = sample(docs, labels, sample_rows).mapInArrow(reduce, "h long, toxic int, units array<string>")
+    one = rows.repartition(1).sortWithinPartitions("h", "toxic").mapInArrow(learn, "model binary")  # the sample is bounded
+    got = one.first()
+    return pickle.loads(got["model"]) if got else train([])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -276,18 +358,22 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields])
     for name, (kind, _) in added.items():
         schema = schema.add(name, kind)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        claim("toxicity", lambda: None)
-        unit_of: dict[str, str] = {}  # for this task only: the worker stays small for what follows
-        value_of: dict[str, float] = {}
+        claim("toxicity", _cache.clear)
+        if _cache.get("model") != shared.id:
+            _cache.clear()
+            _cache["model"] = shared.id
+        unit_of: dict[str, str] = _cache.setdefault("units", {})
+        value_of: dict[str, float] = _cache.setdefault("values", {})
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                if len(unit_of) > CACHE_ENTRIES or len(value_of) > CACHE_ENTRIES:
+                if len(unit_of) > CACHE_ENTRIES // 4:
                     unit_of.clear()
+                if len(value_of) > CACHE_ENTRIES:
                     value_of.clear()
                 split = [set(chunks(t or "")) for t in part.column("text").to_pylist()]
                 for c in set().union(*split).difference(unit_of):
