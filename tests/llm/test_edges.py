@@ -537,3 +537,18 @@ def test_license_inheritance_and_edges(spark):
     want = [("a/LICENSE", "MIT", "own", None), ("a/x", "MIT", "inherited", "a"), ("a/x", "MIT", "inherited", "a"), ("a/b/c/y", "GPL-3.0", "inherited", "a/b"), ("a/b/COPYING", "GPL-3.0", "own", None), ("a/b/z", "GPL-3.0", "inherited", "a/b"), ("a/b/c/LICENSE", "GPL-3.0", "inherited", "a/b"), ("q/x", None, "none", None), (None, None, "none", None), (None, "MIT", "own", None), ("top", None, "none", None)]
     assert got == sorted(want, key=repr)
     assert licenses.scan_licenses(df.where("extra = 0")).collect() == []
+
+
+def test_licence_headers_over_several_lines(spark):
+    """A notice wrapped in a comment, in paragraphs of it, and as a block of plain lines; the code below has no licence."""
+    import textwrap
+
+    code = "\n".join(f"value_{i} = compute({i}, other_{i})" for i in range(150))
+    mit, gpl, bsd = (next(t for n, k, t in licenses.TEMPLATES if n == name and k == "file") for name in ("MIT", "GPL-3.0", "BSD-3-Clause"))
+    comment = lambda t, sign: "\n".join(f"{sign} {x}" for x in textwrap.wrap(t, 72))
+    half = len(gpl.split()) // 2
+    two = comment(" ".join(gpl.split()[:half]), "//") + "\n//\n" + comment(" ".join(gpl.split()[half:]), "//")
+    title = "Apache License\n  Version 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n"
+    rows = [("a/x.py", comment(mit, "#") + "\n" + code), ("b/y.js", two + "\n" + code), ("c/z.txt", "\n".join(textwrap.wrap(bsd, 60)) + "\n\n" + code), ("d/LICENSE", title + code), ("d/e/w", code), ("a/v", code)]
+    got = {r["path"]: (r["license"], r["license_from"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/x.py": ("MIT", "own"), "b/y.js": ("GPL-3.0", "own"), "c/z.txt": ("BSD-3-Clause", "own"), "d/LICENSE": ("Apache-2.0", "own"), "d/e/w": ("Apache-2.0", "inherited"), "a/v": (None, "none")}
