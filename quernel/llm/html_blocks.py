@@ -11,6 +11,7 @@ telling and with meaningless class names) whose main text is known.
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,24 +20,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: For a page up to its last ``>``: each tag or piece of text is read once, whatever is left open.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden|rel|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
 # The HTML standard's element kinds.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source output progress".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source output progress math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video select annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-TAG_BUCKETS, WORD_BUCKETS, WIDTH, HIDDEN, MEASURES, DEPTH = 4096, 8192, 16, 24, 10, 8
+TAG_BUCKETS, WORD_BUCKETS, WIDTH, HIDDEN, MEASURES = 4096, 8192, 16, 24, 10
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags and name parts of the innermost elements
+    path: tuple[int, ...]  # buckets of the tags and name parts of all elements around it, each once, and again of the innermost
     link_chars: int
     measures: list[float] = field(default_factory=list)
 
@@ -53,59 +55,117 @@ def named_parts(attributes: str) -> list[str]:
     return out
 
 
+_tag_buckets: dict[str, int] = {}
+_word_buckets: dict[str, int] = {}
+
+
+def bucket(known: dict[str, int], word: str, n: int) -> int:
+    got = known.get(word)
+    if got is None:
+        if len(known) > 400_000:
+            known.clear()
+        got = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
+    return got
+
+
+class Stack:
+    """Open elements. What an end tag closes is found without a walk over those that stay open."""
+
+    def __init__(self):
+        self.items: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []  # tag, path, and what the innermost block element adds
+        self.at: dict[str, list[int]] = {}  # places of the open elements of each tag
+        self.blocks: list[int] = []  # places of those that aren't inline
+        self.walls: list[int] = []  # places of those that are neither inline nor p
+        self.links = 0
+
+    @property
+    def path(self) -> tuple[int, ...]:
+        return self.items[-1][1] + self.items[-1][2] if self.items else ()
+
+    def push(self, tag: str, names: list[str]) -> None:
+        path, own = self.items[-1][1:] if self.items else ((), ())
+        if tag not in INLINE:
+            own = tuple(bucket(_tag_buckets, "@" + x, TAG_BUCKETS) for x in (tag, *names))
+            self.blocks.append(len(self.items))
+            if tag != "p":
+                self.walls.append(len(self.items))
+            for x in (tag, *names):
+                k = bucket(_tag_buckets, x, TAG_BUCKETS)
+                if k not in path:
+                    path += (k,)
+        self.links += tag == "a"
+        self.at.setdefault(tag, []).append(len(self.items))
+        self.items.append((tag, path, own))
+
+    def pop_to(self, k: int) -> None:
+        while len(self.items) > k:
+            tag = self.items.pop()[0]
+            self.at[tag].pop()
+            self.links -= tag == "a"
+            if tag not in INLINE:
+                self.blocks.pop()
+                if tag != "p":
+                    self.walls.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag; that of an inline element doesn't close block elements."""
+        places = self.at.get(tag)
+        if places and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self.pop_to(places[-1])
+
+    def close_any(self, tags: tuple[str, ...]) -> None:
+        """What a start tag closes unsaid: the last of these tags, unless another block is open inside it."""
+        k = max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        if k >= 0 and not (self.walls and self.walls[-1] > k):
+            self.pop_to(k)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; scripts, styles, comments and the head give none."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     held: list[str] = []
-    path: tuple[str, ...] = ()
-    links = link_depth = 0
-    skip_to, pos = 0, 0
+    links = skip_to = 0
+    whole_head = True  # a head that isn't closed is no reason to look for its end again
 
     def flush():
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, path, min(links, len(text))))
+                out.append(Block(text, stack.path, min(links, len(text))))
             held.clear()
         links = 0
 
-    def pop_to(k: int):
-        nonlocal path, link_depth
-        for tag, _ in stack[k:]:
-            if tag == "a":
-                link_depth -= 1
-        del stack[k:]
-        path = tuple(x for t, names in stack[-DEPTH:] for x in (t, *names) if t not in INLINE)
+    def hold(piece: str):
+        nonlocal links
+        held.append(html.unescape(piece) if "&" in piece else piece)
+        if stack.links:
+            links += len(held[-1].strip())
 
-    for m in TOKEN.finditer(page):
+    last = page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, last):
         if m.start() < skip_to:
             continue
         tag = m.group(2)
         if tag is None:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
-                text = html.unescape(piece) if "&" in piece else piece
-                held.append(text)
-                if link_depth:
-                    links += len(text.strip())
+                hold(piece)
+            elif piece.startswith("<!--") and not piece.endswith("-->"):
+                skip_to = len(page)
             continue
         tag = tag.lower()
         if m.group(1):
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag doesn't close block elements
+            stack.close(tag)
             continue
-        if tag in RAW or tag == "head":
+        if tag in RAW or (tag == "head" and whole_head):
             end = re.compile(rf"</{re.escape(tag)}\s*>|<body[\s>]" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(page, m.end())
             if tag not in INLINE:
                 flush()
+            whole_head = tag != "head" or end is not None
             skip_to = (end.start() if end.group()[1] != "/" else end.end()) if end else (m.end() if tag == "head" else len(page))
             continue
         if tag == "br":
@@ -113,39 +173,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                like = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, (tag,))
-                wanted = ("p",) if tag in CLOSES_P else like
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in wanted:
-                        pop_to(k)
-                        break
-                    if stack[k][0] not in INLINE and stack[k][0] != "p":
-                        break
+            if tag in CLOSES_P:
+                stack.close_any(("p",))
+            elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                stack.close_any({"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, (tag,)))
         if tag not in VOID and not m.group(3).endswith("/"):
-            names = tuple(named_parts(m.group(3))) if m.group(3) else ()
-            stack.append((tag, names))
-            if tag == "a":
-                link_depth += 1
-            if tag not in INLINE:
-                path = tuple(x for t, ns in stack[-DEPTH:] for x in (t, *ns) if t not in INLINE)
+            stack.push(tag, named_parts(m.group(3)) if m.group(3) else [])
+    if skip_to <= last < len(page):
+        hold(page[last:].partition("<!--")[0])
     flush()
     return out
 
 
-_tag_buckets: dict[str, int] = {}
-_word_buckets: dict[str, int] = {}
-
-
-def bucket(known: dict[str, int], word: str, n: int) -> int:
-    got = known.get(word)
-    if got is None:
-        if len(known) > 400_000:
-            known.clear()
-        got = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
-    return got
-
-
 def features(found: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Tag buckets and word buckets of each block, and its measures."""
     n = len(found)
@@ -155,7 +194,7 @@ def features(found: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np
         same[b.path] = same.get(b.path, 0) + len(b.text)
     total = sum(len(b.text) for b in found) or 1
     for i, b in enumerate(found):
-        tags.append(np.array([bucket(_tag_buckets, x, TAG_BUCKETS) for x in b.path] or [0], np.int64))
+        tags.append(np.array(b.path or [0], np.int64))
         ws = b.text.lower().split()
         get = _word_buckets.get
         words_.append(np.array([v if (v := get(w)) is not None else bucket(_word_buckets, w, WORD_BUCKETS) for w in ws], np.int64))
@@ -316,6 +355,22 @@ def labeller(pages: int = 2000, seed: int = 7) -> Labeller:
     return train_labeller([m for m in made if m[0]], seed)
 
 
+_trained: dict[tuple[int, int], Labeller] = {}
+
+
+def trained(spark: SparkSession, pages: int = 2000, seed: int = 7) -> Labeller:
+    """``labeller``, trained by a task once in a session; the driver only gets the weights."""
+    if (pages, seed) not in _trained:
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(labeller(pages, seed))], pa.binary())], ["model"])
+
+        row = spark.range(0, 1, 1, 1).mapInArrow(learn, "model binary").first()
+        _trained[pages, seed] = pickle.loads(row["model"])
+    return _trained[pages, seed]
+
+
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     """Main text of each page; empty for a null or empty page."""
     found = [blocks(p or "") for p in pages]
@@ -347,4 +402,4 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
 
 
 def op6_html_extraction(spark, sf_dir):
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), labeller())
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), trained(spark))
