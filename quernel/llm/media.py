@@ -3,6 +3,8 @@
 ``parse_avi`` reads the header lists and the index (or walks the frames where
 there is none); ``decode_frames`` decodes many frames at once; ``shots`` cuts
 where the difference of neighbouring histograms stands out from those around it.
+Frames are encoded and decoded ``SLICE`` at a time, so that memory beyond the
+file itself doesn't grow with its length.
 """
 
 from __future__ import annotations
@@ -24,9 +26,21 @@ COLUMNS, ROWS = 16, 12
 UNIT = COLUMNS * ROWS  # bytes of a frame
 FRAME_RATE = 25
 BINS = 32
+SLICE = 1024  # frames that are encoded or decoded together
 HEADER = jpeg.mosaic_header(8 * COLUMNS, 8 * ROWS)
 
 
+CLIP = "clip int, first_frame long, frames long, start_s double, end_s double"
+CLIP_FIELDS = CLIP.replace(" ", ":").replace(",:", ", ")
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 @dataclass
 class Avi:
     seconds_a_frame: float
@@ -132,10 +146,17 @@ def decode_frames(frames: list[bytes]) -> list[tuple[list[int], jpeg.Coefficient
 _LAYOUT = jpeg.parse_header(HEADER)
 
 
+def decoded(frames: list[bytes]) -> Iterator[tuple[np.ndarray, jpeg.Coefficients, jpeg.Layout]]:
+    """``decode_frames`` of a slice of the frames at a time, with numbers among all of them."""
+    for a in range(0, len(frames), SLICE):
+        for rows, c, layout in decode_frames(frames[a : a + SLICE]):
+            yield np.array(rows) + a, c, layout
+
+
 def histograms(frames: list[bytes]) -> np.ndarray:
     """Share of the first component's samples in each of ``BINS`` bins, by frame."""
     out = np.zeros((len(frames), BINS))
-    for rows, c, layout in decode_frames(frames):
+    for rows, c, layout in decoded(frames):
         if len(c.frame) or len(layout.components) > 1:
             values = jpeg.planes(c, layout)[0].reshape(len(rows), -1)
         else:
@@ -182,24 +203,29 @@ def shots(diff: np.ndarray, reach: int = 12, factor: float = 3.0, least: float =
     return list(zip(edges, edges[1:]))
 
 
+def timed(cut: list[tuple[int, int]], seconds_a_frame: float) -> list[dict]:
+    """Shots as clip rows with their times."""
+    return [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a * seconds_a_frame, "end_s": b * seconds_a_frame} for k, (a, b) in enumerate(cut)]
+
+
 def clip_rows(df: DataFrame, media_col: str = "media", id_col: str = "media_id") -> DataFrame:
     """Timed clips of a column of AVI files: (id, clip, first_frame, frames, start_s, end_s, error).
 
     A null or broken file gives one row with ``error`` and null times; a file
     without frames gives no clip rows.
     """
-    schema = "media_id string, clip int, first_frame long, frames long, start_s double, end_s double, error string"
+    schema = f"media_id string, {CLIP}, error string"
+    out = arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     avi = parse_avi(data or b"")
-                    cut = shots(differences(histograms(avi.frames)))
-                    rows = [(key, k, a, b - a, a * avi.seconds_a_frame, b * avi.seconds_a_frame, None) for k, (a, b) in enumerate(cut)]
-                except (jpeg.Unsupported, struct.error, IndexError, KeyError) as e:
-                    rows = [(key, 0, None, None, None, None, str(e) or type(e).__name__)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("media_id", "clip", "first_frame", "frames", "start_s", "end_s", "error"), r)) for r in rows], schema=pa.schema([("media_id", pa.string()), ("clip", pa.int32()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("error", pa.string())]))
+                    rows = [{"media_id": key} | r for r in timed(shots(differences(histograms(avi.frames))), avi.seconds_a_frame)]
+                except (struct.error, IndexError, KeyError, ValueError, OverflowError, MemoryError) as e:  # whatever broken bytes lead to
+                    rows = [{"media_id": key, "clip": 0, "error": str(e) or type(e).__name__}]
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return df.select(F.col(id_col).cast("string"), F.col(media_col).cast("binary")).mapInArrow(read, schema)
 
@@ -208,7 +234,8 @@ def store(texts: list[bytes]) -> list[bytes]:
     """Each text's bytes, filled with spaces to whole frames, as an AVI file."""
     filled = [t + b" " * ((-len(t)) % UNIT if t else UNIT) for t in texts]
     samples = np.frombuffer(b"".join(filled), np.uint8).reshape(-1, UNIT)
-    frames, at, out = jpeg.encode_mosaics(samples, HEADER), 0, []
+    frames = [f for a in range(0, len(samples), SLICE) for f in jpeg.encode_mosaics(samples[a : a + SLICE], HEADER)]
+    at, out = 0, []
     for f in filled:
         n = len(f) // UNIT
         out.append(write_avi(frames[at : at + n], 8 * COLUMNS, 8 * ROWS))
@@ -221,7 +248,7 @@ def read_back(files: list[bytes]) -> list[dict]:
     parsed = [parse_avi(f) for f in files]
     frames = [f for avi in parsed for f in avi.frames]
     values = np.zeros((len(frames), UNIT), np.uint8)
-    for rows, c, layout in decode_frames(frames):
+    for rows, c, layout in decoded(frames):
         values[rows] = mosaic_values(c, layout)
     hist, at, out = histogram_rows(values), 0, []
     for avi in parsed:
@@ -231,26 +258,22 @@ def read_back(files: list[bytes]) -> list[dict]:
         times = ",".join(f"{a * avi.seconds_a_frame:.2f}" for a, _ in cut)
         longest = max(b - a for a, b in cut)
         digest = hashlib.sha256(times.encode()).hexdigest()[:16]
-        out.append({"payload": payload, "clips": cut, "feature": f"frames={n};seconds={n * avi.seconds_a_frame:.2f};shots={len(cut)};longest={longest};change={diff.mean():.4f};peak={diff.max():.4f};starts={digest}"})
+        out.append({"payload": payload, "clips": timed(cut, avi.seconds_a_frame), "feature": f"frames={n};seconds={n * avi.seconds_a_frame:.2f};shots={len(cut)};longest={longest};change={diff.mean():.4f};peak={diff.max():.4f};starts={digest}"})
         at += n
     return out
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int"
+MEDIA = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<{CLIP_FIELDS}>>"
 
 
 def media_features(docs: DataFrame, budget: int = 1 << 20) -> DataFrame:
-    """Store every text as an AVI file, read it back, and describe what was read.
+    """Store every text as an AVI file, read it back, and describe what was read; ``clips`` are the file's timed clip rows.
 
     A null text counts as empty, which is one frame of spaces. Rows keep their
     doc_id, null too; repeated rows give repeated results. Texts are taken
     together up to ``budget`` bytes; a longer one is taken alone.
     """
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(MEDIA))
+    schema = arrow_schema(MEDIA)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +289,7 @@ def media_features(docs: DataFrame, budget: int = 1 << 20) -> DataFrame:
                 files = store(part)
                 for key, t, f, got in zip(ids[at : at + len(part)], part, files, read_back(files)):
                     p = got["payload"]
-                    rows.append((key, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), got["feature"], len(got["clips"])))
+                    rows.append((key, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), got["feature"], got["clips"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 at += len(part)
 
