@@ -237,7 +237,7 @@ def train(rows: list[tuple[set[str], int]], n_landmarks: int = 32, rounds: int =
     """Fit on (units of a text, label). Without both labels, or without units that tell them apart, every text gets the same score."""
     rows = sorted({(tuple(sorted(u)), y) for u, y in rows})  # a copied text counts once
     toxic, clean = ([list(u) for u, y in rows if y == v] for v in (1, 0))
-    prior = (len(toxic) + 0.5) / (len(rows) + 1)
+    prior = (len(toxic) + 0.5) / (len(rows) + 2)  # under a half without labels: nothing is toxic for want of evidence
     flat = Model([], np.zeros(0), 0.0, np.array([0, 0, 0, 0, np.log(prior / (1 - prior))]))
     if not toxic or not clean:
         return flat
