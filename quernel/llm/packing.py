@@ -183,7 +183,9 @@ def pack(
         up = emptiest(fill, capacity, slack, carry)
         yield pdf.assign(bin=(node << 32) + bins, offset=offsets, node=node, fill=fill[bins], up=up[bins])
 
-    spread = items.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    # dealt by the row's number too, which its written form fixes: repeated rows don't meet in one task
+    numbered = items.withColumn("row", F.monotonically_increasing_id())
+    spread = numbered.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", "row")).drop("row")
     placed = cut(spread.mapInPandas(local, schema))
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
