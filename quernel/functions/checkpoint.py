@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read from there. Unset, a temporary folder serves in local mode only."""
+    """``df`` written to ``spark.checkpoint.dir`` and read from there. Unset, a temporary folder serves in local mode only.
+
+    The plan's estimated size, which a checkpoint keeps and joins multiply, is dropped: in loops it would grow without end.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernel-checkpoint-"))
-    return df.checkpoint(eager=True)
+    jdf = df.checkpoint(eager=True)._jdf
+    return DataFrame(jdf.sparkSession().internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), df.sparkSession)
