@@ -57,6 +57,12 @@ def capped(df: DataFrame, by: list[str], order: list[str], most: int = 20) -> Da
     return kept.join(totals, by).withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0).cast("long")))
 
 
+def first_per(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in an order, nulls first; tasks keep one row a key before rows are shuffled."""
+    key = F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"{c}_given"), F.col(c).alias(c))])
+    return df.groupBy(*by).agg(F.min_by(F.struct(*[c for c in df.columns if c not in by]), key).alias("row")).select(*by, "row.*")
+
+
 def utf16_order(column: str) -> Column:
     """The order of a text by UTF-16 units, nulls last; Spark's own is by UTF-8 bytes, which differs above U+FFFF."""
     return F.asc_nulls_last(F.encode(F.col(column), "UTF-16BE"))

@@ -188,10 +188,10 @@ def line_span(files: DataFrame, first: int, last: int, budget: int = 4000) -> Da
 
 
 def documents_read(files: DataFrame) -> DataFrame:
-    """(path, byte_count, scalar_count, utf16_count, total_lines) of decoded texts; an ending terminator opens no line."""
+    """(path, byte_count, scalar_count, utf16_count, total_lines, content_hash) of decoded texts; an ending terminator opens no line."""
     t = F.col("text")
     n = F.size(F.split(t, TERMINATOR, -1)) - F.when(t.rlike("[\r\n]\\z"), 1).otherwise(0)
-    return files.select("path", F.octet_length(t).cast("long").alias("byte_count"), F.length(t).cast("long").alias("scalar_count"), utf16_length(t).cast("long").alias("utf16_count"), F.when(F.length(t) == 0, 0).otherwise(n).cast("long").alias("total_lines"))
+    return files.select("path", F.octet_length(t).cast("long").alias("byte_count"), F.length(t).cast("long").alias("scalar_count"), utf16_length(t).cast("long").alias("utf16_count"), F.when(F.length(t) == 0, 0).otherwise(n).cast("long").alias("total_lines"), F.sha2(t, 256).alias("content_hash"))
 
 
 def status_counts(observed: DataFrame) -> DataFrame:

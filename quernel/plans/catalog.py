@@ -184,7 +184,7 @@ def line_span(spark, sf_dir):
 
 
 @query(f"""WITH {DOC_FILES} SELECT path, strlen(text) AS byte_count, length(text) AS scalar_count, length(text) + len(regexp_extract_all(text, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS utf16_count,
-CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '\\r\\n|\\n|\\r')) - CASE WHEN regexp_matches(text, '[\\r\\n]$') THEN 1 ELSE 0 END END AS total_lines FROM doc_files""")
+CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '\\r\\n|\\n|\\r')) - CASE WHEN regexp_matches(text, '[\\r\\n]$') THEN 1 ELSE 0 END END AS total_lines, sha256(text) AS content_hash FROM doc_files""")
 def documents_read(spark, sf_dir):
     return text.documents_read(document_files(spark, sf_dir))
 

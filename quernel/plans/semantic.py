@@ -363,3 +363,9 @@ def property_maps(spark, sf_dir):
     merged = F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own)
     kept = F.map_filter(merged, lambda k, _: (k != "platform") | (F.col("k") % 3 != 0))
     return s.select("k", F.try_element_at(kept, F.lit("configuration")).alias("configuration"), F.try_element_at(kept, F.lit("targetframework")).alias("framework"), F.size(kept).alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_per_key(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return bounded.first_per(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
