@@ -316,7 +316,7 @@ def ownership_scope(spark, sf_dir):
     return files.in_ownership(docs, files.owners(docs, projects_, linked)).select("path", "external")
 
 
-@query("SELECT s_name || '/' || s_name || '.csproj' AS project, 'net' || s_nationkey || ',net9' AS frameworks, s_name || '/../lib/x.csproj' AS raw, 'lib/x.csproj' AS reference FROM supplier")
+@query("SELECT s_name || '/' || s_name || '.csproj' AS project, 'net' || s_nationkey || CASE WHEN s_nationkey = 9 THEN '' ELSE ',net9' END AS frameworks, s_name || '/../lib/x.csproj' AS raw, 'lib/x.csproj' AS reference FROM supplier")
 def xml_projects(spark, sf_dir):
     """Project files made from suppliers, and read."""
     s = table(spark, sf_dir, "supplier")
