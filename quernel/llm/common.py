@@ -39,16 +39,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there; survives lost executors."""
+    """``df`` written to the checkpoint folder and read from there; survives lost executors.
+
+    A checkpoint keeps the size that Spark estimated for its plan. Each join
+    multiplies the estimates of its sides, so in a loop their digits would grow
+    with the power of the round until the driver's memory is full; here they are dropped.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    jdf = df.checkpoint(eager=True)._jdf
+    return DataFrame(jdf.sparkSession().internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), df.sparkSession)
 
 
-def cut_small(df: DataFrame, rows: int, rows_per_part: int = 100_000) -> DataFrame:
-    """``cut`` of a table of about so many rows into as few partitions as they need, and what earlier rounds shuffled is let go."""
+def cut_small(df: DataFrame, rows: int, rows_per_part: int = 100_000, let_go: bool = False) -> DataFrame:
+    """``cut`` of a table of so many rows at most into as few partitions as they need; with ``let_go`` what earlier rounds shuffled is deleted."""
     spark = df.sparkSession
     out = cut(df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_part))))
-    release(spark)
+    if let_go:
+        release(spark)
     return out
 
 
@@ -74,19 +81,17 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def meet(rows: DataFrame, groups: DataFrame, by: list[str], count: str = "n", most: int = 100_000, least: int = 1000, salts: int = 64) -> DataFrame:
-    """Inner join of rows with a table of one row a key that has the number of the key's rows in ``count``; hot keys are salted.
+def meet(rows: DataFrame, groups: DataFrame, by: list[str], bound: int, count: str = "n", most: int = 100_000, least: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join of rows, ``bound`` at most, with a table of one row a key that has the number of the key's rows in ``count``; hot keys are salted.
 
-    Hot is a key with over ``least`` rows and over 1/``most`` of all, so there are
-    fewer than ``most`` of them: they are broadcast to mark their rows, which are
-    dealt over ``salts`` parts, and their groups come to every part. ``groups``
-    is read several times.
+    Hot is a key with over ``least`` rows and over 1/``most`` of the bound, so there
+    are fewer than ``most`` of them: they are broadcast to mark their rows, which
+    are dealt over ``salts`` parts, and their groups come to every part. A plan
+    reads ``groups`` several times; what it shuffles for them it shuffles once.
     """
-    total, largest = groups.agg(F.sum(count), F.max(count)).first()
-    limit = max(least, (total or 0) // most)
-    if (largest or 0) <= limit:
+    if bound <= least:
         return rows.join(groups, by)
-    hot = F.col(count) > limit
+    hot = F.col(count) > max(least, bound // most)
     hot_keys = groups.where(hot).select(*by, F.lit(True).alias("__hot"))  # fewer than ``most`` rows
     names = rows.columns
     place = F.pmod(F.xxhash64(*[c for c in names if c not in by]), F.lit(salts)).cast("int")

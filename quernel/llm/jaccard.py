@@ -7,14 +7,18 @@ similarity. Each run walks a tree of chosen paths: at a node every set is split
 on the same two sampled positions, sets that share the token go on together;
 buckets of at most ``small`` classes are compared by brute force on the
 embedding, larger ones lose what is much like their head and are split again, and
-what is still together at the last depth is compared as it is. A pair of similarity 0.8 stays
-together in a run with probability 0.93 at least at any depth, so ``runs`` of
-5 miss one pair in a million.
+what is still together at the last depth is compared as it is. A pair of similarity
+0.8 stays together in a run with probability 0.93 at least at any depth; all runs
+share one embedding, over whose errors ``runs`` of 5 miss about 2 pairs in 100,000,
+and the comparison by the embedding, at 0.55, fewer still.
 
 Buckets only give edges of candidate components (one less than there are
-members, never all pairs). Components are then verified in blocks on the exact
-sets: every pair inside is compared, links are counted where they are found and
-only a spanning forest of them goes on, so no row stands for a pair of a group.
+members, never all pairs). Components are then verified on the exact sets, as
+``verified`` says: small ones as one block; in a large one every member is compared
+with a pivot, which settles most pairs by the triangle inequality of Jaccard
+distances, and what that leaves open is compared in blocks. Links are counted where
+they are found and only a spanning forest of them goes on, so no row stands for a
+pair of a group.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import claim, cut, release
+from quernel.llm.common import claim, cut, cut_small, may_hold, meet, release
 from quernel.llm.components import connected_components
 
 WORDS = 5
@@ -222,8 +226,8 @@ def judge(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, run int, key binary, sig binary, head binary, like int")
 
 
-def candidate_edges(classes: DataFrame, runs: int, small: int, depth: int, least: float) -> DataFrame:
-    """Edges whose components hold every pair that some run kept together.
+def candidate_edges(classes: DataFrame, n: int, runs: int, small: int, depth: int, least: float) -> DataFrame:
+    """Edges whose components hold every pair of the ``n`` classes that some run kept together.
 
     In a large bucket all that is near the head hangs on it. What is at the
     head's core then leaves: by the triangle inequality of Jaccard distances its
@@ -231,32 +235,33 @@ def candidate_edges(classes: DataFrame, runs: int, small: int, depth: int, least
     only the rest is split further.
     """
     order = F.xxhash64("key", "bucket")  # another head in every bucket of a class
-    rows, edges = split_further(classes, runs), None
+    rows, edges, size = split_further(classes, runs), None, n * runs * BRANCHES
     for level in range(depth):
         if level:
             heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "sig"), order).alias("h")).where("n > 1")
-            met = rows.join(heads.select("bucket", "n", F.col("h.key").alias("head"), F.col("h.sig").alias("head_sig")), "bucket")
+            met = meet(rows, heads.select("bucket", "n", F.col("h.key").alias("head"), F.col("h.sig").alias("head_sig")), ["bucket"], size)
         else:
             heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("key", order).alias("head")).where("n > 1")
             # a class's embedding comes to those rows only that share their bucket
-            met = rows.join(heads, "bucket").join(classes.select("key", "sig"), "key")
-        met = cut(met)
-        release(met.sparkSession)
+            met = meet(rows, heads, ["bucket"], size).join(classes.select("key", "sig"), "key")
+        met = cut_small(met, size, let_go=True)
         found = in_groups(met.where(F.col("n") <= small).select("bucket", "key", "sig"), ["bucket"], lambda pdf: alike(pdf, least), EDGES)
         edges = found if edges is None else edges.unionByName(found)
         large = met.where(F.col("n") > small)
         if not large.take(1):
             return edges
         if not level:
-            first = large.where("key = head").select("bucket", F.col("sig").alias("head_sig")).dropDuplicates(["bucket"])
-            large = large.join(first, "bucket")
+            first = large.where("key = head").select("bucket", F.col("sig").alias("head_sig"), "n").dropDuplicates(["bucket"])
+            large = meet(large.drop("n"), first, ["bucket"], size)
         last = level == depth - 1
-        judged = cut(judge(large.select("bucket", "run", "key", "sig", "head", "head_sig")))
+        judged = cut_small(judge(large.select("bucket", "run", "key", "sig", "head", "head_sig")), size)
         hung = judged.where(F.lit(last) | (F.col("like") > 0)).where("key != head")
         edges = edges.unionByName(hung.select(F.col("head").alias("a"), F.col("key").alias("b")))
         if last:
             return edges
-        rows = cut(split_further(judged.where("like < 2").select("bucket", "run", "key", "sig")))  # read twice
+        kept = judged.where("like < 2")
+        size = BRANCHES * kept.count()
+        rows = cut_small(split_further(kept.select("bucket", "run", "key", "sig")), size)  # read twice
     return edges
 
 
@@ -328,12 +333,97 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield kept.filter(ok)
 
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    one = wanted.join(texts, "text_hash").groupBy(*wanted.columns).agg(F.min("text").alias("text"))
+    texts = docs.select(F.xxhash64(text).alias("h"), F.crc32(text).alias("c"), F.octet_length(text).alias("size"), text.alias("text"))
+    # one of equal texts, before they meet their class; texts that only share the hash stay apart, and ``run`` tells which has the set
+    some = may_hold(texts, wanted.select(F.col("text_hash").alias("h"))).groupBy("h", "c", "size").agg(F.min("text").alias("text"))
+    one = wanted.join(some.withColumnRenamed("h", "text_hash").drop("c", "size"), "text_hash").select(*wanted.columns, "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.select(*wanted.columns).schema) + ", shingles binary"
     return one.mapInArrow(run, schema)
 
 
+CELLS = 10  # parts of the greatest distance of a link; a member's cell is its distance from the pivot in such parts
+
+
+def distances(members: DataFrame, threshold: float) -> DataFrame:
+    """Add ``cell`` to members (..., shingles, pivot_shingles): distance from the pivot in parts of (1 - threshold) / ``CELLS``."""
+    part = (1 - threshold) / CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for s, p in zip(batch.column("shingles").to_pylist(), batch.column("pivot_shingles").to_pylist()):
+                x, y = np.frombuffer(s, "<u8"), np.frombuffer(p, "<u8")
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                cells.append(int((1 - both / (len(x) + len(y) - both)) / part))
+            names = [n for n in batch.schema.names if n != "pivot_shingles"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(cells, pa.int32())], [*names, "cell"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name != "pivot_shingles") + ", cell int"
+    return members.mapInArrow(run, schema)
+
+
+def settled(big: DataFrame, n: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(link rows, tasks for ``verify``, members that stay open) of large components of ``n`` members together.
+
+    Distances obey the triangle inequality. So two members whose distances from
+    the pivot add up to no more than a link's are linked: these are counted by
+    cells. Two whose distances differ by more are not. Other pairs with one member
+    within a link's distance are compared, in blocks of a cell; pairs farther out
+    are left open, for another pivot.
+    """
+    chosen = big.where("key = pivot").select("component", F.col("shingles").alias("pivot_shingles"), "n")
+    near = cut_small(distances(meet(big.drop("n"), chosen, ["component"], n).drop("n"), threshold), n, rows_per_part=20_000)
+    cells = near.groupBy("component", "cell").agg(F.count("*").alias("n"), F.sum("copies").alias("in_cell"))
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    all_cells = cells.groupBy("component").agg(F.collect_list(F.struct("cell", "in_cell", "blocks")).alias("cells"))  # a fixed number of cells at most
+    sure = F.filter("cells", lambda x: x["cell"] + F.col("cell") + 2 <= CELLS)
+    asked = F.filter("cells", lambda x: (x["cell"] + F.col("cell") + 2 > CELLS) & (F.abs(x["cell"] - F.col("cell")) < CELLS + 2) & (F.least(x["cell"], "cell") < CELLS))
+    other = lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: (x["cell"] * (1 << 20) + k).cast("int"))
+    told = cells.join(all_cells, "component").select(
+        "component", "cell", "n", "blocks", F.aggregate(sure, F.lit(0).cast("long"), lambda t, x: t + x["in_cell"]).alias("sure"), F.flatten(F.transform(asked, other)).alias("others"),
+    )
+    rows = meet(near, told, ["component", "cell"], n)
+    rows = rows.withColumn("block", (F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int"))
+    within = F.col("cell") * 2 + 2 <= CELLS  # a member's own copies are among the sure ones
+    counted = rows.where("sure > 0").select("key", F.lit(None).cast("binary").alias("other"), (F.col("sure") - F.when(within, F.col("copies")).otherwise(0)).alias("links"))
+    hung = rows.where((F.col("cell") + 2 <= CELLS) & (F.col("key") != F.col("pivot"))).select("key", F.col("pivot").alias("other"), F.lit(0).cast("long").alias("links"))
+    tasks = rows.withColumn("with", F.explode("others")).select(
+        "component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "copies", "shingles"
+    )
+    return counted.where("links > 0").unionByName(hung), tasks, near.where(F.col("cell") >= CELLS)
+
+
+def verified(members: DataFrame, n: int, threshold: float, block: int, pivots: int) -> DataFrame:
+    """``LINKS`` among ``n`` members (component, key, copies, shingles): every link once for each of its ends, and a spanning forest.
+
+    A component of up to ``block`` members is one block. In a larger one ``pivots``
+    balls are settled, one after another; what is then still open is compared in
+    blocks, each with every other of its component.
+    """
+    still, out, level = members, None, 0
+    while True:
+        sizes = still.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("copies")).alias("c"), "key")).alias("first"))
+        told = cut_small(meet(still, sizes.select("component", "n", F.col("first.key").alias("pivot")), ["component"], n), n, rows_per_part=20_000)
+        zero = F.lit(0)
+        tasks = told.where(F.col("n") <= block).select("component", zero.alias("i"), zero.alias("j"), zero.alias("block"), "key", "copies", "shingles")
+        big = told.where(F.col("n") > block)
+        rest = found = None
+        if big.take(1):
+            if level < pivots:
+                found, more, rest = settled(big, n, threshold, block)
+            else:
+                parts = F.ceil(F.col("n") / block).cast("int")
+                dealt = big.withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("with", F.explode(F.sequence(zero, parts - 1)))
+                more = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "copies", "shingles")
+            tasks = tasks.unionByName(more)
+        links = in_groups(tasks, ["component", "i", "j"], lambda pdf: verify(pdf, threshold), LINKS)
+        links = cut_small(links if found is None else links.unionByName(found), 3 * n, let_go=True)
+        out = links if out is None else out.unionByName(links)
+        if rest is None:
+            return out
+        still, level = rest.select(F.concat("component", F.lit("+").cast("binary")).alias("component"), "key", "copies", "shingles"), level + 1
+
+
 def jaccard_join(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, copy_class, class_id, n_links) of every row; see ``groups``."""
     return groups(docs, **params).select("doc_id", "copy_class", "class_id", "n_links")
@@ -343,17 +433,20 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one row of each group of linked texts: the least doc_id, null last, then the least text hash.
 
     Rows whose text has no words are in no group and stay; of rows equal in
-    doc_id and text one stays.
+    doc_id and text the one whose other columns come first as JSON stays.
     """
     last = F.lit((1 << 63) - 1)
     told = groups(docs, **params).select(F.coalesce("doc_id", last).alias("__d"), "text_hash", "group")
     kept = told.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("__d", "text_hash")).alias("k")).select("k.*")
     kept = kept.unionByName(told.where("group IS NULL").select("__d", "text_hash")).distinct().withColumnRenamed("text_hash", "__t")
     rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), last), "__t": F.xxhash64(F.col("text").cast("string"))})
-    return rows.join(kept, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).drop("__d", "__t")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    row = F.min_by(F.struct(*docs.columns), order).alias("row")
+    return rows.join(kept, ["__d", "__t"], "left_semi").groupBy("__d", "__t").agg(row).select("row.*")
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small: int = 512, depth: int = 5, block: int = 256, margin: float = 0.22) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small: int = 512, depth: int = 5, block: int = 256, margin: float = 0.25, pivots: int = 3) -> DataFrame:
     """(doc_id, text_hash, group, copy_class, class_id, n_links) of every row.
 
     ``group`` is a key that all rows of a component share, null without words.
@@ -366,39 +459,27 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small:
     classes without another. Repeated rows are copies of each other.
     """
     rows = cut(set_rows(docs))
-    classes = cut(
-        rows.where("key IS NOT NULL").groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"), F.min("doc_id").alias("copy_class"), F.min("sig").alias("sig"))
+    n = rows.count()
+    classes = cut_small(
+        rows.where("key IS NOT NULL").groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"), F.min("doc_id").alias("copy_class"), F.min("sig").alias("sig")), n
     )
-    edges = candidate_edges(classes.select("key", "sig"), runs, small, depth, threshold - margin)
-    grouped = connected_components(edges).withColumnRenamed("node", "key")
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
-    placed = (
-        grouped.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .join(classes.select("key", "text_hash", "copies"), "key")
-        .select("key", "text_hash", "copies", "component", "blocks", "block")
-    )
-    members = cut(fetch_sets(docs, placed))
-    release(docs.sparkSession)
-    # a block meets every other block of its component; small components are one block
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = members.withColumn("other", other).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "shingles"
-    )
-    found = cut(in_groups(tasks, ["component", "i", "j"], lambda pdf: verify(pdf, threshold), LINKS))
+    edges = candidate_edges(classes.select("key", "sig"), n, runs, small, depth, threshold - margin)
+    grouped = connected_components(edges, n * runs * BRANCHES).withColumnRenamed("node", "key")
+    placed = grouped.join(classes.select("key", "text_hash", "copies"), "key").select("key", "text_hash", "copies", "component")
+    members = cut_small(fetch_sets(docs, placed), n, rows_per_part=20_000, let_go=True)
+    found = verified(members.drop("text_hash"), n, threshold, block, pivots)
     release(docs.sparkSession)
     links = found.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
-    linked = connected_components(found.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
+    linked = connected_components(found.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")), 3 * n).withColumnRenamed("node", "key")
     named = linked.join(classes.select("key", "copy_class"), "key")
-    least = named.groupBy("component").agg(F.min("copy_class").alias("class_id"))
-    by_key = named.join(least, "component").select("key", "class_id", F.col("component").alias("group"))
+    least = named.groupBy("component").agg(F.min("copy_class").alias("class_id"), F.count("*").alias("n"))
+    by_key = meet(named.select("key", "component"), least, ["component"], n).select("key", "class_id", F.col("component").alias("group"))
     about = classes.select("key", "copies", "copy_class").join(by_key, "key", "left").join(links, "key", "left")
-    about = about.select("key", F.coalesce("group", "key").alias("group"), "copy_class", F.coalesce("class_id", "copy_class").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    # rows without words have a key of their own here, so that they don't meet in one task
-    keyed = rows.select("doc_id", "text_hash", F.coalesce("key", F.concat(F.lit("-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("key"))
-    return keyed.join(about, "key", "left").select(
-        "doc_id", "text_hash", "group", F.coalesce("copy_class", "doc_id").alias("copy_class"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    about = cut_small(about.select("key", "copies", F.coalesce("group", "key").alias("group"), "copy_class", F.coalesce("class_id", "copy_class").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")), n)
+    columns = ["doc_id", "text_hash", "group", "copy_class", "class_id", "n_links"]
+    told = meet(rows.where("key IS NOT NULL").select("doc_id", "text_hash", "key"), about, ["key"], n, "copies").select(*columns)
+    alone = rows.where("key IS NULL").select("doc_id", "text_hash", F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("copy_class"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return told.unionByName(alone)
 
 
 def op5_ngram_jaccard(spark, sf_dir):

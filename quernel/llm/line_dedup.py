@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, discard, may_hold, meet, stored
+from quernel.llm.common import cut, cut_small, discard, may_hold, meet, stored
 
 MIN_CHARS = 20  # of lines that are compared by edits; one edit in a shorter line is a large part of it
 LAST_ID = (1 << 63) - 1
@@ -61,8 +61,8 @@ flatten(transform(bs, b -> array(
 
 
 def live_keys(rows: DataFrame) -> DataFrame:
-    """(key, n): keys that two or more different lines share, and their rows."""
-    return cut(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n"))
+    """(key, rows): keys that two or more different lines share, and how many rows they have."""
+    return rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("key", "rows")
 
 
 #: Deleted windows (i, j) of width v inside a window of width w: i * v characters before and j * v after them stay.
@@ -89,21 +89,22 @@ def narrowed(v: Column) -> Column:
     return F.greatest(F.lit(1), (v / 8).cast("int"))
 
 
-def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(h): lines that have an earlier line within one edit. ``first`` has each line's first place."""
+def earlier_neighbours(slim: DataFrame, n: int, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """(h): lines that have an earlier line within one edit. ``first`` has each line's first place; there are ``n`` lines."""
     keys = slim.select(F.explode("halves").alias("key"), "h")
-    met = cut(meet(keys, live_keys(keys), ["key"]).select("h").distinct())
+    met = cut_small(meet(keys, live_keys(keys), ["key"], 4 * n, "rows").select("h").distinct(), n)
     # the text of a line comes from its first place only
     wanted = met.join(first, "h").select("h", "place.d", "place.t", "place.l", "place")
     some = may_hold(lines, met)
     found = wanted.join(some.select("d", "t", "l", "line"), ["d", "t", "l"]).select("h", "place", "line")
-    found = cut(found.dropDuplicates(["h"]))
+    found = cut_small(found.dropDuplicates(["h"]), n)
     start = found.select("h", "line", F.explode(sizes(F.length("line"))).alias("b"))
     start = start.withColumn("v", F.greatest(F.lit(1), F.pow(F.lit(2.0), F.col("b") - 2).cast("int")))
     start = start.select("*", F.lit(0).alias("p_lo"), F.length("line").alias("p_hi"), F.lit(0).alias("s_lo"), F.length("line").alias("s_hi"))
     rows, done = cut(variants(start)), None
     while True:
-        live = cut(meet(rows, live_keys(rows).withColumnRenamed("n", "rows"), ["key"], "rows").drop("rows"))
+        size = rows.count()
+        live = cut_small(meet(rows, live_keys(rows), ["key"], size, "rows").drop("rows"), size)
         last = live.where("v = 1").select("key", "h")
         done = last if done is None else done.unionByName(last)
         more = live.where("v > 1")
@@ -115,9 +116,10 @@ def earlier_neighbours(slim: DataFrame, lines: DataFrame, first: DataFrame) -> D
             (F.col("j") * F.col("v")).alias("s_lo"), F.least(F.col("j") * F.col("v") + F.col("v") - 1, F.col("n")).alias("s_hi"),
         )
         rows = cut(variants(parent).distinct())
-    placed = cut(done.join(found.select("h", "place"), "h"))
-    lead = cut(placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("lead"), F.count("*").alias("n")))
-    pairs = meet(placed, lead, ["key"]).where(F.col("lead.place") < F.col("place")).select("h", F.col("lead.h").alias("by")).distinct()
+    size = done.count()
+    placed = cut_small(done.join(found.select("h", "place"), "h"), size)
+    lead = placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("lead"), F.count("*").alias("n"))
+    pairs = meet(placed, lead, ["key"], size).where(F.col("lead.place") < F.col("place")).select("h", F.col("lead.h").alias("by")).distinct()
     text = found.select("h", "line")
     checked = pairs.join(text, "h").join(text.select(F.col("h").alias("by"), F.col("line").alias("by_line")), "by")
     return checked.where(F.levenshtein("line", "by_line", 1) >= 0).select("h").distinct()
@@ -129,16 +131,17 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     b = F.when(F.length("line") >= min_chars, sizes(F.length("line"))).otherwise(F.array().cast("array<int>"))
     slim = stored(lines.withColumn("bs", b).select("d", "t", "l", "h", F.expr(HALVES).alias("halves")))
     places = slim.select("h", F.struct("d", "t", "l").alias("place"))
-    first = cut(places.groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("n")))
+    n = slim.count()
+    first = cut_small(places.groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("n")), n)
     marks = first.where("n > 1").select("h", "place", "n", F.lit(False).alias("near"))
     if max_edits:
-        near = earlier_neighbours(slim, lines_of(docs, min_chars), first.select("h", "place"))
+        near = earlier_neighbours(slim, n, lines_of(docs, min_chars), first.select("h", "place"))
         no_place = F.lit(None).cast(first.schema["place"].dataType)
         marks = marks.unionByName(near.select("h", no_place.alias("place"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("near")))
         marks = marks.groupBy("h").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.max("near").alias("near"))
-    marks = cut(marks.withColumnRenamed("place", "kept"))
-    gone = meet(places, marks, ["h"]).where(F.col("near") | (F.col("place") != F.col("kept")))
-    gone = cut(gone.select("place.d", "place.t", "place.l"))
+    marks = cut_small(marks.withColumnRenamed("place", "kept"), n)
+    gone = meet(places, marks, ["h"], n).where(F.col("near") | (F.col("place") != F.col("kept")))
+    gone = cut_small(gone.select("place.d", "place.t", "place.l"), n)
     discard(slim)
     return gone
 

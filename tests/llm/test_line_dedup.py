@@ -94,7 +94,7 @@ def test_hot_keys_meet_salted(spark):
 
     rows = spark.range(5000).select((F.col("id") % 7 == 0).cast("long").alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    got = meet(rows, groups, ["k"], least=1000)
+    got = meet(rows, groups, ["k"], 5000, least=1000)
     assert got.columns == ["k", "id", "n", "top"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(groups, "k").collect()))
     common = "this line stands at the foot of every one of these pages"
