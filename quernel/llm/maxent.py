@@ -4,14 +4,16 @@ log P(word | history) = log P(class | features) + log P(word | class, features).
 Features are hashed: the word before, the pair of words before (n-grams), and
 the words second and third before (skips). The most frequent words are in
 classes of ``CLASS_SIZE`` with a softmax inside; classes and weight rows grow
-with the square roots of the vocabulary and of the tokens. All other words belong to
-open classes by their last bytes; inside an open class a word has its share of
+with the square roots of the vocabulary and of the tokens, until the tables have
+``MOST_WEIGHTS`` numbers, which a task must hold twice. All other words belong to open classes by their last bytes; inside an open class a word has its share of
 the class's corpus count, add-one smoothed with one place for unseen words, so
 the model sums to one with no bound on the vocabulary.
 
 Counts come from all training tokens. Training: each partition runs minibatch
 AdaGrad over its documents from the shared start, and the weight rows are then
-averaged by how often each partition touched them, through a tree of sums.
+averaged by how often each partition touched them, through a tree of sums. The
+number of partitions follows the tokens and the size of the tables, not the cores;
+which texts share one is as the table's files are split.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ CLASS_SIZE, CLASSES, OPEN = 64, 16, 16  # CLASSES and ROWS at least
 IN_MODEL = CLASS_SIZE * CLASSES
 START = HOT_WORDS + OPEN
 ROWS = 1 << 15
+MOST_WEIGHTS = 1 << 28  # one GiB
 BLOCK = 1024  # weight rows that travel together
 LN10 = float(np.log(10))
 
@@ -126,22 +129,27 @@ def word_counts(docs: DataFrame, keep: int = 200_000) -> DataFrame:
 def sizes(tokens: int, distinct: int) -> tuple[int, int]:
     """Classes and weight rows (a power of two) for a corpus of so many tokens and distinct words."""
     classes = min(HOT_WORDS // CLASS_SIZE, max(CLASSES, math.isqrt(distinct) // 32))
-    return classes, max(ROWS, 1 << (math.isqrt(tokens) * 8 - 1).bit_length() if tokens else 0)
+    rows = max(ROWS, 1 << (math.isqrt(tokens) * 8 - 1).bit_length() if tokens else 0)
+    while rows > ROWS and rows * (classes + OPEN + CLASS_SIZE) > MOST_WEIGHTS:
+        rows //= 2
+    return classes, rows
 
 
 def gather_lexicon(counts: DataFrame) -> Lexicon:
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    # the least step of a fine scale of counts above which there are no more than HOT_WORDS words
+    # the least step of a fine scale of counts above which there are no more than HOT_WORDS words; of the next step a share, by hash
     step = F.floor(F.log2("n") * 8)
     steps = sorted(((r["s"], r["v"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("v")).collect()), reverse=True)
-    above, least = 0, None
+    above, wanted = 0, F.lit(False)
     for s, v in steps:
-        above += v
-        if above > HOT_WORDS:
+        if above + v > HOT_WORDS:
+            part = int((HOT_WORDS - above) / v * 0.98 * (1 << 30))
+            wanted = wanted | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < part))
             break
-        least = s
-    table = counts.where(step >= least if least is not None else F.lit(False)).toArrow()
-    hot = sorted(zip(table.column("word").to_pylist(), table.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+        above += v
+        wanted = step >= s
+    table = counts.where(wanted).toArrow()  # about HOT_WORDS rows at most
+    hot = sorted(zip(table.column("word").to_pylist(), table.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))[:HOT_WORDS]
     names, n = [w for w, _ in hot], np.array([c for _, c in hot], np.float64)
     tokens, distinct = np.zeros(OPEN), np.zeros(OPEN)
     for r in counts.groupBy(open_class_of("word").alias("j")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -199,15 +207,24 @@ def descend(weights, squares, touched, rows, p, target, rate) -> None:
     """
     rate = rate * 3 / len(rows) * (32 / p.shape[1]) ** 0.5
     p[np.arange(len(p)), target] -= 1
+
+    def step(which, g, n):
+        squares[which] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        touched[which] += n
+        g *= (rate / np.sqrt(squares[which] + 1e-6))[:, None]
+        weights[which] -= g
+
     for r in rows:
         order = np.argsort(r, kind="stable")
         sorted_rows = r[order]
         starts = np.nonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))[0]
-        g = np.add.reduceat(p.take(order, axis=0), starts, axis=0)
-        which = sorted_rows[starts]
-        squares[which] += (g * g).mean(axis=1)
-        touched[which] += np.diff(np.append(starts, len(r)))
-        weights[which] -= (rate / np.sqrt(squares[which] + 1e-6))[:, None] * g
+        n = np.diff(np.append(starts, len(r)))
+        once = n == 1  # rows of one place need no sum
+        step(sorted_rows[starts[once]], p.take(order[starts[once]], axis=0), 1)
+        if not once.all():
+            many = n[~once]
+            g = p.take(order[np.repeat(~once, n)], axis=0)
+            step(sorted_rows[starts[~once]], np.add.reduceat(g, np.cumsum(many) - many, axis=0), many)
 
 
 def learn(texts: Iterator[list[str | None]], lexicon: Lexicon, start: list[np.ndarray], batch: int = 8192, rate: float = 0.15) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -249,7 +266,7 @@ def fresh(n_classes: int = CLASSES, n_rows: int = ROWS) -> list[np.ndarray]:
     return [np.zeros((n_rows, n_classes + OPEN), np.float32), np.zeros((n_rows, CLASS_SIZE), np.float32)]
 
 
-def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16, tokens_per_part: int = 5_000_000) -> list[np.ndarray]:
+def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16, tokens_per_part: int = 2_500_000, tokens_per_weight: float = 0.5) -> list[np.ndarray]:
     """Weight tables after ``rounds`` passes of distributed updates over all texts."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)
@@ -270,9 +287,11 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16,
 
         schema = "part int, tab int, block int, w binary, n binary"
         texts = docs.select(F.col("text").cast("string").alias("text"))
-        few = max(spark.sparkContext.defaultParallelism, -(-lexicon.tokens // tokens_per_part))
-        sums = cut(texts.coalesce(few).mapInPandas(local, schema))
-        parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
+        # a partition gives tables, so larger tables take more tokens: what travels stays in proportion to the input
+        least = max(tokens_per_part, int(tokens_per_weight * sum(t.size for t in tables)))
+        texts = texts.coalesce(max(1, -(-lexicon.tokens // least)))
+        parts = max(1, texts.rdd.getNumPartitions())
+        sums = texts.mapInPandas(local, schema)  # not written: what goes up the tree is shuffled by block at once
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("part")
@@ -286,7 +305,7 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = 1, fan_in: int = 16,
             sums = cut(sums.groupBy("tab", "block", F.floor(F.col("part") / fan_in)).applyInPandas(add, schema))
             parts = -(-parts // fan_in)
             release(spark)
-        for r in sums.collect():  # the tables: 2 * n_rows rows
+        for r in sums.toLocalIterator():  # the tables: 2 * n_rows rows
             w = np.frombuffer(r["w"], "<f4").reshape(BLOCK, -1)
             tables[r["tab"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += w
         del sums
