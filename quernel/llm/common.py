@@ -81,17 +81,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def meet(rows: DataFrame, groups: DataFrame, by: list[str], bound: int, count: str = "n", most: int = 100_000, least: int = 1000, salts: int = 64) -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, by: list[str], bound: int, count: str = "n", most: int = 100_000, least: int = 1000, salts: int = 64, look: bool = False) -> DataFrame:
     """Inner join of rows, ``bound`` at most, with a table of one row a key that has the number of the key's rows in ``count``; hot keys are salted.
 
     Hot is a key with over ``least`` rows and over 1/``most`` of the bound, so there
     are fewer than ``most`` of them: they are broadcast to mark their rows, which
     are dealt over ``salts`` parts, and their groups come to every part. A plan
     reads ``groups`` several times; what it shuffles for them it shuffles once.
+    With ``look``, for groups that are written, rows are only marked if some key is hot.
     """
-    if bound <= least:
+    limit = max(least, bound // most)
+    if bound <= least or (look and (groups.agg(F.max(count)).first()[0] or 0) <= limit):
         return rows.join(groups, by)
-    hot = F.col(count) > max(least, bound // most)
+    hot = F.col(count) > limit
     hot_keys = groups.where(hot).select(*by, F.lit(True).alias("__hot"))  # fewer than ``most`` rows
     names = rows.columns
     place = F.pmod(F.xxhash64(*[c for c in names if c not in by]), F.lit(salts)).cast("int")

@@ -92,7 +92,7 @@ def narrowed(v: Column) -> Column:
 def earlier_neighbours(slim: DataFrame, n: int, lines: DataFrame, first: DataFrame) -> DataFrame:
     """(h): lines that have an earlier line within one edit. ``first`` has each line's first place; there are ``n`` lines."""
     keys = slim.select(F.explode("halves").alias("key"), "h")
-    met = cut_small(meet(keys, live_keys(keys), ["key"], 4 * n, "rows").select("h").distinct(), n)
+    met = cut_small(meet(keys, cut_small(live_keys(keys), n), ["key"], 4 * n, "rows", look=True).select("h").distinct(), n)
     # the text of a line comes from its first place only
     wanted = met.join(first, "h").select("h", "place.d", "place.t", "place.l", "place")
     some = may_hold(lines, met)
@@ -140,7 +140,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
         marks = marks.unionByName(near.select("h", no_place.alias("place"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("near")))
         marks = marks.groupBy("h").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.max("near").alias("near"))
     marks = cut_small(marks.withColumnRenamed("place", "kept"), n)
-    gone = meet(places, marks, ["h"], n).where(F.col("near") | (F.col("place") != F.col("kept")))
+    gone = meet(places, marks, ["h"], n, look=True).where(F.col("near") | (F.col("place") != F.col("kept")))
     gone = cut_small(gone.select("place.d", "place.t", "place.l"), n)
     discard(slim)
     return gone
