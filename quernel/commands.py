@@ -117,7 +117,7 @@ def search_text(
     """Matches by file, line and column. Without ``full`` a literal search stops early: its total is known only if nothing is left out."""
     seen = corpus.scoped(paths, project, changed, include_generated)
     if regex:
-        found = text.search_regex(seen, query)
+        found = text.search_regex(seen, query, case_sensitive)
     elif full:
         found = text.search_literal(seen, query, case_sensitive)
     else:

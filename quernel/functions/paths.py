@@ -8,14 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def glob_regex(glob: str) -> str:
+def glob_regex(glob: str, escapes: bool = False) -> str:
     """A glob as a regular expression for whole paths: ``*`` and ``?`` stay in a segment, ``**/`` spans any number.
 
-    A glob without ``/`` matches any one segment.
+    A glob without ``/`` matches any one segment. With ``escapes`` a backslash takes the next character as it is.
     """
     out, i = [], 0
     while i < len(glob):
-        if glob.startswith("**/", i):
+        if escapes and glob[i] == "\\" and i + 1 < len(glob):
+            out.append(re.escape(glob[i + 1]))
+            i += 2
+        elif glob.startswith("**/", i):
             out.append("(?:[^/]+/)*")
             i += 3
         elif glob.startswith("**", i):

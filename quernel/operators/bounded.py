@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.operators.evidence import one_pass, rows_of
+
 
 def evidence_order(*columns: str) -> list[Column]:
     """The total order of results; nulls last in each column."""
@@ -23,22 +25,17 @@ def project(df: DataFrame, declared: list[str], default: list[str], requested: I
 
 
 def limited(df: DataFrame, order: list[Column], limit: int | None = 100) -> DataFrame:
-    """The first ``limit`` rows and, in each, ``total`` and ``truncated``; all rows without a limit."""
-    total = df.agg(F.count("*").alias("total"))
-    kept = df.orderBy(*order) if limit is None else df.orderBy(*order).limit(limit)
-    out = kept.crossJoin(F.broadcast(total))  # one row
-    return out.withColumn("truncated", F.lit(False) if limit is None else F.col("total") > limit)
+    """The first ``limit`` rows and, in each, ``total`` and ``truncated``; all rows without a limit. With one the input is read once."""
+    if limit is None:
+        out = df.orderBy(*order).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
+        return out.withColumn("truncated", F.lit(False))
+    return rows_of(one_pass(df, order, limit), "total").withColumn("truncated", F.col("total") > limit)
 
 
 def early_stop(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows of ``limit + 1`` looked at; the total is known only if that was all.
-
-    The probe is of a fixed size, so it is taken to the driver once and read from there.
-    """
-    rows = df.orderBy(*order).limit(limit + 1).collect()
-    known = len(rows) <= limit
-    kept = df.sparkSession.createDataFrame(rows[:limit], df.schema)
-    return kept.withColumns({"total_known": F.lit(known), "total": F.lit(len(rows) if known else None).cast("long")})
+    """The first ``limit`` rows; the total is told only if that was all, as a search that stops there knows no more."""
+    out = rows_of(one_pass(df, order, limit), "total").withColumn("total_known", F.col("total") <= limit)
+    return out.withColumn("total", F.when(F.col("total_known"), F.col("total")))
 
 
 def enveloped(df: DataFrame, order: list[Column], limit: int | None, retrieval: str | None = None) -> DataFrame:

@@ -166,3 +166,139 @@ def build_edges(instances: DataFrame, references: DataFrame) -> DataFrame:
     sources = instances.where("NOT outer").select(F.col("id").alias("src"))
     met = references.join(sources, "src", "left_semi").join(targets, "path").select("src", "dst")
     return children.unionByName(met).distinct()
+
+
+# -- levels, completeness, paths between two nodes, instances ---------------------------------
+
+
+def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component, level): the steps of the longest way down from a node's component; 0 where nothing but itself is below.
+
+    Components of the graph are one node each. A round settles the components whose
+    successors all are; only predecessors of what the last round settled are looked at.
+    """
+    parts = cut(components(edges).select("node", "component"))
+    if nodes is not None:
+        parts = parts.unionByName(nodes.select("node").distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("component")))
+    a, b = (parts.select(F.col("node").alias(end), F.col("component").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    down = cut(edges.select("src", "dst").join(a, "src").join(b, "dst").where("a != b").select("a", "b").distinct())
+    all_ = parts.select("component").distinct()
+    settled = frontier = cut(all_.join(down.select(F.col("a").alias("component")).distinct(), "component", "left_anti").withColumn("level", F.lit(0)))
+    level = 0
+    while frontier.take(1):
+        level += 1
+        near = down.join(frontier.select(F.col("component").alias("b")), "b", "left_semi").select("a").distinct()
+        open_ = down.join(near, "a", "left_semi").join(settled.select(F.col("component").alias("b")), "b", "left_anti").select("a").distinct()
+        frontier = cut(near.join(open_, "a", "left_anti").select(F.col("a").alias("component"), F.lit(level).alias("level")))
+        settled = settled.unionByName(frontier)
+        if level % 16 == 0:
+            settled = cut(settled)
+    return parts.join(settled, "component").select("node", "component", "level")
+
+
+def salvaged(projects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, state, usable, broken_below): what of a graph can be used where projects (node, state) failed or are missing.
+
+    A project that was "evaluated" is complete if all that it leads to is, else
+    partial; another is failed. Nodes that only edges name are incomplete.
+    ``broken_below`` counts the projects that are not evaluated among a node's direct successors.
+    """
+    named = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(projects.select("node"), "node", "left_anti").withColumn("state", F.lit("incomplete"))
+    known = cut(projects.select("node", "state").unionByName(named))
+    bad = known.where("state != 'evaluated'").select("node")
+    above = closure(reverse(edges), bad).where("depth > 0").select("node").withColumn("hit", F.lit(True))
+    direct = edges.distinct().join(bad.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("broken_below"))
+    out = known.join(above, "node", "left").join(direct, "node", "left")
+    usable = F.when(F.col("state") != "evaluated", "failed").when(F.col("hit"), "partial").otherwise("complete")
+    return out.select("node", "state", usable.alias("usable"), F.coalesce("broken_below", F.lit(0).cast("long")).alias("broken_below"))
+
+
+def completeness(salvage: DataFrame) -> DataFrame:
+    """One row (completeness, projects, complete, partial, failed): "failed" where nothing was evaluated, "partial" where something wasn't; an empty graph has failed."""
+    u = F.col("usable")
+    counts = salvage.agg(F.count("*").alias("projects"), F.count_if(u == "complete").alias("complete"), F.count_if(u == "partial").alias("partial"), F.count_if(u == "failed").alias("failed"))
+    told = F.when(F.col("projects") == F.col("failed"), "failed").when(F.col("failed") > 0, "partial").otherwise("complete")
+    return counts.select(told.alias("completeness"), "*")
+
+
+def path_between(edges: DataFrame, source, target, most: int = 64) -> DataFrame:
+    """One row (status, length, path, rounds): a shortest path of ``most`` steps at most, of several the least by its nodes.
+
+    Levels grow from both ends, always on the side whose last level is smaller, until
+    a level of one side holds a node of the other's last; the path is put together
+    from the levels. "none" if a side can't go on, "open" if the bound is reached before.
+    """
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    edges = cut(edges.select("src", "dst").where("src != dst").distinct())
+    one = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("node"))
+    # forward levels are sets; backward ones hold the least way on to the target
+    front, back = [cut(one(source))], [cut(one(target).withColumn("path", F.array("node")))]
+    seen = {True: front[0], False: back[0].select("node")}
+    sizes, rounds, status = {True: 1, False: 1}, 0, None
+    meeting = front[0].join(back[0], "node")
+    while not meeting.take(1):
+        if rounds >= most:
+            status = "open"
+            break
+        rounds += 1
+        ahead = sizes[True] <= sizes[False]
+        if ahead:
+            step = front[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        else:
+            met = edges.join(back[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"), F.concat(F.array("src"), "path").alias("path"))
+            step = met.groupBy("node").agg(F.min("path").alias("path"))
+        new = cut(step.join(seen[ahead], "node", "left_anti"))
+        sizes[ahead] = new.count()
+        if not sizes[ahead]:
+            status = "none"
+            break
+        (front if ahead else back).append(new)
+        grown = seen[ahead].unionByName(new.select("node"))
+        seen[ahead] = cut(grown) if rounds % 16 == 0 else grown
+        meeting = front[-1].join(back[-1], "node")
+    found = meeting.select("node", "path") if status is None else None
+    for level in reversed(front[:-1] if found is not None else []):
+        on = level.join(edges, F.col("node") == F.col("src")).select("node", "dst").join(found.select(F.col("node").alias("dst"), "path"), "dst")
+        found = cut(on.groupBy("node").agg(F.min(F.concat(F.array("node"), "path")).alias("path")))
+    none = spark.range(1).select(F.lit(None).cast(f"array<{kind.simpleString()}>").alias("path"))
+    out = none if found is None else found.select("path")
+    return out.select(F.lit(status or "found").alias("status"), (F.size("path") - 1).alias("length"), "path", F.lit(rounds).alias("rounds")).withColumn("length", F.when(F.col("path").isNotNull(), F.col("length")))
+
+
+def canonical(properties):
+    """A property map by its names in lower case, in order; values as they are. Equal maps give equal texts."""
+    pairs = F.array_sort(F.transform(F.map_entries(properties), lambda e: F.concat(F.lower(e["key"]), F.lit("="), e["value"])))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p)), "")
+
+
+def lower_keys(properties):
+    return F.map_from_entries(F.transform(F.map_entries(properties), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+def project_instances(roots: DataFrame, references: DataFrame, most: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The instances (instance, path, properties, depth) that roots (path, properties) lead to, and the edges (src, dst) between them.
+
+    A reference (src, dst, adds, removes) hands the effective properties of its
+    source on, without those it removes and with those it adds over them, names in
+    any letter case. Instances are a path and a map: equal maps are met by the hash of
+    their canonical text, so cyclic references end. Raises if ``most`` rounds don't suffice.
+    """
+    key = F.sha2(F.concat_ws("|", F.length("path").cast("string"), "path", canonical(F.col("properties"))), 256)
+    rules = cut(references.select("src", F.col("dst").alias("to"), lower_keys(F.col("adds")).alias("adds"), F.transform("removes", F.lower).alias("removes")))
+    start = roots.select("path", lower_keys(F.col("properties")).alias("properties")).withColumn("instance", key)
+    known = frontier = cut(start.groupBy("instance").agg(F.first("path").alias("path"), F.first("properties").alias("properties")).withColumn("depth", F.lit(0)))
+    links = None
+    for depth in range(1, most + 1):
+        kept = F.map_filter("properties", lambda k, _: ~F.array_contains(F.col("removes"), k) & ~F.array_contains(F.map_keys("adds"), k))
+        step = frontier.select(F.col("instance").alias("from"), F.col("path").alias("src"), "properties").join(rules, "src")
+        step = cut(step.select("from", F.col("to").alias("path"), F.map_concat(kept, F.col("adds")).alias("properties")).withColumn("instance", key))
+        edge = step.select(F.col("from").alias("src"), F.col("instance").alias("dst")).distinct()
+        links = edge if links is None else links.unionByName(edge)
+        one = step.groupBy("instance").agg(F.first("path").alias("path"), F.first("properties").alias("properties"))
+        frontier = cut(one.join(known.select("instance"), "instance", "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.take(1):
+            return known.select("instance", "path", "properties", "depth"), links
+        known = known.unionByName(frontier)
+        if depth % 16 == 0:
+            known, links = cut(known), cut(links)
+    raise RuntimeError(f"project instances are not done after {most} rounds")

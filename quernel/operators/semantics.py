@@ -62,14 +62,15 @@ def project_coverage(projects: DataFrame, evidence: DataFrame, complete: bool =
     return told.withColumn("key", key).join(first, "project", "left").withColumn("selected", F.coalesce(supported & (F.col("key") == F.col("first")), F.lit(False))).drop("key", "first")
 
 
-def coverage_counts(variants: DataFrame) -> DataFrame:
-    """One row (level, considered, analyzed, remaining, excluded, failed); the four add up to considered."""
+def coverage_counts(variants: DataFrame, graph_completeness: str = "complete") -> DataFrame:
+    """One row (level, considered, analyzed, remaining, excluded, failed); the four add up to considered. It is partial where a variant wasn't analyzed or the project graph isn't complete."""
     s, c = F.col("selected"), F.col("coverage")
     counts = variants.agg(
         F.count("*").alias("considered"), F.count_if((c == "supported") & s).alias("analyzed"), F.count_if((c == "supported") & ~s).alias("remaining"),
         F.count_if(c == "unsupported").alias("excluded"), F.count_if(c.isin("broken", "unrestored")).alias("failed"),
     )
-    return counts.select(F.when(F.col("analyzed") == F.col("considered"), "complete").otherwise("partial").alias("level"), "*")
+    whole = (F.col("analyzed") == F.col("considered")) & F.lit(graph_completeness == "complete")
+    return counts.select(F.when(whole, "complete").otherwise("partial").alias("level"), "*")
 
 
 def variant_plans(coverage: DataFrame, complete_scope: DataFrame, selected_scope: DataFrame, complete: bool = False) -> DataFrame:

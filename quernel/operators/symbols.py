@@ -2,47 +2,44 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.bounded import capped
 
-TOKEN = "[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+|[A-Z]"
 KIND_ORDER = ["rank", "path", "name", "id"]
 
 
-def tokens(name: Column) -> Column:
-    """Words of an identifier: humps, digits and letters between other signs, in lower case."""
-    return F.transform(F.regexp_extract_all(name, F.lit(TOKEN), 0), F.lower)
+#: Where words of an identifier part: before an upper-case letter after a lower-case one, before the last of several that
+#: goes on in lower case, and at signs that are neither letters nor digits.
+PARTING = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|[^\p{L}\p{Nd}]+"
 
 
-def query_tokens(query: str) -> list[str]:
-    return [t.lower() for t in re.findall(TOKEN, query)]
+def tokens(name: Column) -> Column:
+    """Words of an identifier in lower case."""
+    return F.transform(F.filter(F.split(name, PARTING, -1), lambda x: x != ""), F.lower)
 
 
-def rank(name: Column, qualified: Column, query: str) -> Column:
+def rank_of(name: Column, qualified: Column, query: Column) -> Column:
     """0 qualified name, 1 name, 2 either in other letter case, 3 name begins, 4 tokens or acronym, 5 name holds; else null.
 
     Several words match if each begins some token; one word also as a beginning of the acronym.
     """
-    q, words = query.lower(), query_tokens(query)
-    low, t = F.lower(name), tokens(name)
-    every = F.lit(bool(words))
-    for w in words:
-        every = every & F.exists(t, _begins(w))
-    acronym = F.array_join(F.transform(t, lambda x: F.left(x, F.lit(1))), "")
-    if len(words) <= 1:
-        every = every | acronym.startswith(q)
+    q, low, t, asked = F.lower(query), F.lower(name), tokens(name), tokens(query)
+    every = (F.size(asked) > 0) & F.forall(asked, lambda w: F.exists(t, lambda x: F.startswith(x, w)))
+    by_acronym = (F.size(asked) <= 1) & F.startswith(acronym(name), q)
     return (
         F.when(qualified == query, 0).when(name == query, 1).when((low == q) | (F.lower(qualified) == q), 2)
-        .when(low.startswith(q), 3).when(every, 4).when(low.contains(q), 5)
+        .when(F.startswith(low, q), 3).when(every | by_acronym, 4).when(F.contains(low, q), 5)
     )
 
 
-def _begins(word: str):
-    return lambda x: x.startswith(word)
+def acronym(name: Column) -> Column:
+    return F.array_join(F.transform(tokens(name), lambda x: F.left(x, F.lit(1))), "")
+
+
+def rank(name: Column, qualified: Column, query: str) -> Column:
+    return rank_of(name, qualified, F.lit(query))
 
 
 def search_symbols(declarations: DataFrame, query: str) -> DataFrame:

@@ -1,25 +1,30 @@
-"""Search in texts: literal and regular expressions with exact places, line spans, skip counts.
+"""Search in texts: literal and regular expressions with exact places, line spans, skip counts, evidence.
 
-A literal that is part of one line, and a pattern that never matches nothing, are
-located on the JVM: the pieces between matches and the matches themselves come
-from one regular expression, so their lengths give the places in the original
-text. All else goes to one matcher with a deadline for each file.
+A text is searched whole, on the JVM. One replacement writes a mark that the text
+doesn't hold around every match; the pieces between marks are, in turn, text and
+match, and running sums of their lengths give each match's offset. A binary
+search in the offsets at which lines start gives its line. Only patterns that may
+backtrack without end go to a matcher with a deadline for each file.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from re import _parser as patterns
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators import evidence
 from quernel.operators.bounded import early_stop
 
 TERMINATOR = "\r\n|\n|\r"
 PREVIEW = 160
+#: Characters that are in no text of a language; a mark is the first of them that a text doesn't hold.
+MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -40,34 +45,129 @@ def preview(content: Column, start: Column, width: int = PREVIEW) -> Column:
     return F.when(F.trim(content) == "", "…").otherwise(cut)
 
 
-def _located(found: DataFrame) -> DataFrame:
-    """(path, line, column, match, preview) of rows with (path, line, content, start, match)."""
-    column = utf16_length(F.col("content").substr(F.lit(1), F.col("start"))) + 1
-    return found.select("path", "line", column.alias("column"), "match", preview(F.col("content"), F.col("start")).alias("preview"))
+@lru_cache(maxsize=1)
+def _same_letters() -> dict[str, str]:
+    """All characters of each simple upper case that has several."""
+    found: dict[str, str] = {}
+    for c in map(chr, range(0x110000)):
+        found[_upper(c)] = found.get(_upper(c), "") + c
+    return {u: cs for u, cs in found.items() if len(cs) > 1}
+
+
+def _upper(c: str) -> str:
+    """A character's simple upper case; dotless i and long s stay, as in a comparison by ordinals."""
+    if c in "\u0131\u017f":
+        return c
+    return next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+
+
+def _alike(c: str) -> str:
+    if c < "\x80":
+        return "".join(sorted({c.lower(), c.upper()}))
+    return _same_letters().get(_upper(c), c)
 
 
 def quoted(query: str, case_sensitive: bool) -> str:
-    """A literal as a Java pattern. Letter case is folded character by character, so a match is as long as the query."""
-    return ("" if case_sensitive else "(?iu)") + "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in query)
+    """A literal as a Java pattern. Letter case is folded character by character as ordinal comparison does, so a match is as long as the query."""
+    code = lambda c: c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
+    if case_sensitive:
+        return "".join(map(code, query))
+    return "".join(code(c) if len(_alike(c)) == 1 else f"[{''.join(map(code, _alike(c)))}]" for c in query)
 
 
 def holding(files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
-    """Files whose text holds ``query``: the filter that runs before lines are split and places worked out."""
+    """Files whose text holds ``query``: the filter that runs before places are worked out."""
     return files.where(F.col("text").contains(query) if case_sensitive else F.col("text").rlike(quoted(query, False)))
 
 
-def _by_pattern(hit: DataFrame, pattern: str) -> DataFrame:
-    """(path, line, content, start, match) of lines (path, line, content) for a pattern that never matches nothing."""
-    matches = F.regexp_extract_all("content", F.lit(pattern), 0)
-    both = hit.select("path", "line", "content", matches.alias("m"), F.transform(F.split("content", pattern, -1), F.length).alias("p"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    # one pass: a match starts after the pieces and matches before it
-    told = F.aggregate(
-        F.arrays_zip(F.slice("p", F.lit(1), F.size("m")).alias("p"), F.transform("m", F.length).alias("m")), begin,
-        lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["p"])).alias("starts")),
-    )
-    placed = both.where(F.size("m") > 0).withColumn("x", F.explode(F.arrays_zip(told["starts"].alias("start"), F.col("m").alias("match"))))
-    return placed.select("path", "line", "content", "x.start", "x.match")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once. A column named in a lambda would be put in its place there, and worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(lengths: Column, block: int = 256) -> Column:
+    """The sum of what stands before each number of an array, and of all; by blocks, so that a long array isn't copied for each of its numbers."""
+
+    def before(numbers: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("at"))
+        return F.aggregate(numbers, begin, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["at"], F.array(a["sum"])).alias("at")))
+
+    def summed(parts: Column, sums: Column) -> Column:
+        moved = F.zip_with(parts, sums["at"], lambda part, s: F.transform(part["at"], lambda y: y + s))
+        return F.concat(F.flatten(moved), F.array(sums["sum"]))
+
+    def blocks(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block))
+        return F.transform(starts, lambda i: before(F.slice(xs, i + 1, F.lit(block))))
+
+    return let(lengths, lambda xs: let(blocks(xs), lambda parts: let(before(F.transform(parts, lambda p: p["sum"])), lambda sums: summed(parts, sums))))
+
+
+def _line_of(starts: Column, offset: Column) -> Column:
+    """How many of the sorted ``starts`` are not beyond an offset, by halving."""
+    span = F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi"))
+
+    def half(s, _):
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(starts, mid) <= offset)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.greatest(mid, s["lo"])).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))
+    return F.aggregate(steps, span, half, lambda s: s["lo"])
+
+
+MATCH = "array<struct<line: int, column: int, start: bigint, match: string, preview: string>>"
+
+
+def located(files: DataFrame, pattern: str, most: int | None = None) -> DataFrame:
+    """``files`` with ``found``: the matches of a Java pattern in the whole text, in order, the first ``most`` of them.
+
+    ``line`` and ``column`` (UTF-16 units) count from 1, ``start`` is the offset in
+    UTF-16 units; a match of nothing counts. A text without a match has an empty
+    array, a null text too. A text that holds all 32 marks is an error.
+    """
+    text = F.col("text")
+    wide = lambda xs: F.transform(xs, lambda x: utf16_length(x).cast("long"))
+    mark = F.coalesce(*[F.when(~F.contains(text, F.lit(m)), F.lit(m)) for m in MARKS], F.raise_error(F.lit("a text holds every mark")))
+
+    def told(h: Column, starts: Column, lines_: Column) -> Column:
+        line = h["line"]
+        return let(F.struct(F.get(lines_, line - 1).alias("content"), (h["start"] - F.get(starts, line - 1)).alias("column"), utf16_length(F.get(lines_, line - 1)).alias("width")), lambda at: match(h, at))
+
+    def match(h: Column, at: Column) -> Column:
+        ended = at["column"] > at["width"]  # between a carriage return and its line feed: the next line has begun
+        content = F.when(ended, F.lit("")).otherwise(at["content"])
+        shown = let(F.struct(content.alias("c"), _scalars(at["content"], at["width"], at["column"]).alias("s")), lambda x: preview(x["c"], x["s"]))
+        return F.struct(
+            (h["line"] + ended.cast("int")).alias("line"), (F.when(ended, F.lit(0)).otherwise(at["column"]) + 1).cast("int").alias("column"),
+            h["start"].alias("start"), h["match"].alias("match"), shown.alias("preview"),
+        )
+
+    def placed(pieces: Column, at: Column, starts: Column, lines_: Column) -> Column:
+        odd = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))  # text and match in turn
+        hits = F.transform(odd if most is None else F.slice(odd, F.lit(1), F.lit(most)), lambda i: F.struct(F.get(pieces, i).alias("match"), F.get(at, i).alias("start")))
+        lined = F.transform(hits, lambda h: F.struct(h["match"].alias("match"), h["start"].alias("start"), _line_of(starts, h["start"]).alias("line")))
+        return F.transform(lined, lambda h: told(h, starts, lines_))
+
+    starts = running(wide(F.regexp_extract_all(text, F.lit("[^\\r\\n]*(?:\\r\\n|\\r|\\n)"), 0)))
+    pieces = let(mark, lambda m: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(m, F.lit("$0"), m)), m, -1))
+    found = let(pieces, lambda ps: let(running(wide(ps)), lambda at: let(starts, lambda ss: let(F.split(text, TERMINATOR, -1), lambda ls: placed(ps, at, ss, ls)))))
+    return files.select("*", F.when(text.rlike(pattern), found).otherwise(F.array().cast(MATCH)).alias("found"))
+
+
+def _scalars(content: Column, width: Column, units: Column) -> Column:
+    """How many characters the first ``units`` UTF-16 units of a line of ``width`` are; half a surrogate pair isn't one."""
+
+    def cut(coded: Column) -> Column:
+        half = F.hex(F.substring(coded, (units * 2 - 1).cast("int"), F.lit(1))).between("D8", "DB") & (units > 0)
+        return F.length(F.decode(F.substring(coded, F.lit(1), (units * 2 - F.when(half, 2).otherwise(0)).cast("int")), "UTF-16BE"))
+
+    return F.when(width == F.length(content), units.cast("int")).otherwise(let(F.encode(content, "UTF-16BE"), cut))
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    """(path, line, column, match, preview) for each of ``found``."""
+    return found.select("path", F.explode("found").alias("x")).select("path", "x.line", "x.column", "x.match", "x.preview")
 
 
 def search_literal(files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
@@ -78,81 +178,186 @@ def search_literal(files: DataFrame, query: str, case_sensitive: bool = False) -
     """
     if not query:
         raise ValueError("the query is empty")
-    if re.search("[\r\n]", query):
-        flags = 0 if case_sensitive else re.I
-        return search_pattern(files, re.escape(query), flags=flags).where("status = 'matched'").drop("status")
-    pattern = quoted(query, case_sensitive)
-    content = F.col("content")
-    hit = lines(holding(files, query, case_sensitive)).where(content.contains(query) if case_sensitive else content.rlike(pattern))
-    return _located(_by_pattern(hit, pattern))
+    return _rows(located(holding(files, query, case_sensitive).select("path", "text"), quoted(query, case_sensitive)))
 
 
-def may_match_nothing(pattern: str) -> bool:
-    """Whether a pattern can match without taking a character; what can't be told counts so."""
+def required_literal(pattern: str) -> str | None:
+    """The longest run of characters that every match of a case-sensitive pattern holds; None if none can be told."""
     try:
-        return patterns.parse(pattern).getwidth()[0] == 0
-    except (re.error, OverflowError):
+        parsed = patterns.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None
+    best, flags = "", parsed.state.flags
+
+    def runs(items) -> None:
+        nonlocal best
+        run = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+            else:
+                best, run = max(best, run, key=len), ""
+                if name == "SUBPATTERN" and not arg[1]:
+                    runs(arg[3])
+                elif name == "ATOMIC_GROUP":
+                    runs(arg)
+                elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                    runs(arg[2])
+        best = max(best, run, key=len)
+
+    if not flags & (re.I | re.X):
+        runs(parsed)
+    return best or None
+
+
+def may_hang(pattern: str) -> bool:
+    """Whether a pattern repeats without bound what itself repeats or branches, or refers back: matching may then take time beyond any power of the text."""
+    bare = re.sub(r"\\Q.*?\\E", "x", pattern, flags=re.S)
+    if re.search(r"\\[1-9]|\\k<", bare):
         return True
+    bare = re.sub(r"\\[xpP]\{[^}]*\}|\\.", "x", bare, flags=re.S)
+    bare = re.sub(r"\[\^?\]?(?:[^\[\]]|\[[^\]]*\])*\]", "x", bare)
+    groups, last = [False], False
+    for m in re.finditer(r"\((\?(?:[:=!>]|<[=!]|<\w+>|[a-zA-Z-]*:))?|\)|\||[*+]\+?\??|\{\d+(?:,\d*)?\}[+?]?|.", bare, re.S):
+        token = m[0]
+        if token[0] == "(":
+            groups.append(False)
+        elif token == ")":
+            last = groups.pop() if len(groups) > 1 else False
+            groups[-1] |= last
+            continue
+        elif token == "|":
+            groups[-1] = True
+        elif token[0] in "*+" or re.match(r"\{\d+,\}", token) or (token[0] == "{" and int(re.match(r"\{(?:\d+,)?(\d+)", token + "0}")[1] or 0) > 1000):
+            if last:
+                return True
+            groups[-1] = True
+        last = False
+    return False
+
+
+def java_pattern(pattern: str, case_sensitive: bool = True) -> str:
+    """A pattern under the engine's rules: only a line feed ends a line for ``.``, ``^`` and ``$``, which go by the whole text."""
+    return ("(?d)" if case_sensitive else "(?diu)") + pattern
+
+
+def check_pattern(files: DataFrame, pattern: str) -> None:
+    """An error where the pattern is broken, before anything is searched."""
+    session = files.sparkSession
+    try:
+        session._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:
+        raise ValueError(f"the regular expression is invalid: {pattern}") from e
 
 
-def search_regex(files: DataFrame, pattern: str) -> DataFrame:
-    """Every match of a pattern inside lines: (path, line, column, match, preview); a match of nothing has the empty ``match``.
+def regex_files(files: DataFrame, pattern: str, case_sensitive: bool = True, deadline: float = 1.0, most: int | None = None) -> DataFrame:
+    """The columns of every file but its text, with status and found: "analyzed", or "regular_expression_timeout" and no matches, or "no_text" of a null text.
 
-    Java's dialect; a pattern that may match nothing is Python's, as in ``search_pattern``.
+    Matches are those of ``located`` in Java's dialect. A pattern that ``may_hang``
+    is matched in Python's ``regex`` under ``deadline`` seconds a file; the others go on.
     """
-    if may_match_nothing(pattern):
-        return search_pattern(files, pattern, by_line=True).where("status = 'matched'").drop("status")
-    content = F.col("content")
-    return _located(_by_pattern(lines(files.where(F.col("text").rlike(f"(?m){pattern}"))).where(content.rlike(pattern)), pattern))
-
-
-FOUND = "path string, status string, line int, column int, match string, preview string"
-
+    pattern_ = java_pattern(pattern, case_sensitive)
+    check_pattern(files, pattern_)
+    if may_hang(pattern):
+        return _under_deadline(files, pattern, re.I if not case_sensitive else 0, deadline, most)
+    literal = required_literal(pattern) if case_sensitive else None
+    seen = files.withColumn("status", F.when(F.col("text").isNull(), "no_text").otherwise("analyzed"))
+    if literal:  # a text without it has no match, which a search for it tells sooner
+        seen = seen.withColumn("text", F.when(F.col("text").contains(literal), F.col("text")))
+    return located(seen, pattern_, most).drop("text")
+
+
+def search_regex(files: DataFrame, pattern: str, case_sensitive: bool = True, deadline: float = 1.0) -> DataFrame:
+    """Every match of a pattern in whole texts: (path, line, column, match, preview); a match of nothing has the empty ``match``.
+
+    ``^``, ``$``, ``\\A`` and ``\\z`` stand for the ends of the text, unless the pattern says ``(?m)``.
+    Files that exceed the deadline give nothing here; ``search_evidence`` tells them.
+    """
+    literal = required_literal(pattern) if case_sensitive else None
+    seen = files.where(F.col("text").contains(literal)) if literal else files
+    return _rows(regex_files(seen, pattern, case_sensitive, deadline))
 
-def search_pattern(files: DataFrame, pattern: str, flags: int = 0, deadline: float = 1.0, by_line: bool = False) -> DataFrame:
-    """Matches of a pattern (dialect of the ``regex`` module) in whole texts, or line by line: (path, status, line, column, match, preview).
 
-    Matches of nothing count. A file that takes over ``deadline`` seconds gives
-    one row of the status "timeout" and none of its matches; the others go on. A
-    broken pattern is an error at once.
-    """
+def _under_deadline(files: DataFrame, pattern: str, flags: int, deadline: float, most: int | None) -> DataFrame:
     import regex
 
     regex.compile(pattern, flags=flags)
 
+    seen = files.withColumn("status", F.lit(None).cast("string")).withColumn("found", F.array().cast(MATCH))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder, names = regex.compile(pattern, flags=flags), [c.split()[0] for c in FOUND.split(", ")]
-        ends = re.compile(TERMINATOR)
+        finder, ends = regex.compile(pattern, flags=flags), re.compile(TERMINATOR)
         for f in frames:
-            rows = []
-            for path, text in zip(f["path"], f["text"]):
-                if text is None:
-                    continue
-                try:
-                    rows += _found(finder, ends, path, text, deadline, by_line)
-                except TimeoutError:
-                    rows.append((path, "timeout", None, None, None, None))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"line": "Int32", "column": "Int32"})
-
-    return files.select("path", "text").mapInPandas(run, FOUND)
-
-
-def _found(finder, ends, path: str, text: str, deadline: float, by_line: bool) -> list[tuple]:
-    edges = [0, *[m.end() for m in ends.finditer(text)]]
-    stops = [*[m.start() for m in ends.finditer(text)], len(text)]
-    spans = [(m.start(), m.end()) for a, b in zip(edges, stops) for m in finder.finditer(text, a, b, timeout=deadline)] if by_line else [m.span() for m in finder.finditer(text, timeout=deadline)]
-    rows, k = [], 0
-    for a, b in spans:
+            told = [_outcome(finder, ends, text, deadline, most) for text in f["text"]]
+            yield f.drop(columns="text").assign(status=[t[0] for t in told], found=[t[1] for t in told])
+
+    return seen.mapInPandas(run, seen.drop("text").schema)
+
+
+def _outcome(finder, ends, text: str | None, deadline: float, most: int | None) -> tuple[str, list[dict]]:
+    if text is None:
+        return "no_text", []
+    try:
+        return "analyzed", _found(finder, ends, text, deadline, most)
+    except TimeoutError:
+        return "regular_expression_timeout", []
+
+
+def _found(finder, ends, text: str, deadline: float, most: int | None) -> list[dict]:
+    edges, stops = [0, *[m.end() for m in ends.finditer(text)]], [*[m.start() for m in ends.finditer(text)], len(text)]
+    units = lambda a, b: len(text[a:b].encode("utf-16-le", "surrogatepass")) // 2
+    rows, k, passed, seen = [], 0, 0, 0
+    for m in finder.finditer(text, timeout=deadline):
+        if len(rows) == most:
+            break
+        a, b = m.span()
+        passed, seen = passed + units(seen, a), a
         while k + 1 < len(edges) and edges[k + 1] <= a:
             k += 1
-        content, start = text[edges[k] : stops[k]], a - edges[k]
-        first = max(0, min(start - PREVIEW // 2, len(content) - PREVIEW))
+        line, begin = (k + 2, a) if a > stops[k] else (k + 1, edges[k])  # between a carriage return and its line feed
+        content = text[begin : max(begin, stops[k])]
+        first = max(0, min(a - begin - PREVIEW // 2, len(content) - PREVIEW))
         shown = "…" if not content.strip(" ") else "…" * (first > 0) + content[first : first + PREVIEW] + "…" * (first + PREVIEW < len(content))
-        rows.append((path, "matched", k + 1, len(content[:start].encode("utf-16-le", "surrogatepass")) // 2 + 1, text[a:b], shown))
+        rows.append({"line": line, "column": units(begin, a) + 1, "start": passed, "match": text[a:b], "preview": shown})
     return rows
 
 
+def search_evidence(files: DataFrame, query: str, limit: int, regex: bool = False, case_sensitive: bool = False, deadline: float = 1.0, root: str = ".", paths: list[str] = ()) -> DataFrame:
+    """One row: ``rows`` (path, line, column, match, preview) in order, ``total``, ``total_known``, ``truncated``, counts by status and ``evidence``; one job reads the files once.
+
+    ``files`` may have a ``status`` of their reading ("success" where null or absent);
+    those with another are excluded, unreadable ones failed, and counted as skipped by
+    their status. Of a file at most ``limit`` + 1 matches are located, as a search that
+    stops there would: the total is known only if no match is left out and no file
+    exceeded its deadline.
+    """
+    if not query or limit < 0:
+        raise ValueError("the query is empty or the limit negative")
+    read = F.coalesce(F.col("status"), F.lit("success")) if "status" in files.columns else F.lit("success")
+    read = F.when((read == "success") & F.col("text").isNull(), "unreadable").otherwise(read)
+    given = files.select("path", read.alias("read"), F.when(read == "success", F.col("text")).alias("text"))
+    if regex:
+        found = regex_files(given, query, case_sensitive, deadline, limit + 1)
+    else:
+        found = located(given, quoted(query, case_sensitive), limit + 1).withColumn("status", F.lit("analyzed"))
+    status = F.when(F.col("read") != "success", F.col("read")).otherwise(F.col("status"))
+    opened = found.select("path", status.alias("status"), F.posexplode_outer("found").alias("k", "x"))
+    rows = opened.select("path", "x.line", "x.column", "x.match", "x.preview", "status", F.coalesce("k", F.lit(0)).alias("k"))
+    one = F.col("k") == 0  # a file's first row stands for the file
+    states = {n: one & (F.col("status") == n) for n in ("analyzed", "binary", "undecodable", "unsupported", "unreadable", "regular_expression_timeout")}
+    order = [F.asc("path"), F.asc("line"), F.asc("column")]
+    out = evidence.one_pass(rows, order, limit, {"considered": one, **states}, F.col("line").isNotNull())
+    late = F.col("regular_expression_timeout") > 0
+    reason = F.when(late, evidence.TIMEOUT_REASON).when(F.col("total") > limit, evidence.LIMIT_REASON)
+    excluded = F.col("considered") - F.col("analyzed") - F.col("unreadable") - F.col("regular_expression_timeout")
+    covered = evidence.coverage(F.col("considered"), F.col("analyzed"), F.lit(0), excluded, F.col("unreadable") + F.col("regular_expression_timeout"), F.coalesce(reason, F.when(F.col("unreadable") > 0, "One or more files could not be read.")))
+    known = (F.col("total") <= limit) & ~late
+    kept = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in ("path", "line", "column", "match", "preview")]))
+    out = evidence.envelope(out, covered, "text", "verified", "workspace paths", root, paths)
+    return out.withColumns({"rows": kept, "truncated": F.col("total") > limit, "total_known": known}).withColumn("total", F.when(known, F.col("total")))
+
+
 def match_counts(files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """(path, matches) of files that hold ``query``, a part of one line; no place is worked out."""
     pattern = quoted(query, case_sensitive)
@@ -160,15 +365,12 @@ def match_counts(files: DataFrame, query: str, case_sensitive: bool = False) ->
 
 
 def first_matches(files: DataFrame, query: str, limit: int, case_sensitive: bool = False) -> DataFrame:
-    """The first ``limit`` matches by path, line and column, with ``total`` and ``total_known``.
+    """The first ``limit`` matches by path, line and column, with ``total`` and ``total_known``, from one reading of the files.
 
-    The search stops early: of the files that hold the query the first ``limit`` + 1
-    are kept, each has a match at least, and places are worked out in those only.
-    So the total is known only if no match is left out.
+    Of a file at most ``limit`` + 1 matches are located, so the total is known only if no match is left out.
     """
-    some = holding(files, query, case_sensitive).select("path", "text").orderBy("path").limit(limit + 1)
-    found = search_literal(some, query, case_sensitive)
-    return early_stop(found, [F.col("path"), F.col("line"), F.col("column")], limit)
+    found = located(holding(files, query, case_sensitive).select("path", "text"), quoted(query, case_sensitive), limit + 1)
+    return early_stop(_rows(found), [F.col("path"), F.col("line"), F.col("column")], limit)
 
 
 def line_span(files: DataFrame, first: int, last: int, budget: int = 4000) -> DataFrame:

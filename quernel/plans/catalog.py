@@ -575,4 +575,4 @@ def home_view(spark, sf_dir):
     return counts.crossJoin(F.broadcast(pages)).select("projects", "files", "pages", "changed")  # one row each
 
 
-from quernel.plans import code, semantic  # noqa: E402, F401 - they register their queries here
+from quernel.plans import code, search, semantic, structure, workspace  # noqa: E402, F401 - they register their queries here

@@ -1,68 +1,68 @@
-"""Version-control output as tables: porcelain status and name-status diffs, NUL-separated."""
+"""Version-control output as tables: porcelain status and name-status diffs, NUL-separated.
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-STATUS = "repository string, path string, original_path string, tracking string, index_status string, worktree_status string, conflict boolean"
-DIFF = "repository string, status string, path string, original_path string"
+An output is split at its NULs into slots. A letter for each slot tells what it
+looks like; one replacement from left to right over those letters finds where
+records begin, since a rename takes the slot after it whatever that looks like.
+"""
 
+from __future__ import annotations
 
-def _parts(blob) -> list[str]:
-    text = bytes(blob).decode("utf-8", "surrogateescape") if not isinstance(blob, str) else blob
-    return [p.encode("utf-8", "replace").decode() if any("\ud800" <= c <= "\udfff" for c in p) else p for p in text.split("\0")]
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from quernel.operators.text import let
 
-def parse_status(blob) -> list[tuple]:
-    """Entries of ``git status --porcelain=v2 -z``: ordinary, renamed (the old path is the next part), unmerged, untracked, ignored."""
-    out, parts, i = [], _parts(blob), 0
-    while i < len(parts):
-        p = parts[i]
-        i += 1
-        if p.startswith("1 ") and len(f := p.split(" ", 8)) == 9:
-            out.append((f[8], None, "tracked", f[1][0], f[1][1], False))
-        elif p.startswith("2 ") and len(f := p.split(" ", 9)) == 10:
-            out.append((f[9], parts[i] if i < len(parts) else None, "tracked", f[1][0], f[1][1], False))
-            i += 1
-        elif p.startswith("u ") and len(f := p.split(" ", 10)) == 11:
-            out.append((f[10], None, "tracked", f[1][0], f[1][1], True))
-        elif p[:2] in ("? ", "! "):
-            out.append((p[2:], None, "untracked" if p[0] == "?" else "ignored", ".", ".", False))
-    return out
 
+def _records(outputs: DataFrame, letter, record: str, starts: str, width: int) -> DataFrame:
+    """(repository, slots): the slots of each record, ``width`` at most."""
+    text = F.expr("make_valid_utf8(cast(output as string))")
+    slots = F.split(text, "\\x00", -1)
+    rows = outputs.where("output IS NOT NULL").select("repository", slots.alias("slots"))
 
-def parse_diff(blob) -> list[tuple]:
-    """Entries of ``git diff --name-status -z``: renames and copies have their old path first."""
-    out, parts, i = [], _parts(blob), 0
-    while i + 1 < len(parts):
-        status = parts[i]
-        if status[:1] in ("R", "C") and i + 2 < len(parts):
-            out.append((status, parts[i + 2], parts[i + 1]))
-            i += 3
-        else:
-            out.append((status, parts[i + 1], None))
-            i += 2
-    return out
+    def begun(marks, ss):
+        return F.filter(F.transform(ss, lambda s, i: F.struct(F.get(marks, i).alias("mark"), F.slice(ss, i + 1, F.lit(width)).alias("s"))), lambda r: r["mark"] == "S")
 
+    def split(ss):
+        letters = F.array_join(F.transform(ss, letter), "")
+        return let(F.split(F.regexp_replace(letters, record, starts), ""), lambda marks: begun(marks, ss))
 
-def _table(outputs: DataFrame, parse, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.select("repository", F.explode(let(F.col("slots"), split)).alias("r")).select("repository", F.col("r.s").alias("slots"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(r, *e) for r, b in zip(f["repository"], f["output"]) if b is not None for e in parse(b)], columns=names)
 
-    return outputs.select("repository", "output").mapInPandas(run, schema)
+def _fields(slot: Column, n: int) -> Column:
+    return F.split(slot, " ", n)
 
 
 def status_entries(outputs: DataFrame) -> DataFrame:
-    """Entries of status outputs (repository, output)."""
-    return _table(outputs, parse_status, STATUS)
+    """(repository, path, original_path, tracking, index_status, worktree_status, conflict) of ``status --porcelain=v2 -z`` outputs (repository, output).
+
+    Ordinary, renamed (the old path is the next slot), unmerged, untracked and
+    ignored entries; headers and records that lack fields give no entry. Bytes that
+    are no UTF-8 are replaced. A null output has no entries.
+    """
+    looks = lambda s: F.when(s.startswith("2 "), F.lit("2")).otherwise(F.lit("x"))
+    found = _records(outputs, looks, "2(.)|x", "S$1", 2)
+    slot, first = F.get("slots", F.lit(0)), F.left(F.get("slots", F.lit(0)), F.lit(2))
+    width = F.when(first == "1 ", 9).when(first == "2 ", 10).when(first == "u ", 11)
+    f = F.when(first == "1 ", _fields(slot, 9)).when(first == "2 ", _fields(slot, 10)).when(first == "u ", _fields(slot, 11))
+    rows = found.select("repository", "slots", slot.alias("slot"), first.alias("kind"), f.alias("f"), width.alias("width"))
+    tracked = F.col("width").isNotNull()
+    rows = rows.where((tracked & (F.size("f") == F.col("width"))) | F.col("kind").isin("? ", "! "))
+    state = lambda i: F.when(tracked, F.substring(F.get("f", F.lit(1)), i, 1)).otherwise(".")
+    return rows.select(
+        "repository", F.when(tracked, F.element_at("f", -1)).otherwise(F.expr("substring(slot, 3)")).alias("path"),
+        F.when(F.col("kind") == "2 ", F.get("slots", F.lit(1))).alias("original_path"),
+        F.when(tracked, "tracked").when(F.col("kind") == "? ", "untracked").otherwise("ignored").alias("tracking"),
+        state(1).alias("index_status"), state(2).alias("worktree_status"), (F.col("kind") == "u ").alias("conflict"),
+    )
 
 
 def diff_entries(outputs: DataFrame) -> DataFrame:
-    """Entries of diff outputs (repository, output)."""
-    return _table(outputs, parse_diff, DIFF)
+    """(repository, status, path, original_path) of ``diff --name-status -z`` outputs (repository, output); renames and copies have their old path first."""
+    looks = lambda s: F.when(s.rlike("^[RC]"), F.lit("r")).otherwise(F.lit("m"))
+    found = _records(outputs, looks, "r(.)(.)|m(.)", "S$1$2$3", 3)
+    two = F.get("slots", F.lit(0)).rlike("^[RC]")
+    return found.select(
+        "repository", F.get("slots", F.lit(0)).alias("status"), F.when(two, F.get("slots", F.lit(2))).otherwise(F.get("slots", F.lit(1))).alias("path"),
+        F.when(two, F.get("slots", F.lit(1))).alias("original_path"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,20 @@ def binary_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.substring_index(clean, root, -1).alias("path"), "content")
 
 
+def utf16(content: Column, little: bool) -> Column:
+    """The text of UTF-16 bytes without a mark; null where a unit is half or a surrogate has no partner."""
+    hexed = F.hex(content)
+    units = F.regexp_replace(hexed, "(..)(..)", "$2$1 " if little else "$1$2 ")  # high byte first, a space after each
+    alone = units.rlike("(?<![0-9A-F])D[89AB].. (?!D[C-F])") | units.rlike("(?<!D[89AB].. )(?<![0-9A-F])D[C-F].. ")
+    bad = (F.octet_length(content) % 2 == 1) | alone
+    return F.when(~bad, F.decode(content, "UTF-16LE" if little else "UTF-16BE"))
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """(path, status, encoding, has_bom, byte_count, total_lines, text) of files with binary ``content``.
 
     By byte order mark: UTF-8, UTF-16 LE and BE; UTF-32 is unsupported; a NUL
-    byte without a mark means binary; broken UTF-8 is undecodable.
+    byte without a mark means binary; broken UTF-8 and UTF-16 are undecodable.
     """
     c = F.col("content")
     head = F.hex(F.substring(c, 1, 4))
@@ -43,8 +52,8 @@ def decoded(files: DataFrame) -> DataFrame:
     raw = F.expr("try_validate_utf8(cast(content as string))")
     text = (
         F.when(F.col("kind") == "utf-8-bom", F.expr("try_validate_utf8(cast(substring(content, 4, octet_length(content)) as string))"))
-        .when(F.col("kind") == "utf-16le", F.expr("decode(substring(content, 3, octet_length(content)), 'UTF-16LE')"))
-        .when(F.col("kind") == "utf-16be", F.expr("decode(substring(content, 3, octet_length(content)), 'UTF-16BE')"))
+        .when(F.col("kind") == "utf-16le", utf16(F.expr("substring(content, 3, octet_length(content))"), True))
+        .when(F.col("kind") == "utf-16be", utf16(F.expr("substring(content, 3, octet_length(content))"), False))
         .when(F.col("kind") == "utf-8", raw)
     )
     status = (

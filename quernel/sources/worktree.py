@@ -22,19 +22,19 @@ def ignore_rule(line: str) -> tuple[str, bool, bool, bool, bool] | None:
     ``whole`` patterns hold a slash and match the path below the file's directory,
     others its last part; ``top`` ones only directly in that directory.
     """
-    text = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
+    text = re.sub(r"(?<!\\)((?:\\\\)*) +$", r"\1", line.rstrip("\r\n"))  # an escaped space stays
     if not text or text.startswith("#"):
         return None
     negated = text.startswith("!")
     text = text[1:] if negated or text.startswith(("\\#", "\\!")) else text
-    directory = text.endswith("/")
+    directory = re.search(r"(?<!\\)(?:\\\\)*/$", text) is not None
     text = text[:-1] if directory else text
     top = text.startswith("/")
     text = text[1:] if top else text
     if not text:
         return None
     whole = "/" in text
-    return glob_regex(text), whole, top and not whole, directory, negated
+    return glob_regex(text, escapes=True), whole, top and not whole, directory, negated
 
 
 def ignore_rules(rule_files: DataFrame) -> DataFrame:

@@ -80,7 +80,12 @@ def test_git_outputs(spark):
     status = z.join(["1 .M N... 100644 100644 100644 a b src/x y.cs", "2 R. N... 100644 100644 100644 a b R100 new.cs", "old.cs", "u UU N... 1 1 1 1 a b c both.cs", "? free.txt", "! bin/o", ""])
     got = git.status_entries(spark.createDataFrame([("r", status.encode()), ("n", None)], "repository string, output binary")).collect()
     assert sorted((r["path"], r["original_path"], r["tracking"], r["conflict"]) for r in got) == [("bin/o", None, "ignored", False), ("both.cs", None, "tracked", True), ("free.txt", None, "untracked", False), ("new.cs", "old.cs", "tracked", False), ("src/x y.cs", None, "tracked", False)]
-    assert git.parse_diff(z.join(["M", "a", "R090", "b", "c", "D", "d", ""])) == [("M", "a", None), ("R090", "c", "b"), ("D", "d", None)]
+    diff = z.join(["M", "a", "R090", "b", "c", "D", "Rd", "C1", "Ce", "Rf", ""])
+    got = git.diff_entries(spark.createDataFrame([("r", diff.encode()), ("n", None), ("e", b"")], "repository string, output binary")).collect()
+    assert [tuple(r)[1:] for r in got] == [("M", "a", None), ("R090", "c", "b"), ("D", "Rd", None), ("C1", "Rf", "Ce")]
+    tricky = z.join(["2 R. N... 1 1 1 a b R100 new", "2 R. N... 1 1 1 a b R100 old", "2 R. N... 1 1 1 a b R9 x", "1 looks like a record", "? a b", "1 short", ""])
+    got = git.status_entries(spark.createDataFrame([("r", tricky.encode())], "repository string, output binary")).collect()
+    assert [(r["path"], r["original_path"]) for r in got] == [("new", "2 R. N... 1 1 1 a b R100 old"), ("x", "1 looks like a record"), ("a b", None)]
 
 
 def test_projects(spark):
