@@ -11,8 +11,10 @@ telling and with meaningless class names) whose main text is known.
 from __future__ import annotations
 
 import html
-import pickle
+import inspect
+import io
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.llm.common import checkpoint_dir
+
 #: For a page up to its last ``>``: each tag or piece of text is read once, whatever is left open.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden|rel|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -343,7 +347,7 @@ def train_labeller(pages: list[tuple[list[Block], np.ndarray]], seed: int = 7, e
 
 
 @lru_cache(maxsize=2)
-def labeller(pages: int = 2000, seed: int = 7) -> Labeller:
+def labeller(pages: int = 2200, seed: int = 7) -> Labeller:
     from quernel.llm.html_pages import generate
 
     r = np.random.default_rng(seed)
@@ -358,16 +362,30 @@ def labeller(pages: int = 2000, seed: int = 7) -> Labeller:
 _trained: dict[tuple[int, int], Labeller] = {}
 
 
-def trained(spark: SparkSession, pages: int = 2000, seed: int = 7) -> Labeller:
-    """``labeller``, trained by a task once in a session; the driver only gets the weights."""
+def kept_in(spark: SparkSession, pages: int, seed: int) -> str:
+    """Where the weights of a training are kept: in the shared folder, under a name that changes with the code that makes them."""
+    from quernel.llm import html_pages
+
+    code = zlib.crc32((inspect.getsource(html_pages) + inspect.getsource(sys.modules[__name__])).encode())
+    return f"{checkpoint_dir(spark)}/quernel-labeller-{pages}-{seed}-{code:08x}"
+
+
+def trained(spark: SparkSession, pages: int = 2200, seed: int = 7) -> Labeller:
+    """``labeller``, trained by a task once and kept as a table; the driver only gets the weights."""
     if (pages, seed) not in _trained:
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _ in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(labeller(pages, seed))], pa.binary())], ["model"])
-
-        row = spark.range(0, 1, 1, 1).mapInArrow(learn, "model binary").first()
-        _trained[pages, seed] = pickle.loads(row["model"])
+                held = io.BytesIO()
+                np.savez(held, **labeller(pages, seed).p)
+                yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], ["weights"])
+
+        folder = kept_in(spark, pages, seed)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            spark.range(0, 1, 1, 1).mapInArrow(learn, "weights binary").write.mode("overwrite").parquet(folder)
+        with np.load(io.BytesIO(spark.read.parquet(folder).first()["weights"])) as held:
+            _trained[pages, seed] = Labeller({k: held[k] for k in held.files})
     return _trained[pages, seed]
 
 
@@ -387,7 +405,10 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; a null page gives the empty text, null ids and urls stay."""
+    """(page_id, url, text, n_chars) of every row; a null or empty page gives the empty text, null ids and urls stay, repeated rows are read each for itself.
+
+    Pages are read whole, in time that grows with their length; a very long one takes a task's memory in proportion to its blocks.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,11 @@
 """Generated web pages with known main text, to train the block labeller on.
 
-Every page draws its own words, layout, element kinds and class names; for
-one page in four the names mean nothing, so that the labeller also learns from
-the form and order of blocks.
+Every page draws its own words, layout, element kinds and class names. The body is
+written in paragraphs, in bare ``div``s, in texts parted by ``br``, or in a mix, with
+lists, tables, definitions and figures of any length down to one word. For one page
+in four the names mean nothing, and one in eight has none, so that the labeller
+also learns from the form and order of blocks. Common words, and words that
+notices and menus like, are in main texts too: no word tells a block by itself.
 """
 
 from __future__ import annotations
@@ -37,6 +40,17 @@ SAYINGS = {
     "share": "Share Tweet Facebook Print Email Pin it Follow us",
     "related": "Read more Related articles You may also like Most read Popular posts",
 }
+#: Frequent words of English, French, German and Spanish.
+COMMON = (
+    "the of and to in is was for that it as with on by are this be at from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any my now such like our over man me even most made after also did many off before must well back through years where much your way down should because long each just those people how too little good world make very still see own work life here being day both few made "
+    "le la les de des du et un une est que qui dans pour pas sur avec plus par son mais nous vous comme tout elle ils "
+    "der die das und ist nicht von mit sich auf für den dem ein eine als auch es an werden aus er hat dass sie nach bei "
+    "el los las y en por con para una su al lo como más pero sus ya todo esta entre cuando muy sin sobre ser"
+).split()
+WRAPPERS = "wrapper container page site row col inner wrap layout grid box outer".split()
+THINGS = "salt flour water butter kg g cups min km 10 3 250 1,5 1998 12:30 40% €5 yes no left right red blue A B total name size price north".split()
+
+SAID = [w.lower() for words in SAYINGS.values() for w in words.split()]
 
 
 class Page:
@@ -44,8 +58,14 @@ class Page:
 
     def __init__(self, r: np.random.Generator):
         self.r, self.main = r, set()
-        self.lexicon = ["".join(r.choice(SYLLABLES, r.integers(1, 5))) for _ in range(120)]
+        parts = iter(r.integers(0, len(SYLLABLES), 600).tolist())
+        self.lexicon = ["".join(SYLLABLES[next(parts)] for _ in range(n)) for n in r.integers(1, 5, 120).tolist()]
         self.blank = r.random() < 0.25  # names mean nothing
+        self.plain = r.random() < 0.12  # there are none
+        self.common = r.random() * 0.6 * (r.random() < 0.7)
+        self.style = str(r.choice(["p", "div", "br", "mixed"], p=[0.6, 0.2, 0.08, 0.12]))
+        self.junk = ("%%%", "###", "&&&", "!!!")[int(r.integers(4))] if r.random() < 0.05 else ""
+        self.end = "</p>" if self.style != "p" or r.random() < 0.75 else ""
         self.semantic = r.random() < 0.6  # uses nav, article, footer
         self.code: dict[str, str] = {}
 
@@ -53,11 +73,29 @@ class Page:
         return bool(self.r.random() < p)
 
     def words(self, n: int) -> list[str]:
-        return [self.lexicon[int(i)] for i in (self.r.random(n) ** 2 * len(self.lexicon))]
+        out = [self.lexicon[int(i)] for i in (self.r.random(n) ** 2 * len(self.lexicon))]
+        if self.common:
+            for of, share in ((COMMON, self.common), (SAID, 0.06)):
+                for i in np.flatnonzero(self.r.random(n) < share):
+                    out[i] = of[int(self.r.integers(len(of)))]
+        return out
+
+    def item(self) -> str:
+        """A short text: a word, a quantity, a phrase."""
+        x = self.r.random()
+        if x < 0.3:
+            return self.words(1)[0]
+        if x < 0.6:
+            return " ".join(str(w) for w in self.r.choice(THINGS, int(self.r.integers(1, 4))))
+        return self.sentence(2, 8)[: None if self.chance(0.5) else -1]
 
     def sentence(self, lo: int = 3, hi: int = 18) -> str:
         w = self.words(int(self.r.integers(lo, hi)))
-        w = [x + "," * (self.r.random() < 0.08) for x in w]
+        if self.chance(0.015):  # a word that is stuck
+            w[1:] = [w[-1]] * int(self.r.integers(1, 60))
+        if self.junk and self.chance(0.3):
+            w = [x + self.junk for x in w]
+        w = [x + "," * bool(c) for x, c in zip(w, self.r.random(len(w)) < 0.08)]
         return w[0].capitalize() + "".join(" " + x for x in w[1:]) + "."
 
     def prose(self, most: int = 6) -> str:
@@ -69,7 +107,7 @@ class Page:
         return " ".join((pool + pool)[at : at + n])
 
     def attr(self, kind: str) -> str:
-        if self.chance(0.12):
+        if self.plain or self.chance(0.12):
             return ""
         if self.blank:
             name = self.code.setdefault(kind, "".join(self.r.choice(list("abcdefghijkmnpqrstuvwxyz"), 5)))
@@ -84,15 +122,13 @@ class Page:
 
     def inline(self, text: str) -> str:
         """The text with some of its words in inline elements; entities for signs."""
-        out = []
-        for w in text.split(" "):
-            e = html.escape(w, quote=False)
-            if self.chance(0.03):
-                t = str(self.r.choice(["b", "i", "em", "strong", "span"]))
-                e = f"<{t}>{e}</{t}>"
-            elif self.chance(0.02):
-                e = f'<a href="/{int(self.r.integers(0, 999))}">{e}</a>'
-            out.append(e)
+        out = [html.escape(w, quote=False) for w in text.split(" ")]
+        for i, x in enumerate(self.r.random(len(out)).tolist()):
+            if x < 0.03:
+                t = ("b", "i", "em", "strong", "span")[int(x * 166)]
+                out[i] = f"<{t}>{out[i]}</{t}>"
+            elif x < 0.05:
+                out[i] = f'<a href="/{int(self.r.integers(0, 999))}">{out[i]}</a>'
         return (" " if self.chance(0.8) else "\n  ").join(out)
 
     def keep(self, text: str) -> str:
@@ -103,6 +139,9 @@ class Page:
         items = []
         for _ in range(n):
             t = html.escape(self.saying(kind, int(self.r.integers(1, 3))) if self.chance(0.4) else " ".join(self.words(int(self.r.integers(1, 4)))))
+            if self.chance(0.2):
+                t = t.capitalize() if self.chance(0.5) else t
+                t += ("", ".", ",")[int(self.r.integers(3))]
             items.append(f'<li><a href="/x">{t}</a></li>' if self.chance(linked) else f"<li>{t}</li>")
         return f"<ul>{''.join(items)}</ul>" if self.chance(0.75) else "".join(i.replace("<li>", "<span>").replace("</li>", "</span> ") for i in items)
 
@@ -113,6 +152,10 @@ class Page:
     def boiler(self, kind: str, semantic: str = "div") -> str:
         """A side block: of prose, of sayings, or of links."""
         t = self.tag(kind, semantic)
+        if kind in ("notice", "ad", "share") and self.chance(0.5):  # a bar: one text, and what to press
+            text = self.saying(kind, int(self.r.integers(2, 16))) if self.chance(0.7) else self.prose(2)
+            press = "".join(f"<button>{self.saying(kind, 1)}</button>" if self.chance(0.6) else f'<a href="/c">{self.saying(kind, 2)}</a>' for _ in range(int(self.r.integers(0, 3))))
+            return f"<{t}{self.attr(kind)}>{f'<p>{html.escape(text)}</p>' if self.chance(0.5) else html.escape(text)} {press}</{t}>"
         inner = []
         for _ in range(int(self.r.integers(1, 4))):
             x = self.r.random()
@@ -140,39 +183,80 @@ class Page:
             out.append(f"<div{self.attr('comment')}><p>{who}</p><p>{text}</p></div>" if self.chance(0.7) else f"<li{self.attr('comment')}>{text}</li>")
         return f"<{t}{self.attr('comments')}>{''.join(out)}</{t}>"
 
+    def paragraph(self, text: str) -> str:
+        style = str(self.r.choice(["p", "div", "br"])) if self.style == "mixed" else self.style
+        if style == "div":
+            return f"<div{self.attr('article') * self.chance(0.2)}>{self.keep(text)}</div>"
+        if style == "br":
+            return f"{self.broken(text)}<br><br>"
+        lead = "<b>" if self.chance(0.06) else ""
+        return f"<p{self.attr('article') * self.chance(0.06)}>{lead}{self.keep(text)}{'<br>' if lead else self.end}"
+
+    def broken(self, text: str) -> str:
+        """A text of a block that goes on after a line break."""
+        self.open.append(" ".join(text.split()))
+        return self.inline(text)
+
+    def shut(self) -> str:
+        """The border after texts parted by line breaks, which are one block."""
+        if self.open:
+            self.main.add(" ".join(self.open))
+            self.open = []
+        return ""
+
+    def details(self) -> str:
+        """Lists, tables, definitions, figures and quotations of an article."""
+        x, n = self.r.random(), int(self.r.integers(1, 7))
+        if x < 0.4:
+            kind, one_by_one = str(self.r.choice(["ul", "ul", "ol"])), self.chance(0.5)
+            return f"<{kind}>" + "".join(f"<li>{self.keep(self.item() if one_by_one else self.sentence(2, 12))}</li>" for _ in range(n + 1)) + f"</{kind}>"
+        if x < 0.6:
+            columns = int(self.r.integers(2, 4))
+            row = lambda tag: "<tr>" + "".join(f"<{tag}>{self.keep(self.item() if self.chance(0.7) else self.sentence(1, 5))}</{tag}>" for _ in range(columns)) + "</tr>"
+            return f"<table>{row('th') if self.chance(0.6) else ''}{''.join(row('td') for _ in range(n))}</table>"
+        if x < 0.7:
+            return "<dl>" + "".join(f"<dt>{self.keep(self.item())}</dt><dd>{self.keep(self.item() if self.chance(0.4) else self.prose(2))}</dd>" for _ in range(n)) + "</dl>"
+        if x < 0.82:
+            return f"<figure><img src=x.png><figcaption>{self.keep(self.item() if self.chance(0.4) else self.sentence(3, 14))}</figcaption></figure>"
+        if x < 0.92:
+            text = self.keep(self.prose(3))
+            return f"<blockquote>{text if self.chance(0.5) else f'<p>{text}</p>'}</blockquote>"
+        return f"<pre>{self.keep(self.prose(2))}</pre>"
+
     def article(self) -> str:
-        parts = []
-        end = "</p>" if self.chance(0.8) else ""
+        parts, self.open = [], []
         title = self.sentence(2, 9)
         title = title if self.chance(0.4) else title[:-1]
         head = f"<h1>{self.keep(title)}</h1>" if self.chance(0.9) else ""
         if head and self.chance(0.15):
             head = f"<header>{head}</header>"
         parts.append(head)
-        if self.chance(0.25):
-            parts.append(f"<p><b>{self.keep(title if self.chance(0.5) else self.sentence())}<br>")
+        if self.chance(0.2):
+            parts.append(f"<p><b>{self.keep(title if self.chance(0.5) else self.sentence())}<br>" if self.style == "p" else "")
+        sections = self.chance(0.15)
         for _ in range(int(self.r.integers(1, 14))):
             x = self.r.random()
             if x < 0.72:
-                lead = "<b>" if self.chance(0.08) else ""
-                close = "<br>" if lead else end
-                parts.append(f"<p>{lead}{self.keep(self.prose(7) if self.chance(0.8) else self.sentence(1, 5))}{close}")
-            elif x < 0.80:
-                parts.append(f"<h2>{self.keep(self.sentence(2, 6)[:-1])}</h2>")
-            elif x < 0.87:
-                parts.append("<ul>" + "".join(f"<li>{self.keep(self.sentence(2, 12))}</li>" for _ in range(int(self.r.integers(2, 6)))) + "</ul>")
-            elif x < 0.92:
-                parts.append(f"<blockquote>{self.keep(self.prose(3))}</blockquote>")
-            elif x < 0.95:
-                parts.append(f"<pre>{self.keep(self.prose(2))}</pre>")
+                parts.append(self.paragraph(self.prose(7) if self.chance(0.8) else self.sentence(1, 5)))
+            elif x < 0.82:
+                self.shut()
+                level = int(self.r.integers(2, 5))
+                parts.append(f"{'</section><section>' * sections}<h{level}>{self.keep(self.item() if self.chance(0.3) else self.sentence(2, 6)[:-1])}</h{level}>")
             else:
-                parts.append("<table>" + "".join(f"<tr><td>{self.keep(self.sentence(1, 4))}</td><td>{self.keep(self.sentence(1, 4))}</td></tr>" for _ in range(2)) + "</table>")
+                self.shut()
+                parts.append(self.details())
             if self.chance(0.05):
+                self.shut()
                 parts.append(self.boiler("ad"))
             if self.chance(0.02):
+                self.shut()
                 parts.append(self.boiler("related", "aside"))
             if self.chance(0.02):
+                self.shut()
                 parts.append(self.boiler("notice"))
+        self.shut()
+        body = "".join(parts)
+        parts = [f"<section>{body}</section>" if sections else f"<div>{body}</div>" if self.chance(0.15) else body]
         if self.chance(0.15):
             parts.append(self.boiler("share"))
         if self.chance(0.12):
@@ -195,8 +279,11 @@ class Page:
         foot = self.tag("footer", "footer")
         text = f"&copy; {self.words(1)[0]} {int(self.r.integers(1990, 2030))}" if self.chance(0.5) else self.saying("footer", 5)
         footer = f"<{foot}{self.attr('footer') if foot == 'div' else ''}>{text}{self.list_of('footer', 3) * self.chance(0.4)}</{foot}>" * self.chance(0.85)
-        if self.chance(0.6):
+        if self.chance(0.5):
             body = "".join(first) + self.article() + "".join(last) + footer
+        elif self.chance(0.3):
+            wrap = lambda x: f"<div>{x}</div>" if self.chance(0.5) else f'<div class="{self.r.choice(WRAPPERS)}">{x}</div>'
+            body = wrap(wrap("".join(first)) + wrap(wrap(self.article()) + wrap("".join(last))) + footer)
         else:
             body = f"<div><div{self.attr('header')}>{''.join(first)}</div><div>{self.article()}</div>{''.join(last)}</div>{footer}"
         script = '<script>var t="</p>";f(1);</script>' * self.chance(0.5)
