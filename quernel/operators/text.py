@@ -22,6 +22,8 @@ from quernel.operators import evidence
 from quernel.operators.bounded import early_stop
 
 TERMINATOR = "\r\n|\n|\r"
+#: The places after terminators.
+LINE_STARTS = r"(?<=\n)|(?<=\r)(?!\n)"
 PREVIEW = 160
 #: Characters that are in no text of a language; a mark is the first of them that a text doesn't hold.
 MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
@@ -149,9 +151,9 @@ def located(files: DataFrame, pattern: str, most: int | None = None) -> DataFram
         lined = F.transform(hits, lambda h: F.struct(h["match"].alias("match"), h["start"].alias("start"), _line_of(starts, h["start"]).alias("line")))
         return F.transform(lined, lambda h: told(h, starts, lines_))
 
-    starts = running(wide(F.regexp_extract_all(text, F.lit("[^\\r\\n]*(?:\\r\\n|\\r|\\n)"), 0)))
+    starts = running(wide(F.split(text, LINE_STARTS, -1)))  # the last number is where the text ends, which begins no line
     pieces = let(mark, lambda m: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(m, F.lit("$0"), m)), m, -1))
-    found = let(pieces, lambda ps: let(running(wide(ps)), lambda at: let(starts, lambda ss: let(F.split(text, TERMINATOR, -1), lambda ls: placed(ps, at, ss, ls)))))
+    found = let(pieces, lambda ps: let(running(wide(ps)), lambda at: let(starts, lambda ss: let(F.split(text, TERMINATOR, -1), lambda ls: placed(ps, at, F.slice(ss, F.lit(1), F.size(ss) - 1), ls)))))
     return files.select("*", F.when(text.rlike(pattern), found).otherwise(F.array().cast(MATCH)).alias("found"))
 
 

@@ -26,10 +26,8 @@ def regex_multiline(spark, sf_dir):
     return text.search_regex(document_files(spark, sf_dir), MULTILINE)
 
 
-@query(f"""WITH {DOC_FILES}, ends AS (SELECT path, text, regexp_extract(text, '^[A-Za-z]+') AS a, regexp_extract(text, '[a-z]+[.]?\\s*$') AS z FROM doc_files),
-found AS (SELECT path, text, a AS match, 0 AS start FROM ends WHERE a <> '' UNION ALL
-  SELECT path, text, CASE WHEN length(z) = length(text) THEN substring(z, length(a) + 1) ELSE z END, CAST(length(text) - length(CASE WHEN length(z) = length(text) THEN substring(z, length(a) + 1) ELSE z END) AS INT)
-  FROM ends WHERE z <> '' AND NOT (length(z) = length(text) AND NOT regexp_matches(substring(z, length(a) + 1), '^[a-z]+[.]?\\s*$'))),
+@query(f"""WITH {DOC_FILES}, firsts AS (SELECT path, text, regexp_extract(text, '^[A-Za-z]+') AS a FROM doc_files), ends AS (SELECT *, regexp_extract(substring(text, length(a) + 1), '[a-z]+[.]?\\s*$') AS z FROM firsts),
+found AS (SELECT path, text, a AS match, 0 AS start FROM ends WHERE a <> '' UNION ALL SELECT path, text, z, CAST(length(text) - length(z) AS INT) FROM ends WHERE z <> ''),
 {PLACED} SELECT * FROM hits_shown""")
 def regex_anchors(spark, sf_dir):
     """The first word of a text, where it begins with one, and the last, with what ends it; not of every line."""

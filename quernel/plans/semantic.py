@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.operators import bounded, graph, semantics
-from quernel.plans.catalog import DEPENDENTS, _dependencies, _framed_sql, _functional, _seeds, query
+from quernel.operators import bounded, graph, relationships, semantics
+from quernel.plans.catalog import DECLARATIONS, DEPENDENTS, _dependencies, _framed_sql, _functional, _seeds, declarations, query
 from quernel.sources.tables import table
 
 # -- coverage ---------------------------------------------------------------------------------
@@ -369,3 +369,80 @@ def property_maps(spark, sf_dir):
 def first_per_key(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     return bounded.first_per(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+# -- from a target's name to references and coverage ------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {EVIDENCE}, names AS (SELECT s_suppkey AS k, s_name || CASE WHEN s_suppkey % 9 = 4 THEN '.fsproj' ELSE '.csproj' END AS project FROM supplier),
+up AS (SELECT 3 AS k UNION SELECT s_suppkey FROM up JOIN supplier ON s_suppkey > 1 AND s_suppkey // 2 = up.k), scope AS (SELECT project FROM names JOIN up USING (k)),
+pl AS (SELECT *, coverage IN ('supported', 'unrestored') AS usable, selected OR (coverage = 'unrestored' AND position = min(position) OVER (PARTITION BY project)) AS chosen FROM variants WHERE project IN (SELECT project FROM scope)),
+plans AS (SELECT project, configuration, framework, CASE WHEN usable AND chosen THEN 'analyzed' WHEN usable THEN 'remaining' WHEN coverage = 'unsupported' THEN 'excluded' ELSE 'failed' END AS disposition FROM pl
+  UNION ALL SELECT project, NULL, NULL, 'failed' FROM scope WHERE project NOT IN (SELECT project FROM variants)),
+{DECLARATIONS}, t AS (SELECT qualified AS q FROM declarations ORDER BY id LIMIT 1), f AS (SELECT names.project, l_linestatus AS configuration, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS framework, 'o' || l_orderkey AS path, l_linenumber AS start
+  FROM lineitem JOIN declarations ON id = l_partkey JOIN names ON k = l_suppkey WHERE split_part(qualified, '.', 1) = (SELECT split_part(q, '.', 1) FROM t) AND (l_returnflag IS NULL OR l_returnflag <> 'A')),
+r AS (SELECT DISTINCT f.* FROM f JOIN plans p ON p.project = f.project AND p.configuration IS NOT DISTINCT FROM f.configuration AND p.framework IS NOT DISTINCT FROM f.framework AND disposition = 'analyzed'),
+c AS (SELECT count(*) AS considered, count(*) FILTER (disposition = 'analyzed') AS analyzed, count(*) FILTER (disposition = 'remaining') AS remaining, count(*) FILTER (disposition = 'excluded') AS excluded, count(*) FILTER (disposition = 'failed') AS failed FROM plans)
+SELECT path, start, project, configuration, framework, (SELECT count(*) FROM r) AS total, CASE WHEN considered > analyzed THEN 'partial' ELSE 'complete' END AS level, considered, analyzed, remaining, excluded, failed
+FROM r, c ORDER BY path, start LIMIT 50""")
+def reference_end_to_end(spark, sf_dir):
+    """The references of a brand's symbol, named by the least declaration of it: resolution, scope, plans, facts and coverage in one query."""
+    d = declarations(spark, sf_dir).select("id", "name", "qualified", "namespace", F.sha2(F.concat("qualified", "signature"), 256).alias("stable"), F.sha2(F.col("id").cast("string"), 256).alias("location"))
+    name = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), _project().alias("project"))
+    owner = name.where("k = 3").select(F.col("project").alias("owner"))
+    d = d.withColumn("source", F.concat(F.lit("f"), F.col("id").cast("string"))).crossJoin(F.broadcast(owner))  # one row
+    frameworks = F.explode(F.array(F.lit("N"), F.lit(None).cast("string")))
+    none = F.lit(None).cast("string")
+    bound = d.select("*", frameworks.alias("framework")).groupBy("namespace", "framework").agg(F.collect_set("source").alias("sources"))
+    variants = bound.select(F.concat(F.col("namespace"), F.lit("/"), F.coalesce("framework", F.lit("any"))).alias("variant"), none.alias("project"), "sources", F.lit("resolved").alias("status"), F.col("namespace").alias("symbol"), none.alias("reason"), "framework", F.lit("lib").alias("assembly"))
+    up = name.select("k", "project").where("k > 1").withColumn("b", F.expr("k div 2"))
+    edges = up.join(name.select(F.col("k").alias("b"), F.col("project").alias("dst")), "b").select(F.col("project").alias("src"), "dst")
+    item = table(spark, sf_dir, "lineitem").join(d.select(F.col("id").alias("l_partkey"), "namespace"), "l_partkey").join(name.withColumnRenamed("k", "l_suppkey"), "l_suppkey")
+    facts = item.select(
+        F.col("namespace").alias("identity"), F.lit("lib").alias("assembly"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("framework"), "project", F.col("l_linestatus").alias("configuration"),
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("start"), F.lit(1).alias("length"),
+    )
+    target = d.agg(F.min_by("qualified", "id")).first()[0] or "none"
+    out = relationships.references_of(target, d, variants, edges, _coverage(spark, sf_dir), facts, 50)
+    c = F.col("evidence.coverage")
+    rows = out.select(F.explode("rows").alias("r"), "total", *[c[n].alias(n) for n in ("level", "considered", "analyzed", "remaining", "excluded", "failed")])
+    return rows.select("r.path", "r.start", "r.project", "r.configuration", "r.framework", "total", "level", "considered", "analyzed", "remaining", "excluded", "failed")
+
+
+# -- candidates of the other kinds ------------------------------------------------------------
+
+
+def _kind_sql(kind: str, same: str) -> str:
+    return f"""WITH b AS (SELECT p_partkey AS id, p_type AS type, 'constructor' AS symbol_kind, 'h' || p_size AS asked FROM part),
+f AS (SELECT l_partkey AS id, l_returnflag || l_linestatus AS variant, CASE WHEN l_quantity > 45 THEN 'h-old' ELSE 'h' || p_size END AS content_hash, CASE WHEN l_discount > 0.08 THEN 'failed' ELSE 'bound' END AS status,
+CASE WHEN l_linenumber <= 2 THEN p_type ELSE 'OTHER' END AS type, CASE WHEN l_linenumber = 2 THEN 'method' ELSE 'constructor' END AS symbol_kind FROM lineitem JOIN part ON l_partkey = p_partkey),
+m AS (SELECT b.id, variant, CASE WHEN variant IS NULL OR asked <> content_hash OR status <> 'bound' THEN 1 WHEN {same} THEN 2 ELSE 0 END AS s,
+CASE WHEN variant IS NULL THEN 'ownership.not_found' WHEN asked <> content_hash THEN 'evidence.stale' WHEN status <> 'bound' THEN 'binding.unresolved' WHEN NOT ({same}) THEN '{kind}.other_symbol' END AS reason FROM b LEFT JOIN f ON f.id = b.id)
+SELECT id, ['rejected', 'unresolved', 'verified'][max(s) + 1] AS status, count(variant) AS variants, coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), '; '), '') AS reasons FROM m GROUP BY 1"""
+
+
+def _held(spark, sf_dir, kind: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", F.concat(F.lit("h"), F.col("p_size").cast("string")).alias("h"))
+    candidates = part.select("id", F.col("h").alias("content_hash"), F.lit("constructor").alias("symbol_kind"), F.col("p_type").alias("type"))
+    item = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey")).join(part, "id")
+    bound = item.select(
+        "id", F.concat("l_returnflag", "l_linestatus").alias("variant"), F.when(F.col("l_quantity") > 45, "h-old").otherwise(F.col("h")).alias("content_hash"), F.when(F.col("l_discount") > 0.08, "failed").otherwise("bound").alias("status"),
+        F.lit(None).cast("string").alias("reason"), F.when(F.col("l_linenumber") <= 2, F.col("p_type")).otherwise("OTHER").alias("type"), F.when(F.col("l_linenumber") == 2, "method").otherwise("constructor").alias("symbol_kind"),
+    )
+    return semantics.verified(candidates, bound, kind)
+
+
+@query(_kind_sql("attribute", "f.type = b.type AND f.symbol_kind = b.symbol_kind"))
+def verify_attributes(spark, sf_dir):
+    """An attribute is one if its type and the kind of its symbol agree."""
+    return _held(spark, sf_dir, "attribute")
+
+
+@query(_kind_sql("object_creation", "f.type = b.type"))
+def verify_creations(spark, sf_dir):
+    return _held(spark, sf_dir, "object_creation")
+
+
+@query(_kind_sql("catch", "f.type = b.type"))
+def verify_catches(spark, sf_dir):
+    return _held(spark, sf_dir, "catch")
