@@ -7,11 +7,13 @@ order of its own (optimal densification), so it agrees between two sets with the
 similarity whatever their sizes. ``ROWS`` bins are a band, and equal bands a bucket.
 
 Equal sets are one node. A bucket gives edges from its members to one centre, never
-pairs: first each node meets the centre of least priority among those of all its
-buckets, then, in the few buckets that still hold several components, each member
-meets a centre of its bucket. Edges are checked on signatures, which drops what is
-far from similar, then on the full sets. What the stars leave apart is compared in
-blocks, so that no link of two nodes with a common bucket is lost.
+pairs: each node meets the least centres of all its buckets, and, if asked for, in
+buckets that still hold several components each member meets another centre in
+rounds. Edges are checked on signatures, which drops what is far from similar, then
+on the full sets. What the stars leave apart is settled exactly: nodes that share
+rare shingles are found by these, and for all others what isn't rare bounds their
+similarity, so that few of a bucket's pairs are left to compare. So no link of two
+nodes with a common bucket is lost.
 """
 
 from __future__ import annotations
@@ -33,11 +35,15 @@ PERCENT = 80
 ROWS = 6
 BANDS = 40
 BINS = ROWS * BANDS
-#: Star rounds in the buckets that hold several components; blocks of that many members do the rest.
-STARS = 3
-BLOCK = 64
-#: A signature's share of equal bins is off by 0.026 at 0.8; pairs six times that below aren't links.
-SURELY_LESS = 0.8 - 6 * 0.026
+#: The stars that a node is first an end of: those of the least centres of its buckets.
+CENTRES = 3
+#: More star rounds in the buckets that hold several components; blocks of that many members do the rest.
+STARS = 0
+BLOCK = 512
+#: A shingle that so many nodes have at most is rare among what the stars left apart.
+RARE = 64
+#: A signature's share of equal bins is off by 0.026 at 0.8; pairs 4.5 times that below aren't links, but for 3 in a million.
+SURELY_LESS = 0.8 - 4.5 * 0.026
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: For each bin the order in which it looks for a bin with a hash.
 _LOOKS = np.argsort(np.random.default_rng(13).random((BINS, BINS)), axis=1).astype(np.int64)
@@ -112,11 +118,15 @@ def described(texts: pa.Array, size: int) -> dict:
     }
 
 
+def may_link(a, b, common, percent: int):
+    """Whether sets of sizes a and b with so many common shingles at most may be similar enough."""
+    return 100 * common >= percent * (a + b - common)
+
+
 def linked(edges: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, bound: int) -> DataFrame:
     """The edges (a, b) whose sets have a Jaccard similarity of ``percent`` or more; b may be the end of any number of them."""
-    edges = cut_small(edges, bound)
     ends = edges.groupBy("b").agg(F.count("*").alias("n"))
-    signs = nodes.select("node", "sketch")
+    signs = nodes.select("node", "sketch", "n_shingles")
 
     def near(batches):
         for batch in batches:
@@ -124,14 +134,15 @@ def linked(edges: DataFrame, nodes: DataFrame, members: DataFrame, percent: int,
             share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(a) else np.zeros(0)
             yield batch.filter(pa.array(share >= SURELY_LESS - (0.8 - percent / 100))).select([0, 1])
 
-    rows = edges.join(signs.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a")
-    there = ends.join(signs.select(F.col("node").alias("b"), F.col("sketch").alias("o")), "b")
-    rows = cut_small(meet(rows, there, ["b"], bound).select("a", "b", "s", "o").mapInArrow(near, "a long, b long"), bound)
+    rows = edges.join(signs.select(F.col("node").alias("a"), F.col("sketch").alias("s"), F.col("n_shingles").alias("x")), "a")
+    there = ends.join(signs.select(F.col("node").alias("b"), F.col("sketch").alias("o"), F.col("n_shingles").alias("y")), "b")
+    both = meet(rows, there, ["b"], bound).where(may_link(F.col("x"), F.col("y"), F.least("x", "y"), percent))
+    rows = cut(both.select("a", "b", "s", "o").mapInArrow(near, "a long, b long"))
     ends = rows.groupBy("b").agg(F.count("*").alias("n"))
     rows = rows.join(members.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     there = ends.join(members.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = meet(rows, there, ["b"], bound).withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
-    return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    return both.where(may_link(F.size("x"), F.size("y"), F.col("common"), percent)).select("a", "b")
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -150,60 +161,89 @@ def labels(links: DataFrame, bound: int) -> DataFrame:
     return cut_small(connected_components(links, bound), bound, let_go=True)
 
 
-def placed(live: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(band, node, component), and the bands whose buckets hold several components."""
-    rows = live.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    apart = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    return rows, apart
+def apart(live: DataFrame, label: DataFrame, bound: int) -> DataFrame:
+    """(band, node, component, n) of the buckets, of n members, that hold several components."""
+    rows = live.select("band", "node").join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    several = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    return cut(meet(rows, several, ["band"], bound).select("band", "node", "component", "n"))
 
 
-def similar_nodes(nodes: DataFrame, docs: DataFrame, text: str, size: int, percent: int, bound: int, stars: int = STARS, block: int = BLOCK) -> DataFrame | None:
+def similar_nodes(nodes: DataFrame, docs: DataFrame, text: str, size: int, percent: int, bound: int, stars: int = STARS, block: int = BLOCK) -> DataFrame:
     """(node, component) of nodes that are linked with another."""
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    first = F.min(F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("centre")))
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-    live = cut(meet(bands, buckets, ["band"], bound * BANDS).select("band", "node", "first"))
-    best = live.groupBy("node").agg(F.min("first")["centre"].alias("centre"))
-    edges = best.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    buckets = cut(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
+    some = may_hold(bands.withColumn("h", F.col("band")), buckets.select(F.col("band").alias("h"))).drop("h")
+    live = cut(meet(some, buckets, ["band"], bound * BANDS).select("band", "node", "centre"))
+    least = F.slice(F.array_sort(F.collect_set("centre")), 1, CENTRES)  # a node has ``BANDS`` centres at most
+    edges = live.where("node != centre").groupBy("node").agg(least.alias("least")).select(F.col("node").alias("a"), F.explode("least").alias("b"))
     wanted = live.select("node").distinct().join(nodes.select("node", "t1", "t2"), "node")
-    members = cut_small(sets_of(docs, text, wanted, size), bound, rows_per_part=20_000)
+    members = cut(sets_of(docs, text, wanted, size))
+    links = cut_small(linked(cut(edges), nodes, members, percent, bound * CENTRES), bound * CENTRES)
+    label = labels(links, bound * CENTRES)
     live = live.select("band", "node")
-    links = cut_small(linked(edges, nodes, members, percent, bound), bound)
-    label = labels(links, bound)
     for turn in range(stars + 1):
-        rows, apart = placed(live, label)
-        rows = cut(meet(rows, apart, ["band"], bound * BANDS).select("band", "node", "component", "n"))
-        left, pairs = rows.agg(F.count("*"), F.sum(F.col("n") - 1)).first()
+        live = apart(live, label, bound * BANDS)
+        left = live.count()
         if not left:
             break
-        few = pairs <= block * left  # then comparing all of a bucket costs no more than a few stars would
-        if turn < stars and not few:
+        if turn < stars:
             first = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("p"), F.col("node").alias("b"), F.col("component").alias("other"))).alias("first")
-            centres = rows.groupBy("band").agg(F.count("*").alias("n"), first)
-            edges = meet(rows.drop("n"), centres, ["band"], left).select(F.col("node").alias("a"), "component", "first.b", "first.other")
+            centres = live.groupBy("band").agg(F.count("*").alias("n"), first)
+            edges = meet(live.drop("n"), centres, ["band"], left).select(F.col("node").alias("a"), "component", "first.b", "first.other").where("component != other")
         else:
-            edges = blocks(rows, block)
-        edges = cut(edges.where("component != other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = cut_small(linked(edges, nodes, members, percent, max(1, edges.count())), bound)
+            edges = blocks(live, nodes, members, percent, block)
+        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        n = max(1, edges.count())
+        found = cut_small(linked(edges, nodes, members, percent, n), n)
         new = found.count()
         if new:
-            links = cut_small(links.unionByName(found), bound + new, let_go=True)
-            label = labels(links, bound + new)
-        if few:
-            break
-        live = rows.select("band", "node")
+            links = cut_small(links.unionByName(found), bound * CENTRES + new, let_go=True)
+            label = labels(links, bound * CENTRES + new)
     release(docs.sparkSession)
     return label
 
 
-def blocks(rows: DataFrame, block: int) -> DataFrame:
-    """All pairs of members of different components of a bucket, by blocks of about ``block`` members each."""
-    number = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", "band"), number).cast("int")
-    rows = rows.withColumn("many", number).withColumn("own", own)
-    left = rows.select("band", F.col("node").alias("a"), "component", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("many") - 1)).alias("j"))
-    right = rows.select("band", F.col("node").alias("b"), F.col("component").alias("other"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
-    return left.join(right, ["band", "i", "j"]).where("i < j OR a < b")
+def rare_pairs(held: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Of nodes and their shingles (node, h): how many of a node's shingles ``rare`` nodes have at most (node, rare), and how many of these two nodes share (a, b, shared)."""
+    few = held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("h")
+    rows = cut(may_hold(held, few).join(few, "h"))
+    nodes = F.array_sort(F.collect_list("node"))  # ``rare`` of them at most
+    lists = rows.groupBy("h").agg(nodes.alias("nodes")).where(F.size("nodes") > 1)
+    pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.lit(rare)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    shared = lists.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return rows.groupBy("node").agg(F.count("*").alias("rare")), shared
+
+
+def blocks(live: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, block: int, rare: int = RARE) -> DataFrame:
+    """(a, b): the pairs of nodes in different components that may be similar enough.
+
+    Two nodes have in common the rare shingles that lists of their nodes tell, and at
+    most as many others as the one with fewer has. Pairs that share rare ones come
+    from those lists; of the rest the members of a bucket's largest component meet
+    the others only, in blocks, and a pair is kept if what isn't rare may be enough.
+    """
+    label = live.groupBy("node").agg(F.min("component").alias("component"))
+    held = members.join(label.select("node"), "node", "left_semi").select("node", F.explode("set").alias("h"))
+    counts, shared = rare_pairs(held, rare)
+    about = label.join(nodes.select("node", "n_shingles", "bands"), "node").join(counts, "node", "left")
+    about = cut(about.select("node", "component", "bands", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("common")))
+    ends = [about.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("component", "size", "common")]) for n in ("a", "b")]
+    enough = may_link(F.col("size_a"), F.col("size_b"), F.least("common_a", "common_b") + F.col("shared"), percent)
+    listed = shared.join(ends[0], "a").join(ends[1], "b").where((F.col("component_a") != F.col("component_b")) & enough).select("a", "b")
+    rows = cut(live.select("band", "node").join(about.where(may_link(F.col("size"), F.col("common"), F.col("common"), percent)), "node"))
+    parts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    main = main.select("band", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / block).cast("int").alias("few"), F.ceil(F.col("all") / (block * 128)).cast("int").alias("many"), F.col("all").alias("n")).where("few > 0")
+    rows = meet(rows, main, ["band"], 1 << 62)
+    deal = lambda to: F.pmod(F.xxhash64("node", "band"), F.col(to)).cast("int")
+    before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("band")).cast("int") - 1)
+    a = rows.where("component != main").select("band", F.col("node").alias("a"), "component", F.col("size").alias("x"), F.col("common").alias("p"), before.alias("u"), deal("few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"))
+    b = rows.select("band", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("y"), F.col("common").alias("q"), before.alias("v"), deal("many").alias("j"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"))
+    same = (a["band"] == b["band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
+    # a pair of several common buckets is met in the first of them
+    wanted = (F.col("component") != F.col("other")) & may_link(F.col("x"), F.col("y"), F.least("p", "q"), percent) & ~F.arrays_overlap("u", "v")
+    met = a.join(b, same & wanted).select("a", "b")
+    return met.unionByName(listed)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -222,7 +262,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     rows = cut(map_texts(keys, "t", ["key", "t1", "t2"], "digest binary, n_shingles long, bands array<long>, sketch binary", lambda t: described(t, shingle)))
     n = rows.count()
     with_words = rows.where("digest IS NOT NULL")
-    one = with_words.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "sketch", "bands")).alias("r"))
+    one = with_words.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "n_shingles", "sketch", "bands")).alias("r"))
     nodes = cut(one.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "copies", "r.*"))
     label = similar_nodes(nodes, docs, text, shingle, percent, max(1, n))
     named = label.join(nodes.select("node", "least"), "node")
