@@ -118,6 +118,22 @@ def may_hold(rows: DataFrame, hashes: DataFrame, bits: int = 1 << 23) -> DataFra
     return rows.join(F.broadcast(cut(bitmap(hashes, bits))), hit, "left_semi")  # one row of bits / 8 bytes
 
 
+def aside(df: DataFrame, own: list[str], dropped: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns ``own`` under these names, in whatever letter case they come, and all others as ``__c0``, ``__c1``...; and the names as they were.
+
+    So an operator's own columns clash with none of its input's; ``toDF`` gives the names back. Columns named like one of ``dropped`` are left out.
+    """
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in dropped]
+    names, place = [df.columns[i] for i in kept], {}
+    for name in own:
+        found = [c for c in names if c == name] or [c for c in names if c.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"there is no column {name}")
+        place[names.index(found[0])] = name
+    slim = df.toDF(*[f"__in{i}" for i in range(len(df.columns))]).select(*[F.col(f"__in{i}").alias(place.get(k, f"__c{k}")) for k, i in enumerate(kept)])
+    return slim, names
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a value as text, modulo ``n``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import claim, cut, cut_small, may_hold, meet, release
+from quernel.llm.common import aside, claim, cut, cut_small, may_hold, meet, release
 from quernel.llm.components import connected_components
 
 WORDS = 5
@@ -435,6 +435,7 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     Rows whose text has no words are in no group and stay; of rows equal in
     doc_id and text the one whose other columns come first as JSON stays.
     """
+    docs, names = aside(docs, ["doc_id", "text"])
     last = F.lit((1 << 63) - 1)
     told = groups(docs, **params).select(F.coalesce("doc_id", last).alias("__d"), "text_hash", "group")
     kept = told.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("__d", "text_hash")).alias("k")).select("k.*")
@@ -443,7 +444,7 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     order = F.to_json(F.struct(*others)) if others else F.lit("")
     row = F.min_by(F.struct(*docs.columns), order).alias("row")
-    return rows.join(kept, ["__d", "__t"], "left_semi").groupBy("__d", "__t").agg(row).select("row.*")
+    return rows.join(kept, ["__d", "__t"], "left_semi").groupBy("__d", "__t").agg(row).select("row.*").toDF(*names)
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small: int = 512, depth: int = 5, block: int = 256, margin: float = 0.25, pivots: int = 3) -> DataFrame:

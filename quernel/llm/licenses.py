@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, meet
+from quernel.llm.common import aside, cut, meet
 
 # Public licence statements and texts, (licence, kind, text).
 TEMPLATES = [
@@ -151,6 +151,9 @@ def cosines(units: DataFrame, weights: Weights, keys: list[str]) -> DataFrame:
     return best.select(*keys, (-F.col("best.t")).alias("template"), "best.score")
 
 
+TAKEN = ("license", "score", "license_from", "license_dir", "license_lines")
+
+
 def scan_licenses(files: DataFrame, threshold: float = 0.75, templates=None, salts: int = 32) -> DataFrame:
     """Add ``license``, ``score``, ``license_from``, ``license_dir``, ``license_lines`` to files (path, text, ...).
 
@@ -160,6 +163,7 @@ def scan_licenses(files: DataFrame, threshold: float = 0.75, templates=None, sal
     equal in path and text are scanned once and all come back. Other columns of
     ``files`` stay; those named as a result column are replaced.
     """
+    files, asked = aside(files, ["path", "text"], TAKEN)
     templates = TEMPLATES if templates is None else templates
     spark = files.sparkSession
     slim = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -201,19 +205,18 @@ def scan_licenses(files: DataFrame, threshold: float = 0.75, templates=None, sal
     # a licence high up comes to every directory below it
     counted = given.join(up.groupBy("dir").agg(F.count("*").alias("n")), "dir")
     near = meet(up, counted, ["dir"], up.count()).groupBy("of").agg(F.max_by(F.struct("dir", "dir_license", "dir_score"), F.length("dir")).alias("near"))
-    near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.col("of").alias("__of"), "__salt", "near")
-    taken = ("license", "score", "license_from", "license_dir", "license_lines")
-    kept = [c for c in files.columns if c not in taken]
+    near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.col("of").alias("__of"), "__salt", F.col("near").alias("__near"))
+    kept = files.columns
     slim_rows = rows.select(*kept, "__p", "__t", "__dir", F.pmod(F.xxhash64("__p", "__t"), F.lit(salts)).cast("int").alias("__s"))
     mine = own.select(F.col("p").alias("__op"), F.col("t").alias("__ot"), F.col("license").alias("__l"), F.col("score").alias("__sc"), F.col("license_lines").alias("__n"))
     joined = slim_rows.join(mine, (F.col("__p") == F.col("__op")) & (F.col("__t") == F.col("__ot")), "left")
     joined = joined.join(near, (F.col("__dir") == F.col("__of")) & (F.col("__s") == F.col("__salt")) & (F.col("__p") != ""), "left")
     has = F.col("__l").isNotNull()
     return joined.select(
-        *kept, F.coalesce("__l", "near.dir_license").alias("license"), F.coalesce("__sc", "near.dir_score").alias("score"),
-        F.when(has, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("license_from"),
-        F.when(~has, F.col("near.dir")).alias("license_dir"), F.coalesce("__n", F.lit(0)).cast("long").alias("license_lines"),
-    )
+        *kept, F.coalesce("__l", "__near.dir_license").alias("license"), F.coalesce("__sc", "__near.dir_score").alias("score"),
+        F.when(has, "own").when(F.col("__near").isNotNull(), "inherited").otherwise("none").alias("license_from"),
+        F.when(~has, F.col("__near.dir")).alias("license_dir"), F.coalesce("__n", F.lit(0)).cast("long").alias("license_lines"),
+    ).toDF(*asked, *TAKEN)
 
 
 def op8_license_scans(spark, sf_dir):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, cut_small, discard, may_hold, meet, stored
+from quernel.llm.common import aside, cut, cut_small, discard, may_hold, meet, stored
 
 MIN_CHARS = 20  # of lines that are compared by edits; one edit in a shorter line is a large part of it
 LAST_ID = (1 << 63) - 1
@@ -153,17 +153,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
     with tabs as spaces; blank lines stay, and those of under ``min_chars``
     characters go for equal ones only. ``max_edits`` is 0 or 1. Rows equal in doc_id and text count as one document
     and all keep the same lines. A null text stays null; other columns stay as
-    they are. An empty table gives an empty table.
+    they are, whatever their names. An empty table gives an empty table.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
+    docs, names = aside(docs, ["doc_id", "text"], ("lines_removed",))
     gone = removed_lines(docs, min_chars, max_edits).groupBy("d", "t").agg(F.sort_array(F.collect_set("l")).alias("gone_lines"))
     gone = gone.withColumnsRenamed({"d": "__d", "t": "__t", "gone_lines": "__gone"})
     text = F.col("text").cast("string")
     joined = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = [F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "lines_removed"]
-    return joined.select(*out, F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("lines_removed"))
+    out = [F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    return joined.select(*out, F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("lines_removed")).toDF(*names, "lines_removed")
 
 
 def op4_line_dedup(spark, sf_dir):
