@@ -7,14 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import jaccard, line_dedup, packing, toxicity
-from quernel.llm.common import discard, stored
+from quernel.llm.common import aside, discard, stored
+from quernel.llm.words import quoted
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model fitted on this stage's input and ``labels`` predicts to be toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.with_scores(docs, toxicity.fit(docs, labels))
-    return scored.where("predicted = 0").select(*docs.columns)
+    slim, names = aside(docs, ["doc_id", "text"])
+    scored = toxicity.with_scores(slim, toxicity.fit(slim, labels))
+    return scored.where("predicted = 0").select(*slim.columns).toDF(*names)
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +25,12 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by n-gram Jaccard similarity the one of least doc_id stays."""
-    return jaccard.one_of_each(docs).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
