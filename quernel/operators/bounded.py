@@ -27,7 +27,7 @@ def project(df: DataFrame, declared: list[str], default: list[str], requested: I
 def limited(df: DataFrame, order: list[Column], limit: int | None = 100) -> DataFrame:
     """The first ``limit`` rows and, in each, ``total`` and ``truncated``; all rows without a limit. With one the input is read once."""
     if limit is None:
-        out = df.orderBy(*order).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
+        out = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).orderBy(*order)  # one row; a join's inputs need not keep their order
         return out.withColumn("truncated", F.lit(False))
     return rows_of(one_pass(df, order, limit), "total").withColumn("truncated", F.col("total") > limit)
 
