@@ -11,7 +11,10 @@ import pytest
 
 from quernel.llm import catalog, merge_dropout
 from tests.llm.test_edges import brute_groups, brute_top_k
+from tests.llm.test_fill_middle import brute as brute_cuts
 from tests.llm.test_line_dedup import brute
+from tests.llm.test_minhash import brute as brute_shingles
+from tests.llm.test_resample import brute as brute_draws
 
 LONG = "word " * 9000 + "end"
 TEXTS = [
@@ -21,6 +24,7 @@ TEXTS = [
 ]
 OTHER = ["".join(chr(97 + (i * k + k * k) % 26) for k in range(1, 8)) for i in range(97)]
 ROWS = TEXTS + [(100 + i, f"{'you villain ' if i % 3 == 0 else ''}plain words {OTHER[i]} of {OTHER[i * 7 % 97]} and {OTHER[i * 5 % 89]} more {'villain' if i % 3 == 0 else 'friend'}") for i in range(80)]
+TARGET = ["plain words of a fine day by the sea", None]
 VECTORS = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (20, [0.5, -1.0]), (3, None), (4, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, []), (5, [None, 2.0]), (7, [-3.0, 4.0]), (40, [1.0, 2.0])]
 PAGES = [(1, "u", None), (2, None, ""), (None, "u", "<p>A line of text that stands alone.</p>"), (4, "u", "<nav><a href=x>Home</a></nav><article><h1>T</h1><p>The main text is here, and it goes on for a while &amp; more.</p></article>")]
 
@@ -34,6 +38,7 @@ def sf_dir(spark, tmp_path_factory):
     labels = [(d, 1, int("villain" in (t or "")), "x") for d, t in ROWS if d is not None and d >= 100] + [(None, None, 1, "x"), (9, 0, None, "x")]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(i, v, "c") for i, v in VECTORS], "vec_id long, embedding array<float>, score string").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(1, TARGET[0], "x"), (None, None, "x")], "item_id long, text string, score string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, text string").write.parquet(f"{folder}/pages.parquet")
     return folder
 
@@ -41,7 +46,7 @@ def sf_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty_dir(spark, sf_dir, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "embeddings", "pages"):
+    for name in ("documents", "labels", "embeddings", "pages", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -165,6 +170,22 @@ def test_op10_packs(spark, sf_dir):
     assert n == -(-sum(p[3] for p in pieces_of(ROWS)) // 2048) or n <= 1.1 * sum(p[3] for p in pieces_of(ROWS)) / 2048 + 1
 
 
+def test_op11_draws(spark, sf_dir):
+    got = rows(spark, "op11_importance_resampling", sf_dir)
+    same([(r["doc_id"], r["n_features"], r["weight"], r["score"], r["rank"]) for r in got], brute_draws(ROWS, TARGET))
+
+
+def test_op12_cuts(spark, sf_dir):
+    sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+    got = rows(spark, "op12_fill_in_middle", sf_dir)
+    want = [(*(c := brute_cuts(d, t))[:5], sha(c[5]), sha(t)) for d, t in ROWS]
+    same([(r["doc_id"], r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output_sha256"], r["restored_sha256"]) for r in got], want)
+
+
+def test_op13_groups(spark, sf_dir):
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(spark, "op13_minhash_dedup", sf_dir)) == brute_shingles(ROWS)
+
+
 # -- the pipeline -----------------------------------------------------------------------------
 
 
