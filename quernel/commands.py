@@ -127,7 +127,7 @@ def search_text(
     found = found.join(extra, "path").withColumnRenamed("path", "file")
     place = F.concat_ws(":", "line", "column")
     found = found.withColumn("id", entity_id("text", content_hash=F.col("content_hash"), path=F.col("file"), start=place, length=F.length("match"), query=F.lit(query), mode=F.lit(mode)))
-    order = [F.col(c) for c in ("file", "line", "column")]
+    order = [bounded.utf16_order("file"), F.col("line"), F.col("column")]
     if regex or full:
         return _bounded("search text", found, order, limit, list(fields), full)
     kept = _fields("search text", found.limit(0), list(fields)).columns

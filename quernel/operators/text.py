@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators import evidence
-from quernel.operators.bounded import early_stop
+from quernel.operators.bounded import early_stop, utf16_order
 
 TERMINATOR = "\r\n|\n|\r"
 #: The places after terminators.
@@ -348,7 +348,7 @@ def search_evidence(files: DataFrame, query: str, limit: int, regex: bool = Fals
     rows = opened.select("path", "x.line", "x.column", "x.match", "x.preview", "status", F.coalesce("k", F.lit(0)).alias("k"))
     one = F.col("k") == 0  # a file's first row stands for the file
     states = {n: one & (F.col("status") == n) for n in ("analyzed", "binary", "undecodable", "unsupported", "unreadable", "regular_expression_timeout")}
-    order = [F.asc("path"), F.asc("line"), F.asc("column")]
+    order = [utf16_order("path"), F.asc("line"), F.asc("column")]
     out = evidence.one_pass(rows, order, limit, {"considered": one, **states}, F.col("line").isNotNull())
     late = F.col("regular_expression_timeout") > 0
     reason = F.when(late, evidence.TIMEOUT_REASON).when(F.col("total") > limit, evidence.LIMIT_REASON)
@@ -372,7 +372,7 @@ def first_matches(files: DataFrame, query: str, limit: int, case_sensitive: bool
     Of a file at most ``limit`` + 1 matches are located, so the total is known only if no match is left out.
     """
     found = located(holding(files, query, case_sensitive).select("path", "text"), quoted(query, case_sensitive), limit + 1)
-    return early_stop(_rows(found), [F.col("path"), F.col("line"), F.col("column")], limit)
+    return early_stop(_rows(found), [utf16_order("path"), F.col("line"), F.col("column")], limit)
 
 
 def line_span(files: DataFrame, first: int, last: int, budget: int = 4000) -> DataFrame:

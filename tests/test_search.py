@@ -127,6 +127,13 @@ def test_coverage_rules(spark, values, what):
             row.select(evidence.checked(c)).collect()
 
 
+def test_paths_come_in_the_order_of_utf16_units(spark):
+    df = spark.createDataFrame([(p, "foo") for p in ("\ufffd", "\U00010000", "a", "\ue000")], "path string, text string")
+    r = text.search_evidence(df, "foo", 9).first()
+    assert [x["path"] for x in r["rows"]] == ["a", "\U00010000", "\ue000", "\ufffd"]
+    assert {x["path"] for x in text.first_matches(df, "foo", 2).collect()} == {"a", "\U00010000"}
+
+
 def test_search_evidence(spark):
     rows = [("a", "foo foo", None), ("b", None, "binary"), ("c", "foo", "success"), ("d", None, "success"), ("e", "bar", None), ("f", "a" * 40 + "b foo", None)]
     df = spark.createDataFrame(rows, "path string, text string, status string")
