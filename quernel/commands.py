@@ -59,9 +59,16 @@ class Corpus:
             raise ValueError("no projects are given")
         return self.session.get(lambda: files.owners(self.files, self.projects, self.linked), "owners")
 
-    def facts(self) -> DataFrame:
-        """Syntax facts of all C# files, parsed once a session."""
-        return self.session.get(lambda: csharp.syntax_facts(self.files.where(F.col("path").rlike(r"(?i)\.cs$"))), "facts")
+    def facts(self, *kinds: str) -> DataFrame:
+        """Syntax facts of some kinds of all C# files, parsed once a session."""
+        return self.session.get(lambda: csharp.syntax_facts(self._sources(), list(kinds)), "facts", *kinds)
+
+    def facts_of(self, path: str) -> DataFrame:
+        """Declarations of one C# file; no other one is parsed."""
+        return csharp.syntax_facts(self._sources().where(F.col("path") == path), csharp.DECLARED)
+
+    def _sources(self) -> DataFrame:
+        return self.files.where(F.col("path").rlike(r"(?i)\.cs$"))
 
 
 def _fields(command: str, df: DataFrame, fields: list[str]) -> DataFrame:
@@ -136,7 +143,7 @@ def search_text(
 
 def declared_symbols(corpus: Corpus) -> DataFrame:
     """Declarations of the C# files with identities, owners and classification."""
-    d = csharp.declarations(corpus.facts()).join(worktree.traversed(corpus.files, corpus.rules, include_generated=True).select("path", "is_generated").distinct(), "path")
+    d = csharp.declarations(corpus.facts(*csharp.DECLARED)).join(worktree.traversed(corpus.files, corpus.rules, include_generated=True).select("path", "is_generated").distinct(), "path")
     d = d.withColumn("id", symbol_id(F.col("name"), F.sha2(F.concat_ws("\n", "kind", "qualified", "signature"), 256), F.sha2(F.concat_ws("\n", "path", "line", "column"), 256)))
     if corpus.projects is None:
         return d.withColumns({"owning_projects": F.array().cast("array<string>"), "is_test": files.test_named(F.col("path"))})
@@ -170,6 +177,10 @@ def search_implementations(type_edges: DataFrame, member_edges: DataFrame, decla
     return _bounded("search implementations", found, [*bounded.evidence_order("file", "line", "symbol"), F.col("id")], limit, list(fields), full)
 
 
+#: Constructs of a syntax search, and the facts that they are found among.
+CONSTRUCTS = {"invocation": "invocation", "class": "class", "object-creation": "object_creation", "catch": "catch"}
+
+
 def search_syntax(
     corpus: Corpus, construct: str, value: str | None = None, empty: bool = False, paths: list[str] = (), include_generated: bool = False,
     verify: DataFrame | None = None, limit: int = LIMIT, full: bool = False, fields: list[str] = (),
@@ -179,17 +190,17 @@ def search_syntax(
     ``verify`` is a table (id, status, reasons) from ``semantics.verified``.
     """
     seen = corpus.scoped(paths, include_generated=include_generated)
-    facts = corpus.facts().join(seen.select("path").distinct(), "path", "left_semi")
+    if construct not in CONSTRUCTS:
+        raise ValueError(f"unknown construct {construct!r}")
+    facts = corpus.facts(CONSTRUCTS[construct]).join(seen.select("path").distinct(), "path", "left_semi")
     if construct == "invocation":
         found = csharp.invocations(facts, value)
     elif construct == "class":
         found = csharp.classes_with(facts, value)
     elif construct == "object-creation":
         found = csharp.object_creations(facts, value)
-    elif construct == "catch":
-        found = csharp.catches(facts, value, empty)
     else:
-        raise ValueError(f"unknown construct {construct!r}")
+        found = csharp.catches(facts, value, empty)
     found = csharp.identified(found, seen, f"{construct}:{value}:{empty}").withColumns({"file": F.col("path"), "construct": F.lit(construct)})
     if verify is not None:
         found = found.join(verify.select("id", "status", "reasons"), "id", "left")
@@ -206,7 +217,7 @@ def show_symbol(corpus: Corpus, symbol: str, most: int = 1000) -> DataFrame:
     same = d.where((F.get(parts, F.lit(1)) == asked[1]) & (F.get(parts, F.lit(2)) == asked[2]))
     exact = same.where(F.col("id") == symbol)
     chosen = exact.unionByName(same.join(exact.agg(F.count("*").alias("n")).where("n = 0"), F.lit(True), "left_semi").where(F.col("id") != symbol))
-    shown = context.show_symbol(corpus.facts(), corpus.files).withColumns({"shown_kind": F.replace("kind", F.lit("_"), F.lit("-")), "q": F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name")}).drop("kind", "name")
+    shown = context.show_symbol(corpus.facts(*csharp.DECLARED), corpus.files).withColumns({"shown_kind": F.replace("kind", F.lit("_"), F.lit("-")), "q": F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name")}).drop("kind", "name")
     met = chosen.join(shown, (chosen["path"] == shown["path"]) & (chosen["qualified"] == shown["q"])).drop(shown["path"])
     kept, size, more = bounded.bounded_text(F.col("body"), most)
     return met.where(F.col("kind") == F.col("shown_kind")).select(
@@ -227,13 +238,13 @@ def context_symbol(corpus: Corpus, name: str, include: list[str] = (), most: int
     unknown = context.missing_sections(list(include), list(SECTIONS))
     if unknown:
         raise ValueError(f"unknown sections {unknown}; there are {list(SECTIONS)}")
-    shown = context.show_symbol(corpus.facts(), corpus.files).where(F.col("name") == name)
-    all_sections = context.sections(shown, corpus.owners(), csharp.outline(corpus.facts()))
+    shown = context.show_symbol(corpus.facts(*csharp.DECLARED), corpus.files).where(F.col("name") == name)
+    all_sections = context.sections(shown, corpus.owners(), csharp.outline(corpus.facts(*csharp.DECLARED)))
     return context.context(all_sections.where(F.col("section").isin(list(include or SECTIONS))), most)
 
 
 def outline(corpus: Corpus, path: str, limit: int = LIMIT, full: bool = False, fields: list[str] = ()) -> DataFrame:
-    rows = csharp.outline(corpus.facts().where(F.col("path") == path), (1 << 30) if full else limit).withColumn("file", F.col("path"))
+    rows = csharp.outline(corpus.facts_of(path), (1 << 30) if full else limit).withColumn("file", F.col("path"))
     return _fields("outline", rows, list(fields)).orderBy("seq")
 
 

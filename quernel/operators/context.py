@@ -18,18 +18,15 @@ def show_symbol(facts: DataFrame, files: DataFrame) -> DataFrame:
     name, members are one level below.
     """
     declared = facts.where(~F.col("kind").isin("invocation", "object_creation", "catch"))
-    overloads = declared.groupBy("path", "container", "kind", "name").agg(F.count("*").alias("overloads"))
-    members = declared.groupBy("path", F.col("container").alias("qualified")).agg(F.count("*").alias("members"))
-    qualified = F.concat_ws(".", F.when(F.col("container") != "", F.col("container")), "name")
     body = F.col("text").substr(F.col("start") + 1, F.col("length"))
     # commas that part parameters, not those of type arguments
     flat = F.regexp_replace(F.regexp_replace("signature", "<[^<>]*>", ""), "<[^<>]*>", "")
     parameters = F.when(F.length("signature") <= 2, 0).otherwise(F.size(F.split(flat, ",", -1)))
-    met = declared.join(overloads, ["path", "container", "kind", "name"]).withColumn("qualified", qualified).join(members, ["path", "qualified"], "left").join(files.select("path", "text"), "path")
+    met = declared.join(files.select("path", "text").hint("merge"), "path")  # texts are too large to broadcast, however few bytes their table has
     return met.select(
         "path", "kind", "name", "container", body.alias("body"), "documentation", F.size(F.split(body, TERMINATOR, -1)).alias("lines"), "overloads",
         F.size("attributes").alias("attributes"), F.size("modifiers").alias("modifiers"), parameters.alias("parameters"), "type_parameters",
-        F.coalesce("members", F.lit(0).cast("long")).alias("members"), F.size("bases").alias("bases"),
+        "members", F.size("bases").alias("bases"),
     )
 
 
