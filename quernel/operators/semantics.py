@@ -128,7 +128,7 @@ def states_of(candidates: DataFrame, variants: DataFrame) -> DataFrame:
     """
     held = variants.where("status != 'failed'").select("variant", "status", "symbol", "reason", F.explode("sources").alias("source"))
     failed = variants.where("status = 'failed'").select("variant", F.lit("unresolved").alias("status"), F.lit(None).cast("string").alias("symbol"), "reason", F.col("project").alias("owner"))
-    met = candidates.select("target", F.col("id").alias("candidate"), "source").join(held, "source").drop("source")
+    met = candidates.select("target", F.col("id").alias("candidate"), "source").join(held.hint("merge"), "source").drop("source")
     owned = candidates.select("target", F.col("id").alias("candidate"), "owner").join(failed, "owner").drop("owner")
     both = met.unionByName(owned).distinct()
     alone = candidates.select("target", F.col("id").alias("candidate")).join(both.select("target", "candidate").distinct(), ["target", "candidate"], "left_anti")

@@ -54,14 +54,15 @@ def _beginnings(text: Column, lengths: list[int]) -> Column:
 def ranked_matches(queries: DataFrame, declarations: DataFrame) -> DataFrame:
     """(target, id, rank): the declarations (id, name, qualified) of the best rank that each query (target) has, as ``rank_of`` gives it."""
     queries = cut(queries.select("target").distinct().withColumn("q", F.lower("target")))
-    names = declarations.select("id", "name", "qualified")
+    # declarations that share their names match alike: one of each stands for all until the end
+    names = cut(declarations.groupBy("name", "qualified").agg(F.min("id").alias("id")).select("id", "name", "qualified"))
     low = names.select("id", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified")))).alias("q"))
     found = []
 
     def settle(pairs: DataFrame, asked: DataFrame) -> DataFrame:
         ranks = pairs.distinct().join(names, "id").withColumn("rank", rank_of(F.col("name"), F.col("qualified"), F.col("target"))).where("rank IS NOT NULL")
         best = ranks.groupBy("target").agg(F.min("rank").alias("best"))
-        found.append(cut(ranks.join(best, "target").where("rank = best").select("target", "id", "rank")))
+        found.append(cut(ranks.join(best, "target").where("rank = best").select("target", "name", "qualified", "rank")))
         return cut(asked.join(found[-1].select("target").distinct(), "target", "left_anti"))
 
     left = settle(queries.join(low, "q").select("target", "id"), queries)  # equal names
@@ -86,13 +87,15 @@ def ranked_matches(queries: DataFrame, declarations: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    alike = F.col("d.name").eqNullSafe(F.col("m.name")) & F.col("d.qualified").eqNullSafe(F.col("m.qualified"))
+    # a compressed table of few bytes has more declarations than a driver should hold, so they are never broadcast
+    return declarations.select("id", "name", "qualified").alias("d").hint("merge").join(out.alias("m"), alike).select("m.target", "d.id", "m.rank")
 
 
 def id_matches(ids: DataFrame, declarations: DataFrame) -> DataFrame:
     """(target, id, rank): declarations (id, name, stable, location) of identities (target, parsed): those at the very place, else all of the same stable part."""
     asked = ids.select("target", F.col("parsed.name").alias("name"), F.col("parsed.stable").alias("stable"), F.col("parsed.location").alias("place"))
-    met = asked.join(declarations.select("id", "name", "stable", "location"), ["name", "stable"])
+    met = asked.join(declarations.select("id", "name", "stable", "location").hint("merge"), ["name", "stable"])
     met = met.select("target", "id", F.when(F.col("place") == F.col("location"), 0).otherwise(1).alias("rank"))
     best = met.groupBy("target").agg(F.min("rank").alias("best"))
     return met.join(best, "target").where("rank = best").select("target", "id", "rank")
@@ -111,7 +114,7 @@ def resolve_batch(targets: DataFrame, declarations: DataFrame, variants: DataFra
     asked = cut(forms(targets))
     matches = ranked_matches(asked.where("form = 'query'"), declarations).unionByName(id_matches(asked.where("form = 'id'"), declarations))
     matches = cut(matches)
-    chosen = matches.join(declarations.select("id", "source", "owner"), "id")
+    chosen = matches.join(declarations.select("id", "source", "owner").hint("merge"), "id")
     states = cut(states_of(chosen, variants))
     resolved = states.where("status = 'resolved'").select("target", "candidate").distinct()
     groups = same_symbol(states).join(resolved, ["target", "candidate"], "left_semi").groupBy("target").agg(F.countDistinct("grouping").alias("groups"))

@@ -186,5 +186,5 @@ def target_batch(spark, sf_dir):
     bound = F.col("id") % 7 != 3
     variants = placed.select(F.lit("v").alias("variant"), F.lit(None).cast("string").alias("project"), F.array("source").alias("sources"), F.when(bound, "resolved").otherwise("unresolved").alias("status"), F.when(bound, F.col("stable")).alias("symbol"), F.when(~bound, "binding.failed").alias("reason"))
     out, _ = targets.resolve_batch(asked.unionByName(ids.select("target")), placed, variants)
-    named = out.join(ids.withColumnRenamed("target", "t"), F.col("target") == F.col("t"), "left")
+    named = out.join(ids.withColumnRenamed("target", "t").hint("merge"), F.col("target") == F.col("t"), "left")
     return named.select(F.coalesce("label", "target").alias("target"), "form", "status", "candidates", "groups")
