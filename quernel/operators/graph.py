@@ -150,22 +150,31 @@ def cycle_paths(edges: DataFrame, most: int = 8) -> DataFrame:
     return found
 
 
+#: Parts that the references to one project are dealt over.
+SALTS = 16
+
+
 def build_edges(instances: DataFrame, references: DataFrame) -> DataFrame:
     """(src, dst): edges between project instances (id, path, outer) with references (src, path) to projects.
 
     An outer build leads to the inner builds of its project; a reference leads to
     a project's outer build and its inner ones, or to the only build of a project
-    that has no outer one. References of outer builds lead nowhere.
+    that has no outer one. References of outer builds lead nowhere. An id is one
+    instance, of one path.
     """
+    instances, references = instances.distinct(), references.select("src", "path").distinct()
     outer = instances.where("outer").select(F.col("id").alias("o"), "path")
     inner = instances.where("NOT outer").select(F.col("id").alias("i"), "path")
     children = outer.join(inner, "path").select(F.col("o").alias("src"), F.col("i").alias("dst"))
     single = inner.join(outer, "path", "left_anti")
     one = single.groupBy("path").agg(F.min("i").alias("dst"), F.count("*").alias("n")).where("n = 1").select("path", "dst")
-    targets = outer.select("path", F.col("o").alias("dst")).unionByName(outer.join(inner, "path").select("path", F.col("i").alias("dst"))).unionByName(one)
+    targets = outer.select("path", F.col("o").alias("dst")).unionByName(inner.join(outer, "path", "left_semi").select("path", F.col("i").alias("dst"))).unionByName(one)
     sources = instances.where("NOT outer").select(F.col("id").alias("src"))
-    met = references.join(sources, "src", "left_semi").join(targets, "path").select("src", "dst")
-    return children.unionByName(met).distinct()
+    # edges are as many as references times builds: all inputs are distinct, so no edge need meet its like, and a path's references are dealt over tasks
+    dealt = references.join(sources, "src", "left_semi").withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(SALTS)).cast("int"))
+    each = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = dealt.join(each.hint("merge"), ["path", "salt"]).select("src", "dst")
+    return children.unionByName(met)
 
 
 # -- levels, completeness, paths between two nodes, instances ---------------------------------
