@@ -8,12 +8,13 @@ similarity whatever their sizes. ``ROWS`` bins are a band, and equal bands a buc
 
 Equal sets are one node. A bucket gives edges from its members to one centre, never
 pairs: each node meets the least centres of all its buckets, and, if asked for, in
-buckets that still hold several components each member meets another centre in
+buckets that still hold several components each member meets other centres in
 rounds. Edges are checked on signatures, which drops what is far from similar, then
 on the full sets. What the stars leave apart is settled exactly: nodes that share
 rare shingles are found by these, and for all others what isn't rare bounds their
-similarity, so that few of a bucket's pairs are left to compare. So no link of two
-nodes with a common bucket is lost.
+similarity, so that few of a bucket's pairs are left to compare. They are compared
+inside blocks, which give links between components and no row for a pair. So no link
+of two nodes with a common bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.common import cut, cut_small, may_hold, meet, release, table
 from quernel.llm.components import connected_components
+from quernel.llm.jaccard import in_groups
 from quernel.llm.words import NOT_SPACE, map_texts, quoted, words
 
 SHINGLE = 2
@@ -39,7 +42,7 @@ BINS = ROWS * BANDS
 CENTRES = 3
 #: More star rounds in the buckets that hold several components; blocks of that many members do the rest.
 STARS = 0
-BLOCK = 512
+BLOCK = 1024
 #: A shingle that so many nodes have at most is rare among what the stars left apart.
 RARE = 64
 #: A signature's share of equal bins is off by 0.026 at 0.8; pairs 4.5 times that below aren't links, but for 3 in a million.
@@ -123,6 +126,11 @@ def may_link(a, b, common, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
+def equal_bins(percent: int) -> float:
+    """So many bins of the sketches of a link are equal at least; a byte is equal by chance once in 256."""
+    return BINS * ((SURELY_LESS - (0.8 - percent / 100)) * (1 - 1 / 256) + 1 / 256)
+
+
 def linked(edges: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, bound: int) -> DataFrame:
     """The edges (a, b) whose sets have a Jaccard similarity of ``percent`` or more; b may be the end of any number of them."""
     ends = edges.groupBy("b").agg(F.count("*").alias("n"))
@@ -131,8 +139,8 @@ def linked(edges: DataFrame, nodes: DataFrame, members: DataFrame, percent: int,
     def near(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(a) else np.zeros(0)
-            yield batch.filter(pa.array(share >= SURELY_LESS - (0.8 - percent / 100))).select([0, 1])
+            same = (a == b).sum(axis=1) if len(a) else np.zeros(0)
+            yield batch.filter(pa.array(same >= equal_bins(percent))).select([0, 1])
 
     rows = edges.join(signs.select(F.col("node").alias("a"), F.col("sketch").alias("s"), F.col("n_shingles").alias("x")), "a")
     there = ends.join(signs.select(F.col("node").alias("b"), F.col("sketch").alias("o"), F.col("n_shingles").alias("y")), "b")
@@ -187,14 +195,19 @@ def similar_nodes(nodes: DataFrame, docs: DataFrame, text: str, size: int, perce
         if not left:
             break
         if turn < stars:
-            first = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("p"), F.col("node").alias("b"), F.col("component").alias("other"))).alias("first")
-            centres = live.groupBy("band").agg(F.count("*").alias("n"), first)
-            edges = meet(live.drop("n"), centres, ["band"], left).select(F.col("node").alias("a"), "component", "first.b", "first.other").where("component != other")
+            # of the other centres of a node's buckets those that come first; the order is the nodes' own, so buckets have the same centres
+            p = F.xxhash64(F.lit(turn), F.col("node"))
+            centres = live.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(p.alias("p"), F.col("node").alias("b"), F.col("component").alias("other"))).alias("first"))
+            met = meet(live.drop("n"), centres, ["band"], left).where(F.col("component") != F.col("first.other"))
+            first = F.slice(F.array_sort(F.collect_set(F.struct("first.p", "first.b"))), 1, CENTRES)
+            edges = cut(met.groupBy("node").agg(first.alias("first")).select(F.col("node").alias("a"), F.explode("first.b").alias("b")))
+            n = max(1, edges.count())
+            found = linked(edges, nodes, members, percent, n)
         else:
-            edges = blocks(live, nodes, members, percent, block)
-        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        n = max(1, edges.count())
-        found = cut_small(linked(edges, nodes, members, percent, n), n)
+            listed, rows = blocks(live, nodes, members, percent, block)
+            n = max(1, listed.count())
+            found = linked(listed, nodes, members, percent, n).unionByName(rows)
+        found = cut_small(found, max(n, left))
         new = found.count()
         if new:
             links = cut_small(links.unionByName(found), bound * CENTRES + new, let_go=True)
@@ -214,36 +227,69 @@ def rare_pairs(held: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
     return rows.groupBy("node").agg(F.count("*").alias("rare")), shared
 
 
-def blocks(live: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, block: int, rare: int = RARE) -> DataFrame:
-    """(a, b): the pairs of nodes in different components that may be similar enough.
+def blocks(live: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, block: int, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the pairs of nodes in different components that share rare shingles and may be similar enough; and links between the components of all others.
 
     Two nodes have in common the rare shingles that lists of their nodes tell, and at
     most as many others as the one with fewer has. Pairs that share rare ones come
     from those lists; of the rest the members of a bucket's largest component meet
-    the others only, in blocks, and a pair is kept if what isn't rare may be enough.
+    the others only, in blocks, and a pair is compared if what isn't rare may be enough.
     """
     label = live.groupBy("node").agg(F.min("component").alias("component"))
     held = members.join(label.select("node"), "node", "left_semi").select("node", F.explode("set").alias("h"))
     counts, shared = rare_pairs(held, rare)
-    about = label.join(nodes.select("node", "n_shingles", "bands"), "node").join(counts, "node", "left")
-    about = cut(about.select("node", "component", "bands", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("common")))
+    about = label.join(nodes.select("node", "n_shingles", "bands", "sketch"), "node").join(counts, "node", "left")
+    about = cut(about.select("node", "component", "bands", "sketch", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("common")))
     ends = [about.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("component", "size", "common")]) for n in ("a", "b")]
     enough = may_link(F.col("size_a"), F.col("size_b"), F.least("common_a", "common_b") + F.col("shared"), percent)
-    listed = shared.join(ends[0], "a").join(ends[1], "b").where((F.col("component_a") != F.col("component_b")) & enough).select("a", "b")
-    rows = cut(live.select("band", "node").join(about.where(may_link(F.col("size"), F.col("common"), F.col("common"), percent)), "node"))
+    listed = cut(shared.join(ends[0], "a").join(ends[1], "b").where((F.col("component_a") != F.col("component_b")) & enough).select("a", "b"))
+    rows = cut(live.select("band", "node").join(about.where(may_link(F.col("size"), F.col("common"), F.col("common"), percent)).select("node", "component"), "node"))
     parts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
-    main = main.select("band", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / block).cast("int").alias("few"), F.ceil(F.col("all") / (block * 128)).cast("int").alias("many"), F.col("all").alias("n")).where("few > 0")
+    main = main.select("band", F.col("m.component").alias("main"), *[F.ceil(n / block).cast("int").alias(name) for name, n in (("few", F.col("all") - F.col("m.n")), ("many", F.col("all")))], F.col("all").alias("n")).where("few > 0")
     rows = meet(rows, main, ["band"], 1 << 62)
     deal = lambda to: F.pmod(F.xxhash64("node", "band"), F.col(to)).cast("int")
-    before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("band")).cast("int") - 1)
-    a = rows.where("component != main").select("band", F.col("node").alias("a"), "component", F.col("size").alias("x"), F.col("common").alias("p"), before.alias("u"), deal("few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"))
-    b = rows.select("band", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("y"), F.col("common").alias("q"), before.alias("v"), deal("many").alias("j"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"))
-    same = (a["band"] == b["band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
-    # a pair of several common buckets is met in the first of them
-    wanted = (F.col("component") != F.col("other")) & may_link(F.col("x"), F.col("y"), F.least("p", "q"), percent) & ~F.arrays_overlap("u", "v")
-    met = a.join(b, same & wanted).select("a", "b")
-    return met.unionByName(listed)
+    over = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
+    left = rows.where("component != main").select("band", "node", F.lit(True).alias("left"), deal("few").alias("i"), over("many").alias("j"))
+    right = rows.select("band", "node", F.lit(False).alias("left"), deal("many").alias("j"), over("few").alias("i")).select(*left.columns)
+    whole = left.unionByName(right).join(about.join(members, "node"), "node")
+    return listed, in_groups(whole, ["band", "i", "j"], lambda pdf: compared(pdf, percent), "a long, b long")
+
+
+def compared(pdf: pd.DataFrame, percent: int) -> pd.DataFrame | None:
+    """Links (a, b) that join the components of a block's left and right nodes, as few as do it; a pair of several common buckets is met in the first of them."""
+    x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
+    if not len(x) or not len(y):
+        return None
+    band = np.int64(pdf["band"].iloc[0])
+    (sx, sy), (bx, by) = ([np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, BINS) for f in (x, y)], [np.stack(f["bands"].to_list()) for f in (x, y)])
+    (nx, ny), (px, py), (cx, cy), (ax, ay), (hx, hy) = ([f[c].to_numpy() for f in (x, y)] for c in ("size", "common", "component", "node", "set"))
+    at, least = int(np.flatnonzero(bx[0] == band)[0]), equal_bins(percent)
+    top: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := top.get(c, c)) != c:
+            top[c] = top.get(up, up)
+            c = up
+        return c
+
+    found = []
+    for k in range(0, len(x), 32):
+        part = slice(k, k + 32)
+        may = (cx[part, None] != cy[None]) & may_link(nx[part, None], ny[None], np.minimum(px[part, None], py[None]), percent)
+        i, j = np.nonzero(may)
+        i += k
+        for step in range(0, len(i), 8192):
+            p, q = i[step : step + 8192], j[step : step + 8192]
+            ok = (sx[p] == sy[q]).sum(axis=1) >= least
+            p, q = p[ok], q[ok]
+            ok = (bx[p] == by[q]).argmax(axis=1) == at
+            for u, v in zip(p[ok].tolist(), q[ok].tolist()):
+                r, s = find(int(cx[u])), find(int(cy[v]))
+                if r != s and may_link(int(nx[u]), int(ny[v]), len(np.intersect1d(hx[u], hy[v], assume_unique=True)), percent):
+                    top[max(r, s)] = min(r, s)
+                    found.append((ax[u], ay[v]))
+    return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -85,3 +85,30 @@ def test_sets_are_whole():
     h, first = minhash.sets(pa.array(["a b a b", None, "b a", "A\tB\nc", "solo"]), 2)
     sizes = np.diff(first).tolist()
     assert sizes == [2, 0, 1, 2, 1] and set(h[first[2] : first[3]]) < set(h[: first[1]])
+
+
+def test_no_row_stands_for_a_pair(spark, monkeypatch):
+    """Near copies that are nearly all just below the limit: their pairs are compared in blocks, and what goes on grows with the texts."""
+    r = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for p in r.choice(100, int(r.integers(3, 7)), replace=False):
+            w[int(p)] = f"x{k}p{p}"
+        rows.append((k, " ".join(w)))
+    met, linked = [], minhash.linked
+
+    def counted(edges, *rest):
+        met.append(edges.count())
+        return linked(edges, *rest)
+
+    monkeypatch.setattr(minhash, "linked", counted)
+    want = brute(rows)
+    assert got(spark, rows) == want and len({c for _, _, c, _ in want}) > 40
+    assert sum(met) <= 5 * len(rows)
+    met.clear()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash.similar_nodes, "__defaults__", (2, 16))  # star rounds first, then many blocks
+    assert Counter(tuple(r) for r in minhash.near_duplicates(df).collect()) == want
