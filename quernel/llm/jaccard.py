@@ -265,6 +265,18 @@ def candidate_edges(classes: DataFrame, n: int, runs: int, small: int, depth: in
     return edges
 
 
+def bundled(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components: each b hangs on the least of its heads, which hangs on the others.
+
+    A class has one head a bucket at most, so the heads of a class are a bounded
+    list. In a group of near copies most classes have the same few heads in many
+    buckets: what they say of these is one edge, however many say it.
+    """
+    heads = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("heads"))
+    others = heads.where(F.size("heads") > 1).select("a", F.explode("heads").alias("b")).where("a != b").distinct()
+    return heads.select("a", "b").unionByName(others)
+
+
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """How many tokens each set of ``x`` shares with each of ``y``."""
     if len(x) * len(y) <= 16:
@@ -465,7 +477,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, runs: int = 5, small:
         rows.where("key IS NOT NULL").groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"), F.min("doc_id").alias("copy_class"), F.min("sig").alias("sig")), n
     )
     edges = candidate_edges(classes.select("key", "sig"), n, runs, small, depth, threshold - margin)
-    grouped = connected_components(edges, n * runs * BRANCHES).withColumnRenamed("node", "key")
+    grouped = connected_components(bundled(edges), n * runs * BRANCHES).withColumnRenamed("node", "key")
     placed = grouped.join(classes.select("key", "text_hash", "copies"), "key").select("key", "text_hash", "copies", "component")
     members = cut_small(fetch_sets(docs, placed), n, rows_per_part=20_000, let_go=True)
     found = verified(members.drop("text_hash"), n, threshold, block, pivots)

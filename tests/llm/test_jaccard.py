@@ -45,3 +45,20 @@ def test_pivots_settle_what_blocks_would(spark):
     for pivots in (0, 1, 4):
         got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(df, block=8, pivots=pivots, margin=0.5).collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def test_classes_of_a_group_share_their_heads_edges(spark, monkeypatch):
+    """However many buckets of a large group a class is in, one edge of its own goes on to the components."""
+    r = np.random.default_rng(4)
+    texts = near_copies(r, 500)
+    met, components = [], jaccard.connected_components
+
+    def counted(edges, bound):
+        met.append(edges.count())
+        return components(edges, bound)
+
+    monkeypatch.setattr(jaccard, "connected_components", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(df, small=128).collect()}
+    assert [got[i] for i in range(len(texts))] == all_links(texts).tolist()
+    assert met[0] <= 2 * len(texts)
