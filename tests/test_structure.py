@@ -189,3 +189,14 @@ def test_target_batch(spark):
     assert got == want
     few = targets.replaced(out, spark.createDataFrame([(a,) for a in asked], "target string"), df).orderBy("place").collect()
     assert [(r["target"], r["id"], r["total"]) for r in few] == [(gone, 4, 2), (gone, 5, 2)]
+
+
+def test_a_table_that_is_a_folder_is_listed_once(spark, tmp_path):
+    from quernel.plans import workspace
+
+    for name in ("a.parquet", "b.parquet/part-0.parquet", "b.parquet/part-1.parquet"):
+        file = tmp_path / name
+        file.parent.mkdir(exist_ok=True)
+        file.write_bytes(b"x")
+    got = [tuple(r) for r in workspace.worktree_listed(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a.parquet", False), ("b.parquet", False)]
