@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.checkpoint import cut
 from quernel.functions.identity import symbol_id
 from quernel.operators import graph, nesting, targets
 from quernel.plans.catalog import DECLARATIONS, declarations, query
@@ -126,7 +127,7 @@ UNION ALL SELECT w.path, w.id, 'within', h.up, n.depth FROM w JOIN holds h ON h.
 def context_by_id(spark, sf_dir):
     """For the declarations of size 1: what each holds, and what it is in."""
     given = _intervals(spark, sf_dir)
-    nests, wanted = nesting.nested(given), given.where("p_size = 1").select("path", "id")
+    nests, wanted = cut(nesting.nested(given)), given.where("p_size = 1").select("path", "id")
     below = nesting.subtrees(nests, wanted).where("root != id").select("path", "root", F.lit("holds").alias("relation"), "id", "depth")
     above = nesting.enclosing(nests, wanted).where("of != id").select("path", F.col("of").alias("root"), F.lit("within").alias("relation"), "id", "depth")
     return below.unionByName(above)

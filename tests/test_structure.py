@@ -1,5 +1,7 @@
 """Snapshots, listed worktrees, project graphs, nesting and targets on small inputs."""
 
+import re
+
 import os
 import random
 
@@ -200,3 +202,15 @@ def test_a_table_that_is_a_folder_is_listed_once(spark, tmp_path):
         file.write_bytes(b"x")
     got = [tuple(r) for r in workspace.worktree_listed(spark, str(tmp_path)).collect()]
     assert sorted(got) == [("a.parquet", False), ("b.parquet", False)]
+
+
+def test_holders_are_met_by_blocks_of_openings_not_by_file(spark):
+    rows = [("hot.cs", 10 * k + j, 100 * k + 10 * j, 100 * (k + 1) - 10 * j) for k in range(60) for j in range(3)]
+    nests = nesting.nested(spark.createDataFrame(rows, "path string, id long, start long, end long"))
+    wanted = spark.createDataFrame([("hot.cs", 10 * k + 1) for k in range(0, 60, 7)], "path string, id long")
+    below, above = nesting.subtrees(nests, wanted), nesting.enclosing(nests, wanted)
+    ids = [10 * k for k in range(0, 60, 7)]
+    assert sorted((r.root, r.id) for r in below.collect()) == sorted((k + 1, k + j) for k in ids for j in (1, 2))
+    assert sorted((r.of, r.id) for r in above.collect()) == sorted((k + 1, k + j) for k in ids for j in (0, 1))
+    for met in (below, above):
+        assert not re.search(r"Join \[path#\d+\], \[path#\d+\], Inner", met._jdf.queryExecution().executedPlan().toString())
