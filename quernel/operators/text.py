@@ -118,6 +118,9 @@ def _line_of(starts: Column, offset: Column) -> Column:
     return F.aggregate(steps, span, half, lambda s: s["lo"])
 
 
+#: Matches of a text up to which each is placed by what stands before it; of more, by running sums over the text.
+FEW = 16
+
 MATCH = "array<struct<line: int, column: int, start: bigint, match: string, preview: string>>"
 
 
@@ -151,9 +154,27 @@ def located(files: DataFrame, pattern: str, most: int | None = None) -> DataFram
         lined = F.transform(hits, lambda h: F.struct(h["match"].alias("match"), h["start"].alias("start"), _line_of(starts, h["start"]).alias("line")))
         return F.transform(lined, lambda h: told(h, starts, lines_))
 
-    starts = running(wide(F.split(text, LINE_STARTS, -1)))  # the last number is where the text ends, which begins no line
-    pieces = let(mark, lambda m: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(m, F.lit("$0"), m)), m, -1))
-    found = let(pieces, lambda ps: let(running(wide(ps)), lambda at: let(starts, lambda ss: let(F.split(text, TERMINATOR, -1), lambda ls: placed(ps, at, F.slice(ss, F.lit(1), F.size(ss) - 1), ls)))))
+    def near(pieces: Column) -> Column:
+        odd = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
+        return F.transform(odd if most is None else F.slice(odd, F.lit(1), F.lit(most)), lambda i: let(F.array_join(F.slice(pieces, F.lit(1), i), ""), lambda before: by_prefix(F.get(pieces, i), before)))
+
+    def by_prefix(matched: Column, before: Column) -> Column:
+        line = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        tail = F.substring_index(before, "\n", -1)
+        content = F.concat(tail, F.substring_index(F.substring(text, F.length(before) + 1, F.lit((1 << 31) - 1)), "\n", 1))
+        shown = let(F.struct(content.alias("c"), F.length(tail).alias("s")), lambda x: F.struct(x["s"].alias("s"), preview(x["c"], x["s"]).alias("p")))
+        told_ = lambda x: F.struct(line.cast("int").alias("line"), (x["s"] + 1).cast("int").alias("column"), F.length(before).cast("long").alias("start"), matched.alias("match"), x["p"].alias("preview"))
+        return let(shown, told_)
+
+    def far(pieces: Column) -> Column:
+        starts = running(wide(F.split(text, LINE_STARTS, -1)))  # the last number is where the text ends, which begins no line
+        return let(running(wide(pieces)), lambda at: let(starts, lambda ss: let(F.split(text, TERMINATOR, -1), lambda ls: placed(pieces, at, F.slice(ss, F.lit(1), F.size(ss) - 1), ls))))
+
+    # a text of line feeds only whose characters are a unit each needs no running sums for a few matches
+    plain = ~F.contains(text, F.lit("\r")) & (utf16_length(text) == F.length(text))
+    at_once = -1 if most is None else 2 * max(most, 1) + 1  # what is left of the text then is one piece
+    pieces = let(mark, lambda m: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(m, F.lit("$0"), m)), m, at_once))
+    found = let(pieces, lambda ps: F.when((F.size(ps) <= 2 * FEW + 1) & plain, near(ps)).otherwise(far(ps)))
     return files.select("*", F.when(text.rlike(pattern), found).otherwise(F.array().cast(MATCH)).alias("found"))
 
 

@@ -148,3 +148,13 @@ def test_search_evidence(spark):
     r = text.search_evidence(df, "(a|aa)+$|o+", 9, regex=True, case_sensitive=True, deadline=0.2).first()
     assert (r["regular_expression_timeout"], r["evidence"]["coverage"]["partial_reason"], r["total_known"]) == (1, evidence.TIMEOUT_REASON, False)
     assert text.search_evidence(df.where("path = 'z'"), "foo", 3).first()["evidence"]["coverage"]["considered"] == 0
+
+
+def test_few_matches_are_placed_as_many_are(spark, monkeypatch):
+    texts = ["", "a\nthe b\r\nthe c", "the", "\nthe\n\nthe", "😀the the\n😀 the", "é the é\n  the", "the " * 40, None, "x" * 300 + " the " + "y" * 300 + "\nthe", "the\rthe", "日本the\n the. \n"]
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    told = {}
+    for few in (0, 16):
+        monkeypatch.setattr(text, "FEW", few)
+        told[few] = [sorted(text.located(files, p, most).select("path", "found").collect()) for p in ("the", "(?m)^") for most in (None, 0, 1, 5)]
+    assert told[0] == told[16]
