@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,22 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
     _held[owner] = clear
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the Python workers drop what operators cached in them, before a step that runs none: a short task for each core.
+
+    Idle workers live on for a minute beside the JVM. A worker that no task reaches keeps its cache, which is bounded.
+    """
+    cores = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("", lambda: None)
+        gc.collect()
+        time.sleep(0.1)  # so that no worker takes two tasks
+        yield from batches
+
+    spark.range(0, cores, 1, cores).mapInArrow(run, "id long").count()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,9 +1,8 @@
 """Snapshots, listed worktrees, project graphs, nesting and targets on small inputs."""
 
-import re
-
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
