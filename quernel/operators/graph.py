@@ -6,6 +6,8 @@ join with the edges and one anti-join with what is known, cut by a checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,22 +69,22 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     loops = edges.where("src = dst").select(F.col("src").alias("node")).withColumn("loop", F.lit(True))
-    left, rest, done = cut(nodes), cut(edges.where("src != dst")), None
+    left, rest, done = cut(nodes), cut(edges.where("src != dst")), []
     while left.take(1):
-        both = rest.select(F.col("src").alias("node")).distinct().intersect(rest.select(F.col("dst").alias("node")).distinct())
-        lone = left.subtract(both).withColumn("component", F.col("node"))
+        stay = cut(rest.select(F.col("src").alias("node")).distinct().intersect(rest.select(F.col("dst").alias("node")).distinct()))
+        lone = cut(left.join(stay, "node", "left_anti").withColumn("component", F.col("node")))
         if not lone.take(1):
             color = spread_least(rest, left.withColumn("label", F.col("node")))
             inside = rest.join(color.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
             back = closure_within(reverse(inside), color.where("node = label"))
-            lone = back.select("node", F.col("label").alias("component"))
-        lone = cut(lone)
-        done = lone if done is None else cut(done.unionByName(lone))
-        gone = lone.select("node")
-        left = cut(left.join(gone, "node", "left_anti"))
-        rest = cut(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if done is None:
-        done = nodes.withColumn("component", F.col("node"))
+            lone = cut(back.select("node", F.col("label").alias("component")))
+            stay = cut(left.join(lone.select("node"), "node", "left_anti"))
+        done.append(lone)  # what is done is written once, but for a plan of few parts
+        if len(done) == 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        left = stay
+        rest = cut(rest.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    done = reduce(DataFrame.unionByName, done) if done else nodes.withColumn("component", F.col("node"))
     sizes = done.groupBy("component").agg(F.count("*").alias("n"))
     out = done.join(sizes, "component").join(loops, "node", "left")
     return out.select("node", "component", ((F.col("n") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic"))
@@ -183,26 +185,30 @@ def build_edges(instances: DataFrame, references: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component, level): the steps of the longest way down from a node's component; 0 where nothing but itself is below.
 
-    Components of the graph are one node each. A round settles the components whose
-    successors all are; only predecessors of what the last round settled are looked at.
+    Components of the graph are one node each. A round peels off the components
+    that no other one leads to, with their edges, so that each edge is read in few
+    rounds where most nodes are far up; back from the last layer, what a layer leads
+    to is known. Each layer is written once.
     """
     parts = cut(components(edges).select("node", "component"))
     if nodes is not None:
         parts = parts.unionByName(nodes.select("node").distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("component")))
     a, b = (parts.select(F.col("node").alias(end), F.col("component").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
-    down = cut(edges.select("src", "dst").join(a, "src").join(b, "dst").where("a != b").select("a", "b").distinct())
-    all_ = parts.select("component").distinct()
-    settled = frontier = cut(all_.join(down.select(F.col("a").alias("component")).distinct(), "component", "left_anti").withColumn("level", F.lit(0)))
-    level = 0
-    while frontier.take(1):
-        level += 1
-        near = down.join(frontier.select(F.col("component").alias("b")), "b", "left_semi").select("a").distinct()
-        open_ = down.join(near, "a", "left_semi").join(settled.select(F.col("component").alias("b")), "b", "left_anti").select("a").distinct()
-        frontier = cut(near.join(open_, "a", "left_anti").select(F.col("a").alias("component"), F.lit(level).alias("level")))
-        settled = settled.unionByName(frontier)
-        if level % 16 == 0:
-            settled = cut(settled)
-    return parts.join(settled, "component").select("node", "component", "level")
+    rest = cut(edges.select("src", "dst").join(a, "src").join(b, "dst").where("a != b").select("a", "b").distinct())
+    layers = []
+    while rest.take(1):
+        entered = rest.select(F.col("b").alias("a")).distinct().withColumn("entered", F.lit(True))
+        marked = cut(rest.join(entered, "a", "left"))
+        layers.append(marked.where("entered IS NULL").select("a", "b"))
+        rest = marked.where("entered").select("a", "b")
+    known = parts.select("component", F.lit(0).alias("level")).limit(0)
+    for done, layer in enumerate(reversed(layers), 1):
+        below = layer.join(known.select(F.col("component").alias("b"), "level"), "b", "left")
+        level = below.groupBy(F.col("a").alias("component")).agg((F.max(F.coalesce("level", F.lit(0))) + 1).alias("level"))
+        known = cut(level) if done == 1 else known.unionByName(cut(level))
+        if done % 16 == 0:
+            known = cut(known)
+    return parts.join(known, "component", "left").select("node", "component", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def salvaged(projects: DataFrame, edges: DataFrame) -> DataFrame:

@@ -152,6 +152,22 @@ def test_levels_and_salvage(spark):
     assert graph.completeness(out.where("usable = 'complete'")).first()[0] == "complete" and graph.completeness(out.where("node < 0")).first()[0] == "failed"
 
 
+def test_levels_write_little_more_than_the_edges(spark, monkeypatch):
+    """A tree of 2,047 nodes has 10 levels; what is written doesn't go with edges times levels, nor with nodes times rounds."""
+    written, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    tree = spark.range(2, 2048).select(F.col("id").alias("src"), F.expr("id div 2").alias("dst"))
+    got = {r["node"]: r["level"] for r in graph.levels(tree).collect()}
+    assert got == {n: n.bit_length() - 1 for n in range(1, 2048)}
+    assert sum(written) < 12 * 2047
+
+
 def test_path_between(spark):
     e = edges(spark, (1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6), (6, 1), (9, 9))
     told = lambda a, b, **k: tuple(graph.path_between(e, a, b, **k).first())
