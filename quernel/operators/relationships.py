@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.checkpoint import cut
 from quernel.operators import evidence, semantics, targets
 
 INCOMPLETE = "Project or framework coverage is incomplete; inspect variant issues and graph failures."
@@ -27,10 +28,10 @@ def references_of(
     asked = declarations.sparkSession.createDataFrame([(target,)], "target string")
     resolved, matches = targets.resolve_batch(asked, declarations, target_variants)
     one = resolved.where("status = 'resolved'").select("target")
-    chosen = matches.join(one, "target", "left_semi").join(declarations.select("id", "source", "owner"), "id")
+    chosen = matches.join(one, "target", "left_semi").join(declarations.select("id", "source", "owner").hint("merge"), "id")
     what = semantics.descriptors(semantics.states_of(chosen, target_variants), target_variants)
     scope = semantics.relationship_scope(edges, chosen.select(F.col("owner").alias("node")).distinct(), tests).select(F.col("node").alias("project"))
-    plans = semantics.variant_plans(coverage, scope, scope, complete)
+    plans = semantics.variant_plans(cut(coverage), scope, scope, complete)  # which reads it several times
     if compiled is not None:
         plans = semantics.with_compiler(plans, compiled)
     analyzed = plans.where("disposition = 'analyzed'").select("project", "configuration", "framework").alias("p")

@@ -36,7 +36,7 @@ def _project(key: str = "s_suppkey"):
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag", "l_linestatus").distinct().join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").where("s_suppkey % 13 != 0")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag", "l_linestatus").distinct().join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").hint("merge"), "s_suppkey").where("s_suppkey % 13 != 0")
     k, flag, status = F.col("s_suppkey"), F.col("l_returnflag"), F.col("l_linestatus")
     position = F.when(flag == "N", 1).when(flag == "A", 2).otherwise(3) * 10 + F.when(status == "F", 1).otherwise(2)
     none = F.array().cast("array<string>")
@@ -208,7 +208,7 @@ def verify_invocations(spark, sf_dir):
     """Candidates held against what compilers bound at their places: stale, unbound, other and equal symbols."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("p_type"), F.concat(F.lit("h"), F.col("p_size").cast("string")).alias("h"))
     candidates = part.select("id", F.col("h").alias("content_hash"), F.lit("method").alias("symbol_kind"), F.col("p_type").alias("name"))
-    item = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey")).join(part, "id")
+    item = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey")).join(part.hint("merge"), "id")
     failed = F.col("l_discount") > 0.08
     bound = item.select(
         "id", F.concat("l_returnflag", "l_linestatus").alias("variant"), F.when(F.col("l_quantity") > 45, "h-old").otherwise(F.col("h")).alias("content_hash"), F.when(failed, "failed").otherwise("bound").alias("status"),
@@ -396,8 +396,9 @@ def reference_end_to_end(spark, sf_dir):
     bound = d.select("*", frameworks.alias("framework")).groupBy("namespace", "framework").agg(F.collect_set("source").alias("sources"))
     variants = bound.select(F.concat(F.col("namespace"), F.lit("/"), F.coalesce("framework", F.lit("any"))).alias("variant"), none.alias("project"), "sources", F.lit("resolved").alias("status"), F.col("namespace").alias("symbol"), none.alias("reason"), "framework", F.lit("lib").alias("assembly"))
     up = name.select("k", "project").where("k > 1").withColumn("b", F.expr("k div 2"))
-    edges = up.join(name.select(F.col("k").alias("b"), F.col("project").alias("dst")), "b").select(F.col("project").alias("src"), "dst")
-    item = table(spark, sf_dir, "lineitem").join(d.select(F.col("id").alias("l_partkey"), "namespace"), "l_partkey").join(name.withColumnRenamed("k", "l_suppkey"), "l_suppkey")
+    edges = up.join(name.select(F.col("k").alias("b"), F.col("project").alias("dst")).hint("merge"), "b").select(F.col("project").alias("src"), "dst")
+    # both grow with the input, though their compressed tables stay under the limit of bytes for a broadcast
+    item = table(spark, sf_dir, "lineitem").join(d.select(F.col("id").alias("l_partkey"), "namespace").hint("merge"), "l_partkey").join(name.withColumnRenamed("k", "l_suppkey").hint("merge"), "l_suppkey")
     facts = item.select(
         F.col("namespace").alias("identity"), F.lit("lib").alias("assembly"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("framework"), "project", F.col("l_linestatus").alias("configuration"),
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("start"), F.lit(1).alias("length"),
@@ -424,7 +425,7 @@ SELECT id, ['rejected', 'unresolved', 'verified'][max(s) + 1] AS status, count(v
 def _held(spark, sf_dir, kind: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", F.concat(F.lit("h"), F.col("p_size").cast("string")).alias("h"))
     candidates = part.select("id", F.col("h").alias("content_hash"), F.lit("constructor").alias("symbol_kind"), F.col("p_type").alias("type"))
-    item = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey")).join(part, "id")
+    item = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey")).join(part.hint("merge"), "id")
     bound = item.select(
         "id", F.concat("l_returnflag", "l_linestatus").alias("variant"), F.when(F.col("l_quantity") > 45, "h-old").otherwise(F.col("h")).alias("content_hash"), F.when(F.col("l_discount") > 0.08, "failed").otherwise("bound").alias("status"),
         F.lit(None).cast("string").alias("reason"), F.when(F.col("l_linenumber") <= 2, F.col("p_type")).otherwise("OTHER").alias("type"), F.when(F.col("l_linenumber") == 2, "method").otherwise("constructor").alias("symbol_kind"),
