@@ -28,7 +28,7 @@ def references_of(
     asked = declarations.sparkSession.createDataFrame([(target,)], "target string")
     resolved, matches = targets.resolve_batch(asked, declarations, target_variants)
     one = resolved.where("status = 'resolved'").select("target")
-    chosen = matches.join(one, "target", "left_semi").join(declarations.select("id", "source", "owner").hint("merge"), "id")
+    chosen = cut(matches.join(one, "target", "left_semi").join(declarations.select("id", "source", "owner").hint("merge"), "id"))
     what = semantics.descriptors(semantics.states_of(chosen, target_variants), target_variants)
     scope = semantics.relationship_scope(edges, chosen.select(F.col("owner").alias("node")).distinct(), tests).select(F.col("node").alias("project"))
     plans = semantics.variant_plans(cut(coverage), scope, scope, complete)  # which reads it several times

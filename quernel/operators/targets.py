@@ -3,7 +3,9 @@
 Targets meet declarations by equality only: of whole names, of the beginnings of
 words and acronyms, of three-letter pieces. For each target the piece or word that
 the fewest declarations have finds its candidates, and the rank is worked out for
-those. Targets that one tier settles don't go on to the next.
+those. Targets that one tier settles don't go on to the next. What a batch means
+is told by classes of declarations that nothing tells apart; a target's
+declarations are counted, not listed.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.checkpoint import cut
-from quernel.functions.identity import parsed_symbol_id
+from quernel.functions.identity import framed, parsed_symbol_id
 from quernel.operators.bounded import capped
-from quernel.operators.semantics import same_symbol, states_of
+from quernel.operators.semantics import same_symbol
 from quernel.operators.symbols import acronym, rank_of, tokens
 
 PIECE = 3
@@ -51,8 +53,8 @@ def _beginnings(text: Column, lengths: list[int]) -> Column:
     return F.filter(F.array(*[F.when(F.length(text) >= n, F.left(text, F.lit(n))) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
 
 
-def ranked_matches(queries: DataFrame, declarations: DataFrame) -> DataFrame:
-    """(target, id, rank): the declarations (id, name, qualified) of the best rank that each query (target) has, as ``rank_of`` gives it."""
+def ranked_names(queries: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(target, name, qualified, rank): the names of declarations (id, name, qualified) of the best rank that each query (target) has, as ``rank_of`` gives it."""
     queries = cut(queries.select("target").distinct().withColumn("q", F.lower("target")))
     # declarations that share their names match alike: one of each stands for all until the end
     names = cut(declarations.groupBy("name", "qualified").agg(F.min("id").alias("id")).select("id", "name", "qualified"))
@@ -87,9 +89,19 @@ def ranked_matches(queries: DataFrame, declarations: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
+    return out
+
+
+def _named(names: DataFrame, declarations: DataFrame) -> DataFrame:
+    """The columns of ``names`` (name, qualified, ...) and of the declarations of just these names."""
     alike = F.col("d.name").eqNullSafe(F.col("m.name")) & F.col("d.qualified").eqNullSafe(F.col("m.qualified"))
     # a compressed table of few bytes has more declarations than a driver should hold, so they are never broadcast
-    return declarations.select("id", "name", "qualified").alias("d").hint("merge").join(out.alias("m"), alike).select("m.target", "d.id", "m.rank")
+    return declarations.alias("d").hint("merge").join(names.alias("m"), alike).drop(F.col("m.name"), F.col("m.qualified"))
+
+
+def ranked_matches(queries: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(target, id, rank): the declarations (id, name, qualified) of the best rank that each query (target) has, as ``rank_of`` gives it."""
+    return _named(ranked_names(queries, declarations), declarations.select("id", "name", "qualified")).select("target", "id", "rank")
 
 
 def id_matches(ids: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -101,31 +113,68 @@ def id_matches(ids: DataFrame, declarations: DataFrame) -> DataFrame:
     return met.join(best, "target").where("rank = best").select("target", "id", "rank")
 
 
+def _place(name: Column, stable: Column, location: Column) -> Column:
+    """What a declaration is and where, as one hash; null where a part is."""
+    whole = name.isNotNull() & stable.isNotNull() & location.isNotNull()
+    return F.when(whole, F.unhex(F.sha2(F.concat(framed(name), framed(stable), framed(location)), 256)))
+
+
+def _classes(declarations: DataFrame, variants: DataFrame, places: DataFrame) -> DataFrame:
+    """(name, qualified, stable, links, alone, place, first, n): declarations alike in all of these as one row with their number and least id.
+
+    ``links`` are the symbols that a declaration resolves to, with their variants, and
+    null where it resolves in none; one without a link is ``alone``, by its id. Only
+    ``places`` (place) that are asked for part declarations.
+    """
+    d = declarations.select("id", "name", "qualified", "stable", "source", _place(F.col("name"), F.col("stable"), F.col("location")).alias("place"))
+    asked = places.select("place").distinct().withColumn("asked", F.lit(True))
+    d = d.join(asked.hint("merge"), "place", "left").withColumn("place", F.when(F.col("asked"), F.col("place"))).drop("asked")
+    # what a source's declarations resolve to is the same for all of them
+    link = F.when(F.col("variant").isNotNull() & F.col("symbol").isNotNull(), F.struct("variant", "symbol"))
+    bound = variants.where("status = 'resolved'").select(F.explode("sources").alias("source"), link.alias("link"))
+    bound = bound.groupBy("source").agg(F.array_sort(F.collect_set("link")).alias("links"))
+    seen = d.join(bound.hint("merge"), "source", "left").withColumn("alone", F.when(F.size("links") == 0, F.col("id")))
+    return seen.groupBy("name", "qualified", "stable", "links", "alone", "place").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+
+
 def resolve_batch(targets: DataFrame, declarations: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each of many targets means: (target, form, status, candidates, groups), and their matches (target, id, rank).
 
-    ``declarations`` are those in scope: id, name, qualified, stable, location, source,
-    owner; ``variants`` as in ``states_of``. A target is an identity, a qualified name
-    or a query; matches of the best rank are its candidates. One symbol is resolved,
-    several are ambiguous, none in any variant is unresolved. An identity that nothing
-    has any more is stale, a query without a match not found; blank targets and
+    ``declarations`` are those in scope: id (its own for each), name, qualified, stable,
+    location, source, owner; ``variants`` as in ``states_of``. A target is an identity, a
+    qualified name or a query; matches of the best rank are its candidates. One symbol is
+    resolved, several are ambiguous, none in any variant is unresolved. An identity that
+    nothing has any more is stale, a query without a match not found; blank targets and
     identities of other things are unsupported.
+
+    Targets times declarations may be more than any disk holds, so targets meet classes
+    of declarations, and matches are worked out only where they are read.
     """
-    asked = cut(forms(targets))
-    matches = ranked_matches(asked.where("form = 'query'"), declarations).unionByName(id_matches(asked.where("form = 'id'"), declarations))
-    matches = cut(matches)
-    chosen = matches.join(declarations.select("id", "source", "owner").hint("merge"), "id")
-    states = cut(states_of(chosen, variants))
-    resolved = states.where("status = 'resolved'").select("target", "candidate").distinct()
-    groups = same_symbol(states).join(resolved, ["target", "candidate"], "left_semi").groupBy("target").agg(F.countDistinct("grouping").alias("groups"))
-    counts = matches.groupBy("target").agg(F.count("*").alias("candidates"))
-    out = asked.join(counts, "target", "left").join(groups, "target", "left")
-    n, g = (F.coalesce(c, F.lit(0).cast("long")) for c in ("candidates", "groups"))
+    asked = cut(forms(targets).select("target", "form", F.monotonically_increasing_id().alias("key")))
+    queries = asked.where("form = 'query'")
+    parsed = asked.where("form = 'id'").withColumn("parsed", parsed_symbol_id(F.col("target")))
+    ids = parsed.select("key", "parsed.name", "parsed.stable", _place(F.col("parsed.name"), F.col("parsed.stable"), F.col("parsed.location")).alias("place"))
+    names = ranked_names(queries, declarations)
+    cells = cut(_classes(declarations, variants, ids))
+    alike = cut(cells.groupBy("name", "qualified", "stable", "links", "alone").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
+    there = cells.where("place IS NOT NULL").select("place", "first", "n", "links")
+    told = ["key", "first", "n", "links"]
+    met = _named(names.join(queries.select("target", "key"), "target").select("key", "name", "qualified"), alike).select(*told)
+    met = met.unionByName(ids.join(there, "place").select(*told))
+    elsewhere = ids.join(there.select("place").distinct(), "place", "left_anti").select("key", "name", "stable")
+    met = cut(met.unionByName(elsewhere.join(alike, ["name", "stable"]).select(*told)))
+    counts = met.groupBy("key").agg(F.sum("n").alias("candidates"), F.count("links").alias("classes"))
+    several = met.where("links IS NOT NULL").join(counts.where("classes > 1").select("key"), "key", "left_semi")
+    states = several.select(F.col("key").alias("target"), F.col("first").alias("candidate"), F.lit("resolved").alias("status"), F.explode_outer("links").alias("link"))
+    parts = same_symbol(states.select("target", "candidate", "status", "link.variant", "link.symbol")).groupBy(F.col("target").alias("key")).agg(F.countDistinct("grouping").alias("groups"))
+    out = asked.join(counts, "key", "left").join(parts, "key", "left")  # what is of one class is one group
+    n, g = F.coalesce("candidates", F.lit(0).cast("long")), F.coalesce("groups", "classes", F.lit(0).cast("long"))
     status = (
         F.when(F.col("form").isin("unsupported", "blank"), "unsupported").when((n == 0) & (F.col("form") == "id"), "stale").when(n == 0, "not_found")
         .when(g == 1, "resolved").when(g > 1, "ambiguous").otherwise("unresolved")
     )
-    return out.select("target", "form", status.alias("status"), n.alias("candidates"), g.alias("groups")), matches
+    every = _named(names, declarations.select("id", "name", "qualified")).select("target", "id", "rank").unionByName(id_matches(parsed, declarations))
+    return out.select("target", "form", status.alias("status"), n.alias("candidates"), g.alias("groups")), every
 
 
 def replaced(resolved: DataFrame, targets: DataFrame, declarations: DataFrame, most: int = 20) -> DataFrame:
