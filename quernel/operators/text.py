@@ -10,6 +10,7 @@ backtrack without end go to a matcher with a deadline for each file.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 from re import _parser as patterns
@@ -311,23 +312,94 @@ def _under_deadline(files: DataFrame, pattern: str, flags: int, deadline: float,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder, ends = regex.compile(pattern, flags=flags), re.compile(TERMINATOR)
+        known = None if LOOKS_BACK.search(pattern) else Endless(finder, deadline, most)
         for f in frames:
-            told = [_outcome(finder, ends, text, deadline, most) for text in f["text"]]
+            told = [_outcome(finder, ends, text, deadline, most, known) for text in f["text"]]
             yield f.drop(columns="text").assign(status=[t[0] for t in told], found=[t[1] for t in told])
 
     return seen.mapInPandas(run, seen.drop("text").schema)
 
 
-def _outcome(finder, ends, text: str | None, deadline: float, most: int | None) -> tuple[str, list[dict]]:
+#: What makes an attempt at a place depend on more than the character before it.
+LOOKS_BACK = re.compile(r"\(\?<[=!]|\\G")
+
+
+class Endless:
+    """Ends of texts at whose beginning a pattern is tried for longer than the deadline.
+
+    A try at a place goes by what follows it and the character before it, if the
+    pattern doesn't look back. So one that alone took longer than the deadline will
+    in every text that ends alike, if the search comes to that place, and isn't
+    repeated. What several tries take together says nothing of another text.
+    """
+
+    #: Ends that are kept, their characters, and how many may be looked for beyond those that were met again.
+    MOST, CHARACTERS, SPARE = 256, 1 << 24, 4
+
+    def __init__(self, finder, deadline: float, most: int | None) -> None:
+        self.finder, self.deadline, self.most = finder, deadline, most
+        self.tails: list[tuple[str, bool]] = []
+        self.room, self.spare = self.CHARACTERS, self.SPARE
+
+    def learn(self, text: str, begin: int) -> None:
+        """Of a text whose search exceeded the deadline after ``begin``: the end whose first try alone does."""
+        if len(self.tails) == self.MOST or not self.spare:
+            return
+        self.spare -= 1
+        until = time.monotonic() + self.deadline
+        for at in range(begin, len(text) + 1):
+            if time.monotonic() > until:
+                return
+            try:
+                self.finder.match(text, at, timeout=self.deadline)
+            except TimeoutError:
+                tail = text[max(at - 1, 0) :]
+                if len(tail) <= self.room:
+                    self.tails.append((tail, at == 0))
+                    self.room -= len(tail)
+                return
+
+    def exceeds(self, text: str) -> bool:
+        """Whether the search comes to a try that is known to exceed the deadline; False where that isn't told in time."""
+        for tail, whole in self.tails:
+            if text.endswith(tail) and (not whole or len(text) == len(tail)) and self._reached(text, 0 if whole else len(text) - len(tail) + 1):
+                self.spare += 1
+                return True
+        return False
+
+    def _reached(self, text: str, place: int) -> bool:
+        at, found, until = 0, 0, time.monotonic() + self.deadline
+        while at < place:
+            left = until - time.monotonic()
+            if left <= 0:
+                return False
+            try:
+                m = self.finder.match(text, at, timeout=left)
+            except TimeoutError:
+                return False
+            found += m is not None
+            if m and (m.end() == at or (self.most is not None and found > self.most)):
+                return False  # matches of nothing are left to the search itself
+            at = m.end() if m else at + 1
+        return at == place
+
+
+def _outcome(finder, ends, text: str | None, deadline: float, most: int | None, known: Endless | None = None) -> tuple[str, list[dict]]:
     if text is None:
         return "no_text", []
+    if known and known.exceeds(text):
+        return "regular_expression_timeout", []
+    begun = [0]
     try:
-        return "analyzed", _found(finder, ends, text, deadline, most)
+        return "analyzed", _found(finder, ends, text, deadline, most, begun)
     except TimeoutError:
+        if known:
+            known.learn(text, begun[0])
         return "regular_expression_timeout", []
 
 
-def _found(finder, ends, text: str, deadline: float, most: int | None) -> list[dict]:
+def _found(finder, ends, text: str, deadline: float, most: int | None, begun: list[int]) -> list[dict]:
+    """The matches; ``begun`` tells where the search for the next one began."""
     edges, stops = [0, *[m.end() for m in ends.finditer(text)]], [*[m.start() for m in ends.finditer(text)], len(text)]
     units = lambda a, b: len(text[a:b].encode("utf-16-le", "surrogatepass")) // 2
     rows, k, passed, seen = [], 0, 0, 0
@@ -335,6 +407,7 @@ def _found(finder, ends, text: str, deadline: float, most: int | None) -> list[d
         if len(rows) == most:
             break
         a, b = m.span()
+        begun[0] = b
         passed, seen = passed + units(seen, a), a
         while k + 1 < len(edges) and edges[k + 1] <= a:
             k += 1

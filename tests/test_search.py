@@ -1,8 +1,10 @@
 """Whole-text search, decoding and results with their evidence, on small inputs."""
 
 import re
+import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quernel.operators import bounded, evidence, symbols, text
@@ -158,3 +160,37 @@ def test_few_matches_are_placed_as_many_are(spark, monkeypatch):
         monkeypatch.setattr(text, "FEW", few)
         told[few] = [sorted(text.located(files, p, most).select("path", "found").collect()) for p in ("the", "(?m)^") for most in (None, 0, 1, 5)]
     assert told[0] == told[16]
+
+
+def test_a_try_that_exceeds_its_deadline_is_made_once_for_texts_that_end_alike(spark):
+    texts = [(f"f{i}", f"w{i} 2024 " * i + "\n" + "a" * 60 + "!") for i in range(60)] + [("plain", "2024 aa")]
+    df = spark.createDataFrame(texts, "path string, text string").coalesce(1)
+    began = time.monotonic()
+    got = {r["path"]: (r["status"], len(r["found"])) for r in text.regex_files(df, "(?:a|aa)+$|[0-9]{4,}", deadline=0.4).collect()}
+    assert time.monotonic() - began < 12  # 24 s of deadlines
+    assert got == {**{p: ("regular_expression_timeout", 0) for p, _ in texts[:-1]}, "plain": ("analyzed", 2)}
+
+
+@pytest.mark.parametrize("pattern", ["(?:a|aa)+$|xy[a!]+|[0-9]", "(?<!xy)(?:a|aa)+$|[0-9]", "(?:a|aa)+$|x?[0-9]*"])
+def test_ends_alike_are_known_only_where_the_search_comes_to_them(pattern):
+    finder, ends, hard = regex.compile(pattern), re.compile(text.TERMINATOR), "a" * 60 + "!"
+    given = ["1 zy" + hard, "2 zy" + hard, "3 xy" + hard, "xy" + hard, "y" + hard, hard, hard, "4 zy" + hard + "!", "5 zy" + hard[1:], "6 aa", "zy" + hard]
+    for most in (None, 0, 1):
+        known = None if text.LOOKS_BACK.search(pattern) else text.Endless(finder, 0.2, most)
+        for t in given:
+            alone = text._outcome(finder, ends, t, 0.2, most)
+            assert text._outcome(finder, ends, t, 0.2, most, known) == alone, (t, most)
+
+
+def test_ends_are_looked_for_only_while_they_are_met_again():
+    tries = []
+
+    class Finder:
+        def match(self, t, at, timeout):
+            tries.append(at)
+            raise TimeoutError
+
+    known = text.Endless(Finder(), 0.2, None)
+    for i in range(20):
+        known.learn(f"b{i}", 0)
+    assert len(tries) == len(known.tails) == known.SPARE
