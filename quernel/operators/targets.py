@@ -22,6 +22,8 @@ from quernel.operators.symbols import acronym, rank_of, tokens
 PIECE = 3
 #: The kinds of identities that name something other than a declaration.
 OTHER_IDS = r"^(file|text|syntax|reference|implementation)/q[0-9]+:"
+#: Names of matches up to which they are broadcast, so that declarations of other names aren't shuffled.
+FEW_NAMES = 10_000
 
 
 def forms(targets: DataFrame) -> DataFrame:
@@ -137,6 +139,14 @@ def _classes(declarations: DataFrame, variants: DataFrame, places: DataFrame) ->
     return seen.groupBy("name", "qualified", "stable", "links", "alone", "place").agg(F.min("id").alias("first"), F.count("*").alias("n"))
 
 
+def _of_names(declarations: DataFrame, names: DataFrame) -> DataFrame:
+    """The declarations of ``names`` (name), or all where these are many."""
+    names = cut(names.select("name").distinct())
+    if names.count() > FEW_NAMES:
+        return declarations
+    return declarations.alias("d").join(F.broadcast(names.alias("w")), F.col("d.name").eqNullSafe(F.col("w.name")), "left_semi")
+
+
 def resolve_batch(targets: DataFrame, declarations: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each of many targets means: (target, form, status, candidates, groups), and their matches (target, id, rank).
 
@@ -155,6 +165,7 @@ def resolve_batch(targets: DataFrame, declarations: DataFrame, variants: DataFra
     parsed = asked.where("form = 'id'").withColumn("parsed", parsed_symbol_id(F.col("target")))
     ids = parsed.select("key", "parsed.name", "parsed.stable", _place(F.col("parsed.name"), F.col("parsed.stable"), F.col("parsed.location")).alias("place"))
     names = ranked_names(queries, declarations)
+    declarations = _of_names(declarations, names.select("name").unionByName(ids.select("name")))
     cells = cut(_classes(declarations, variants, ids))
     alike = cut(cells.groupBy("name", "qualified", "stable", "links", "alone").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
     there = cells.where("place IS NOT NULL").select("place", "first", "n", "links")

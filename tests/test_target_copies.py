@@ -54,6 +54,7 @@ def test_a_batch_is_told_by_classes_of_declarations(spark, monkeypatch):
             return out
 
         monkeypatch.setattr(module, "cut", counted)
+    monkeypatch.setattr(targets, "FEW_NAMES", 0)  # declarations of all names
     a, b, far = "a" * 64, "b" * 64, [f"{k:064x}" for k in range(20)]
     declarations = [(i, "Grid", "Web.Grid", a if i % 2 else b, "e" * 63 + "f", "s" if i % 3 else "t", "o") for i in range(400)]
     variants = [("v", "o", ["s"], "resolved", "x", None), ("v", "o", ["t"], "unresolved", None, "no")]
